@@ -27,7 +27,7 @@ START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
 
 def escape(col: Column) -> Column:
-    return F.regexp_replace(col, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(col, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(col: Column) -> Column:
