@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriesloom.llm.chat_format import CHAT_SQL, chat_digests, chat_examples, with_probe
 from seriesloom.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from seriesloom.llm.jaccard_join import JACCARD_SQL, near_components
 from seriesloom.llm.license_scan import scan_licenses
 from seriesloom.llm.mixing import MIX_SQL, mix_sources
 from seriesloom.llm.packing import pack_documents
 from seriesloom.llm.quality_rules import QUALITY_SQL, quality_rules
+from seriesloom.llm.repeat_removal import repeated_passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(table(spark, sf_dir, "documents")).select(wanted)
@@ -27,6 +33,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,9 +54,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_quality_rules, op5_license_scan, op7_weighted_mix, op8_chat_format, op9_exact_dedup, op10_best_fit_packing]
+    found = [op1_jaccard_join, op3_quality_rules, op5_license_scan, op6_repeat_removal, op7_weighted_mix, op8_chat_format, op9_exact_dedup, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": QUALITY_SQL, "op7_weighted_mix": MIX_SQL, "op8_chat_format": CHAT_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_jaccard_join": JACCARD_SQL, "op3_quality_rules": QUALITY_SQL, "op7_weighted_mix": MIX_SQL, "op8_chat_format": CHAT_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
