@@ -12,6 +12,7 @@ from seriesloom.llm.jaccard_join import JACCARD_SQL, near_components
 from seriesloom.llm.license_scan import scan_licenses
 from seriesloom.llm.mixing import MIX_SQL, mix_sources
 from seriesloom.llm.packing import pack_documents
+from seriesloom.llm.ppm_score import ppm_scores
 from seriesloom.llm.quality_rules import QUALITY_SQL, quality_rules
 from seriesloom.llm.repeat_removal import repeated_passages
 
@@ -29,6 +30,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(wanted)
 
 
+def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -54,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_jaccard_join, op3_quality_rules, op5_license_scan, op6_repeat_removal, op7_weighted_mix, op8_chat_format, op9_exact_dedup, op10_best_fit_packing]
+    found = [op1_jaccard_join, op3_quality_rules, op4_ppm_score, op5_license_scan, op6_repeat_removal, op7_weighted_mix, op8_chat_format, op9_exact_dedup, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
