@@ -15,6 +15,7 @@ from seriesloom.llm.packing import pack_documents
 from seriesloom.llm.ppm_score import ppm_scores
 from seriesloom.llm.quality_rules import QUALITY_SQL, quality_rules
 from seriesloom.llm.repeat_removal import repeated_passages
+from seriesloom.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(table(spark, sf_dir, "documents")).select(wanted)
@@ -59,7 +64,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_jaccard_join, op3_quality_rules, op4_ppm_score, op5_license_scan, op6_repeat_removal, op7_weighted_mix, op8_chat_format, op9_exact_dedup, op10_best_fit_packing]
+    found = [op1_jaccard_join, op2_toxicity, op3_quality_rules, op4_ppm_score, op5_license_scan, op6_repeat_removal, op7_weighted_mix, op8_chat_format, op9_exact_dedup, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
