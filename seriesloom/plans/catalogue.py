@@ -1,9 +1,474 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries over the driver's tables and their DuckDB SQL.
 
+Doubles are rounded to six digits on both sides, as engines add in other
+orders; thresholds are compared before rounding.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seriesloom import model
+from seriesloom.functions import columns as c
+from seriesloom.functions.parsing import parse_series
+from seriesloom.operators import bank, curate, metrics, rollup, select, validate
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.round(n, 6) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def T1(spark, d):  # noqa: N802
+    return curate.daily_series(table(spark, d, "events"), "event_type", "ts", "value")
+
+
+def T2(spark, d):  # noqa: N802
+    return curate.daily_series(table(spark, d, "events"), "user_id", "ts", "value")
+
+
+def T3(spark, d):  # noqa: N802
+    return curate.monthly_series(table(spark, d, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice")
+
+
+def T6(spark, d):  # noqa: N802
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    per = o.groupBy("c_custkey", "c_mktsegment").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 4).alias("std"))
+    return per.select(F.col("c_custkey").alias("reference_id"), F.col("c_mktsegment").alias("grp"), "n_orders", "mean", "std")
+
+
+def _series_sql(name: str, key: str, stamp: str, value: str, source: str, digits: int) -> str:
+    return f"""{name} AS (SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INT) AS pos, ts, value FROM
+  (SELECT CAST({key} AS VARCHAR) AS series_id, {stamp} AS ts, round(sum({value}), {digits}) AS value FROM {source} GROUP BY 1, 2))"""
+
+
+S1 = _series_sql("t1", "event_type", "CAST(ts AS DATE)", "value", "events", 4)
+S2 = _series_sql("t2", "user_id", "CAST(ts AS DATE)", "value", "events", 4)
+S3 = _series_sql("t3", "o_orderpriority", "CAST(date_trunc('month', o_orderdate) AS DATE)", "o_totalprice", "orders", 2)
+S6 = """t6 AS (SELECT c_custkey AS reference_id, c_mktsegment AS grp, CAST(count(*) AS DOUBLE) AS n_orders, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+
+
+def _values(rows) -> str:
+    one = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+_names = [x.split()[0] for x in model.PROFILE_SCHEMA.split(", ")]
+PROFILE_SQL = f"pr AS (SELECT * FROM (VALUES {_values(model.PROFILES)}) v({', '.join(_names)})), nb AS (SELECT * FROM (VALUES {_values(model.NOISE_BANDS)}) v(noise_level, noise_low, noise_high))"
+
+
+def stats_sql(series: str = "t1") -> str:
+    """CTEs up to ``k``, the statistics of each series under each profile."""
+    w = "WINDOW w AS (PARTITION BY series_id, profile_id)"
+    return f"""{PROFILE_SQL},
+x AS (SELECT series_id, CAST(pos AS DOUBLE) AS pos, value, pr.* FROM {series} CROSS JOIN pr),
+a AS (SELECT *, count(*) OVER w AS n, min(value) OVER w AS low, max(value) OVER w AS high, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS sd, regr_slope(value, pos) OVER w AS slope, regr_intercept(value, pos) OVER w AS icpt FROM x {w}),
+b AS (SELECT *, high - low AS rng, CASE WHEN n < 3 THEN value - mean ELSE value - (slope * pos + icpt) END AS resid, seasonality_expected <> 'none' AND coalesce(seasonality_period, 0) > 1 AS seasonal,
+  CASE WHEN seasonality_expected = 'none' THEN 7 ELSE seasonality_period END AS lg FROM a),
+cc AS (SELECT *, avg(resid) OVER (PARTITION BY series_id, profile_id, pos % lg) AS pm FROM b),
+dd AS (SELECT *, CASE WHEN seasonal AND n >= 2 * lg THEN resid - pm ELSE resid END AS plain FROM cc),
+e AS (SELECT *, median(plain) OVER w AS med FROM dd {w}),
+f AS (SELECT *, median(abs(plain - med)) OVER w AS mad FROM e {w}),
+g AS (SELECT series_id, profile_id, any_value(n) AS n, any_value(low) AS low, any_value(high) AS high, any_value(mean) AS mean, any_value(sd) AS sd, any_value(slope) AS slope, any_value(rng) AS rng, any_value(lg) AS lg, any_value(seasonality_expected) AS se,
+  max(pm) - min(pm) AS swing, count(*) FILTER (mad > 0 AND 0.6745::DOUBLE * abs(plain - med) / mad > 4 AND abs(plain - med) >= 0.15::DOUBLE * rng) AS spikes, stddev_pop(plain) AS psd FROM f GROUP BY 1, 2),
+h AS (SELECT series_id, profile_id, CASE WHEN seasonal AND n // lg >= 2 THEN floor(pos / lg) ELSE pos END AS ps, avg(value) AS v FROM b WHERE NOT (seasonal AND n // lg >= 2) OR pos < (n // lg) * lg GROUP BY 1, 2, 3),
+i AS (SELECT *, rank() OVER (PARTITION BY series_id, profile_id ORDER BY v) + (count(*) OVER (PARTITION BY series_id, profile_id, v) - 1) / 2.0::DOUBLE AS rk FROM h),
+j AS (SELECT series_id, profile_id, count(*) AS m, CASE WHEN count(*) < 2 THEN 0 WHEN count(*) = 2 THEN sign(arg_max(v, ps) - arg_min(v, ps)) ELSE coalesce(covar_pop(ps, rk) / nullif(stddev_pop(ps) * stddev_pop(rk), 0), 0) END AS rho, regr_slope(v, ps) AS bs FROM i GROUP BY 1, 2),
+k AS (SELECT g.*, j.m, j.rho, CASE WHEN n < 2 OR rng = 0 THEN 0 ELSE coalesce(abs(slope) * (n - 1) / nullif(rng, 0), 0) END AS strength, CASE WHEN m < 2 OR rng = 0 THEN 0 ELSE coalesce(abs(bs) * (m - 1) / nullif(rng, 0), 0) END AS tstrength,
+  CASE WHEN (se = 'none' AND n < 14) OR (se <> 'none' AND n < 2 * lg) OR lg <= 1 OR rng = 0 THEN 0 ELSE swing / nullif(rng, 0) END AS amplitude,
+  CASE WHEN n < 5 OR rng = 0 THEN 0 ELSE spikes END AS anomalies, CASE WHEN n < 4 THEN 0 ELSE psd / greatest(rng, abs(mean), 1e-8) END AS noise FROM g JOIN j USING (series_id, profile_id)),
+sc AS (SELECT k.series_id, k.profile_id, k.n AS generated_length, k.n AS numeric_length, CAST(0 AS BIGINT) AS invalid_count, o.outside AS out_of_range_count,
+  greatest(0, 1 - abs(k.n - expected_length) / CAST(expected_length AS DOUBLE)) AS length_score, 1.0::DOUBLE AS numeric_validity_score, 1 - o.outside / CAST(k.n AS DOUBLE) AS range_score, 1.0::DOUBLE AS timestamp_score, 1.0::DOUBLE AS parse_score,
+  CASE WHEN trend_expected = 'flat' THEN tstrength ELSE rho END AS trend_observed,
+  CASE WHEN m < 2 THEN CASE WHEN trend_expected = 'flat' THEN 1 ELSE 0 END WHEN trend_expected = 'flat' THEN 1 - least(tstrength / flat_trend_threshold, 1) WHEN trend_expected = 'increasing' THEN greatest(0, rho) ELSE greatest(0, -rho) END AS trend_score,
+  amplitude AS seasonality_strength,
+  CASE WHEN k.n < 4 THEN CASE WHEN se = 'none' THEN 1 ELSE 0 END WHEN se = 'none' THEN CASE WHEN amplitude <= 0.05::DOUBLE THEN 1 WHEN amplitude >= 0.25::DOUBLE THEN 0 ELSE 1 - (amplitude - 0.05::DOUBLE) / (0.25::DOUBLE - 0.05::DOUBLE) END
+    ELSE least(amplitude / seasonality_threshold, 1) END AS seasonality_score,
+  anomalies AS detected_anomalies,
+  CASE WHEN abs(anomalies - expected_anomalies) <= anomaly_tolerance THEN 1 WHEN expected_anomalies = 0 THEN 1 - least(anomalies / 2.0::DOUBLE, 1) ELSE 1 - least(abs(anomalies - expected_anomalies) / CAST(expected_anomalies AS DOUBLE), 1) END AS anomaly_score,
+  noise AS noise_ratio,
+  CASE WHEN noise < noise_low THEN CASE WHEN noise_low = 0 THEN 1 ELSE 1 - least((noise_low - noise) / noise_low, 1) END WHEN noise > noise_high THEN 1 - least((noise - noise_high) / noise_high, 1) ELSE 1 END AS noise_score
+  FROM k JOIN pr USING (profile_id) JOIN nb ON noise_level = noise_expected
+  JOIN (SELECT series_id, profile_id, count(*) FILTER (value < value_min OR value > value_max) AS outside FROM x GROUP BY 1, 2) o ON o.series_id = k.series_id AND o.profile_id = k.profile_id)"""
+
+
+def r(*names: str) -> str:
+    pairs = [(n.partition("=")[0], n.partition("=")[2] or n) for n in names]
+    return ", ".join(f"round(CAST({x} AS DOUBLE), 6) + 0 AS {n}" for n, x in pairs)
+
+
+def _scores(spark, d, points=T1) -> DataFrame:
+    return metrics.profile_metrics(points(spark, d), model.profiles(spark), model.noise_bands(spark))
+
+
+_SCORES = "length_score numeric_validity_score range_score timestamp_score parse_score trend_observed trend_score seasonality_strength seasonality_score anomaly_score noise_ratio noise_score".split()
+_FORMAL, _TEMPORAL = "(parse_score + length_score + numeric_validity_score + range_score + timestamp_score) / 5", "(trend_score + seasonality_score + anomaly_score + noise_score) / 4"
+
+
+@query(f"""WITH {S1}, {stats_sql()}
+SELECT series_id, profile_id, generated_length, numeric_length, invalid_count, out_of_range_count, CAST(detected_anomalies AS BIGINT) AS detected_anomalies, {r(*_SCORES, f"formal_validity_score={_FORMAL}", f"temporal_profile_score={_TEMPORAL}", f"profile_compliance_score=({_FORMAL}) * ({_TEMPORAL})")},
+  parse_score = 1 AND length_score = 1 AND numeric_validity_score = 1 AND range_score >= 0.95 AND timestamp_score >= 0.95 AND least(trend_score, seasonality_score, anomaly_score, noise_score) >= 0.6 AS final_valid,
+  least(parse_score, length_score, numeric_validity_score, range_score, timestamp_score) >= 0.95 AS all_formal_components_ok FROM sc""")
+def profile_metrics_full(spark, d):
+    return _scores(spark, d)
+
+
+@query(f"WITH {S1} SELECT series_id, pos, ts, {r('value')} FROM t1")
+def series_build(spark, d):
+    return T1(spark, d)
+
+
+@query(f"""WITH {S2}, y AS (SELECT *, lag(value, 7) OVER (PARTITION BY series_id ORDER BY pos) AS z FROM t2)
+SELECT series_id, {r("mean=avg(value)", "std=stddev_pop(value)", "min=min(value)", "max=max(value)", "trend_slope=regr_slope(value, CAST(pos AS DOUBLE))")}, count(*) FILTER (value >= 200) AS anomaly_count,
+  CASE WHEN count(*) >= 14 THEN {r("a=coalesce(covar_pop(value, z) / nullif(stddev_pop(value) FILTER (z IS NOT NULL) * stddev_pop(z), 0), 0)").removesuffix(" AS a")} END AS weekly_autocorrelation FROM y GROUP BY series_id""")
+def series_basic_metrics(spark, d):
+    return metrics.basic_metrics(T2(spark, d))
+
+
+def _part(name: str, wanted: list[str], points, series_sql: str, series: str) -> None:
+    sql = f"WITH {series_sql}, {stats_sql(series)} SELECT series_id, profile_id, {', '.join('CAST(detected_anomalies AS BIGINT) AS detected_anomalies' if x == 'detected_anomalies' else x if x.endswith('_count') or x.endswith('_length') else r(x) for x in wanted)} FROM sc"
+    ORACLE[name] = sql
+    QUERIES[name] = lambda spark, d: rounded(_scores(spark, d, points).select("series_id", "profile_id", *wanted))
+
+
+_part("trend_score_flat", ["trend_observed", "trend_score"], T1, S1, "t1")
+_part("trend_on_period_means", ["trend_observed", "trend_score"], T2, S2, "t2")
+_part("seasonality_score", ["seasonality_strength", "seasonality_score"], T2, S2, "t2")
+_part("anomaly_score", ["detected_anomalies", "anomaly_score"], T2, S2, "t2")
+_part("noise_score", ["noise_ratio", "noise_score"], T2, S2, "t2")
+_part("length_score", ["generated_length", "length_score"], T2, S2, "t2")
+_part("range_diagnostics", ["out_of_range_count", "range_score"], T3, S3, "t3")
+_part("numeric_validity", ["numeric_length", "invalid_count", "numeric_validity_score"], T2, S2, "t2")
+
+
+def _stat(name: str, wanted: dict[str, str], points, series_sql: str, series: str) -> None:
+    ORACLE[name] = f"WITH {series_sql}, {stats_sql(series)} SELECT series_id, profile_id, {', '.join(f'CAST({v} AS BIGINT) AS {k}' if k == 'anomalies' else r(f'{k}={v}') for k, v in wanted.items())} FROM k"
+    QUERIES[name] = lambda spark, d: rounded(metrics.series_statistics(points(spark, d).crossJoin(F.broadcast(model.profiles(spark)))).select("series_id", "profile_id", *wanted))
+
+
+_stat("linear_trend_strength", {"slope": "slope", "strength": "strength"}, T3, S3, "t3")
+_stat("spearman_trend", {"rho": "rho"}, T3, S3, "t3")
+_stat("seasonal_amplitude", {"amplitude": "amplitude"}, T3, S3, "t3")
+_stat("mad_anomalies", {"anomalies": "anomalies"}, T2, S2, "t2")
+_stat("noise_ratio", {"noise": "noise"}, T3, S3, "t3")
+
+
+@query(f"WITH {S1}, {stats_sql()} SELECT series_id, profile_id, CAST(pos AS BIGINT) AS pos, {r('resid', 'plain')} FROM f")
+def deseasonalised_residuals(spark, d):
+    df = metrics.residual_table(T1(spark, d).crossJoin(F.broadcast(model.profiles(spark))))
+    return df.select("series_id", "profile_id", F.col("i").cast("long").alias("pos"), "resid", "plain")
+
+
+@query(f"WITH {S3} SELECT series_id, CAST(pos AS BIGINT) AS pos, {r('resid=value - (regr_slope(value, CAST(pos AS DOUBLE)) OVER w * pos + regr_intercept(value, CAST(pos AS DOUBLE)) OVER w)')} FROM t3 WINDOW w AS (PARTITION BY series_id)".replace("6) + 0", "3) + 0"))
+def detrend_residuals(spark, d):
+    w, i = Window.partitionBy("series_id"), F.col("pos").cast("double")
+    return T3(spark, d).select("series_id", F.col("pos").cast("long").alias("pos"), (F.round(F.col("value") - (F.regr_slope("value", i).over(w) * i + F.regr_intercept("value", i).over(w)), 3) + 0.0).alias("resid"))
+
+
+@query(f"WITH {S3}, z AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM t3) SELECT series_id, CAST(pos // 12 AS BIGINT) AS block, {r('mean=avg(value)')} FROM z WHERE pos < (n // 12) * 12 GROUP BY 1, 2")
+def period_means(spark, d):
+    n = F.count("value").over(Window.partitionBy("series_id"))
+    rows = T3(spark, d).withColumn("n", n).filter(F.col("pos") < F.floor(F.col("n") / 12) * 12)
+    return rows.groupBy("series_id", F.floor(F.col("pos") / 12).alias("block")).agg(F.avg("value").alias("mean"))
+
+
+def _lag_sql(series: str, k: int) -> str:
+    return f"SELECT series_id, {k} AS lag, {r('autocorrelation=coalesce(covar_pop(value, z) / nullif(stddev_pop(value) FILTER (z IS NOT NULL) * stddev_pop(z), 0), 0)')} FROM (SELECT *, lag(value, {k}) OVER (PARTITION BY series_id ORDER BY pos) AS z FROM {series}) GROUP BY 1"
+
+
+@query(f"WITH {S1}, {S3} {_lag_sql('t1', 7)} UNION ALL {_lag_sql('t3', 12)}")
+def lag_autocorrelation(spark, d):
+    one = lambda points, k: metrics.lag_autocorrelation(points, k).select("series_id", F.lit(k).alias("lag"), "autocorrelation")
+    return one(T1(spark, d), 7).unionByName(one(T3(spark, d), 12))
+
+
+_CHECK_SQL = f"""{S2}, u AS (SELECT *, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY pos) AS gap, lag(value, 7) OVER (PARTITION BY series_id ORDER BY pos) AS z FROM t2),
+q AS (SELECT series_id, count(*) AS length, true AS timestamps_not_null, bool_and(value IS NOT NULL) AS values_not_null, bool_and(value BETWEEN 0 AND 1000) AS range_ok, coalesce(bool_and(gap = 1), false) AS daily_frequency_ok,
+  coalesce(regr_slope(value, CAST(pos AS DOUBLE)), 0) AS trend_slope, count(*) FILTER (value >= 200) AS anomaly_count,
+  CASE WHEN count(*) >= 14 THEN coalesce(covar_pop(value, z) / nullif(stddev_pop(value) FILTER (z IS NOT NULL) * stddev_pop(z), 0), 0) END AS auto FROM u GROUP BY 1),
+v AS (SELECT *, length = 30 AS length_ok, abs(trend_slope) <= 0.3::DOUBLE AS flat_ok, coalesce(auto >= 0.7::DOUBLE, false) AS weekly_ok FROM q),
+fl AS (SELECT *, list_filter([CASE WHEN NOT length_ok THEN 'length_ok' END, CASE WHEN NOT range_ok THEN 'range_ok' END, CASE WHEN NOT daily_frequency_ok THEN 'daily_frequency_ok' END,
+  CASE WHEN NOT flat_ok THEN 'no_strong_trend_ok' END, CASE WHEN NOT weekly_ok THEN 'weekly_seasonality_ok' END], lambda x: x IS NOT NULL) AS failed FROM v)"""
+
+
+def _checked(spark, d, points=T2, length=30):
+    return validate.validate(points(spark, d), length, 0.0, 1000.0, "none", True)
+
+
+@query(f"WITH {_CHECK_SQL} SELECT series_id, length, length_ok, range_ok, daily_frequency_ok, flat_ok AS no_strong_trend_ok, weekly_ok AS weekly_seasonality_ok, anomaly_count, {r('trend_slope')}, len(failed) = 0 AS valid_series FROM fl")
+def legacy_validation(spark, d):
+    return _checked(spark, d).select("series_id", "length", "length_ok", "range_ok", "daily_frequency_ok", "no_strong_trend_ok", "weekly_seasonality_ok", "anomaly_count", "trend_slope", "valid_series")
+
+
+@query(f"WITH {_CHECK_SQL} SELECT series_id, array_to_string(failed, '|') AS failed_checks FROM fl")
+def failed_checks(spark, d):
+    return _checked(spark, d).select("series_id", F.array_join("failed_checks", "|").alias("failed_checks"))
+
+
+_SCORE = "(CASE WHEN length_ok THEN 5 ELSE 0 END + 10 + CASE WHEN len(failed) = 0 THEN 100 ELSE 0 END + CASE WHEN flat_ok THEN 25 ELSE -15 END - least(abs(trend_slope), 20) + CASE WHEN weekly_ok THEN 25 ELSE -15 END + 5 * greatest(-1, least(1, coalesce(auto, 0))) - 10 * len(failed))"
+
+
+@query(f"WITH {_CHECK_SQL} SELECT series_id, CAST(len(failed) AS INT) AS n_failed_checks, {r(f'quality_score={_SCORE}')} FROM fl")
+def quality_score(spark, d):
+    return validate.quality_score(_checked(spark, d), "none", True, None).select("series_id", "n_failed_checks", "quality_score")
+
+
+@query(f"""WITH {_CHECK_SQL}, ca AS (SELECT CAST(series_id AS BIGINT) AS candidate_id, CAST(series_id AS BIGINT) % 10 AS grp, len(failed) = 0 AS ok, round({_SCORE}, 6) AS s, len(failed) AS nf FROM fl)
+SELECT grp, candidate_id, CAST(row_number() OVER (PARTITION BY grp ORDER BY ok DESC, s DESC, nf, candidate_id) AS INT) AS rank FROM ca""")
+def candidate_rank(spark, d):
+    rows = validate.quality_score(_checked(spark, d), "none", True, None).withColumn("quality_score", F.round("quality_score", 6)).withColumn("candidate_id", F.col("series_id").cast("long"))
+    return validate.best_candidate(rows.withColumn("grp", F.col("candidate_id") % 10), "grp").select("grp", "candidate_id", "rank")
+
+
+@query(f"""WITH {_CHECK_SQL}, o AS (SELECT series_id, len(failed) AS a, len(failed) - CAST(NOT length_ok AS INT) + CAST(length <> 28 AS INT) AS b FROM fl)
+SELECT series_id, CASE WHEN a > 0 AND (b = 0 OR b < a) THEN 'refined' ELSE 'initial' END AS attempt FROM o""")
+def refine_or_keep(spark, d):
+    first = validate.quality_score(_checked(spark, d), "none", True, None)
+    second = validate.quality_score(_checked(spark, d, length=28), "none", True, None)
+    return validate.refine_or_keep(first, second).select("series_id", "attempt")
+
+
+@query(f"WITH {S2} SELECT series_id, pos, ts, {r('value=greatest(20, least(60, value))')} FROM t2")
+def curate_dedupe_clip(spark, d):
+    t = T2(spark, d).withColumn("src_pos", F.col("pos"))
+    twice = t.unionByName(t.withColumn("src_pos", F.col("pos") + 1000).withColumn("value", F.lit(0.0)))
+    return curate.curate(twice.select("series_id", "src_pos", "ts", "value"), F.lit(20.0), F.lit(60.0))
+
+
+@query(f"WITH {S3} SELECT series_id, pos, {r('value')} FROM t3 WHERE pos < 60")
+def truncate_to_length(spark, d):
+    return curate.truncate_to(T3(spark, d), 60).select("series_id", "pos", "value")
+
+
+@query(f"""WITH {S1}, t AS (SELECT * FROM t1 WHERE pos < 20), p AS (SELECT series_id, count(*) AS n FROM t GROUP BY 1),
+wk AS (SELECT series_id, pos // 7 AS w, avg(value) AS v FROM t JOIN p USING (series_id) WHERE pos < (n // 7) * 7 GROUP BY 1, 2),
+dr AS (SELECT series_id, coalesce((arg_max(v, w) - arg_min(v, w)) / nullif(count(*) - 1, 0), 0) AS x FROM wk GROUP BY 1),
+ph AS (SELECT series_id, pos % 7 AS phase, avg(value) AS base, count(*) AS seen FROM t GROUP BY 1, 2)
+SELECT p.series_id, CAST(g.pos AS INT) AS pos, {r("value=greatest(0, least(1000, base + CASE WHEN x > 0 THEN x WHEN x < 0 THEN -x ELSE 7 END * greatest(0, g.pos // 7 - (seen - 1))))")}
+FROM p JOIN dr USING (series_id) CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS pos) g JOIN ph ON ph.series_id = p.series_id AND ph.phase = g.pos % 7 WHERE g.pos >= p.n""")
+def complete_weekly(spark, d):
+    return curate.complete(curate.truncate_to(T1(spark, d), 20), 30, "increasing", True)
+
+
+@query(f"""WITH {S1}, t AS (SELECT * FROM t1 WHERE pos < 20), p AS (SELECT series_id, count(*) AS n, arg_max(value, pos) AS la FROM t GROUP BY 1),
+st AS (SELECT series_id, coalesce((arg_max(value, pos) - arg_min(value, pos)) / nullif(count(*) - 1, 0), 0) AS x FROM t JOIN p USING (series_id) WHERE pos >= n - 5 GROUP BY 1)
+SELECT series_id, CAST(g.pos AS INT) AS pos, {r("value=greatest(0, least(1000, la + CASE WHEN x < 0 THEN x WHEN x > 0 THEN -x ELSE -1 END * (g.pos - n + 1)))")}
+FROM p JOIN st USING (series_id) CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS pos) g WHERE g.pos >= n""")
+def complete_linear(spark, d):
+    return curate.complete(curate.truncate_to(T1(spark, d), 20), 30, "decreasing", False)
+
+
+@query(f"WITH {S2} SELECT series_id, greatest(0, 28 - count(*)) AS completed_points, greatest(0, count(*) - 28) AS truncated_points, {r('curation_change_rate=abs(28 - count(*)) / 28.0::DOUBLE')} FROM t2 GROUP BY 1")
+def curation_change_rate(spark, d):
+    return curate.curation_change(T2(spark, d), 28)
+
+
+@query(f"""WITH {S6}, m AS (SELECT median(n_orders) AS a, median(mean) AS b, median(std) AS c, coalesce(nullif(stddev_pop(n_orders), 0), 1) AS x, coalesce(nullif(stddev_pop(mean), 0), 1) AS y, coalesce(nullif(stddev_pop(std), 0), 1) AS z FROM t6),
+q AS (SELECT reference_id, (n_orders - a) / x AS u, (mean - b) / y AS v, (std - c) / z AS w FROM t6, m), o AS (SELECT * FROM q WHERE reference_id = 1)
+SELECT q.reference_id, {r("distance=sqrt((q.u - o.u) ** 2 + (q.v - o.v) ** 2 + (q.w - o.w) ** 2)")} FROM q, o WHERE q.reference_id <> 1 ORDER BY sqrt((q.u - o.u) ** 2 + (q.v - o.v) ** 2 + (q.w - o.w) ** 2), q.reference_id LIMIT 10""")
+def knn_neighbors(spark, d):
+    return select.nearest(T6(spark, d), ["n_orders", "mean", "std"], 1, 10)
+
+
+def _js_sql(group: str, src: str) -> str:
+    return f"""ed AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, least(10, greatest(2, count(DISTINCT l_quantity))) AS kk FROM lineitem),
+rf AS (SELECT least(kk - 1, CAST(floor((l_quantity - lo) / (hi - lo) * kk) AS BIGINT)) AS bin, count(*) AS r FROM lineitem, ed GROUP BY 1),
+cd AS (SELECT {group} AS g, least(kk - 1, CAST(floor((l_quantity - lo) / (hi - lo) * kk) AS BIGINT)) AS bin, count(*) AS c FROM {src}, ed GROUP BY 1, 2),
+gr AS (SELECT gg.g, b.bin, coalesce(r, 0) + 1.0::DOUBLE AS rr, coalesce(c, 0) + 1.0::DOUBLE AS qq FROM (SELECT DISTINCT g FROM cd) gg CROSS JOIN (SELECT unnest(generate_series(0, (SELECT kk - 1 FROM ed))) AS bin) b LEFT JOIN rf ON rf.bin = b.bin LEFT JOIN cd ON cd.g = gg.g AND cd.bin = b.bin),
+pq AS (SELECT g, rr / sum(rr) OVER (PARTITION BY g) AS p, qq / sum(qq) OVER (PARTITION BY g) AS q FROM gr),
+js AS (SELECT g, sqrt(greatest(0, sum(p * ln(p / ((p + q) / 2)) / 2 + q * ln(q / ((p + q) / 2)) / 2))) AS dist FROM pq GROUP BY g)"""
+
+
+@query(f"WITH {_js_sql('l_returnflag', 'lineitem')} SELECT g AS l_returnflag, {r('distance=dist')} FROM js")
+def js_distance(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
+    return select.js_distance(rows, rows, "l_quantity", ["l_returnflag"])
+
+
+@query(f"WITH {_js_sql('l_linenumber', 'lineitem')} SELECT g AS candidate, {r('distance=dist')} FROM js ORDER BY dist, g LIMIT 1")
+def subset_min_distance(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("candidate"), "l_quantity")
+    return select.closest_subset(rows, rows, ["l_quantity"])
+
+
+@query(f"""WITH {S6}, cu AS (SELECT list_distinct(quantile_cont(mean, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS cuts FROM t6)
+SELECT reference_id, CAST(greatest(0, len(list_filter(cuts, lambda x: x < mean)) - 1) AS INT) AS bin FROM t6, cu""")
+def quantile_bins(spark, d):
+    return select.quantile_bins(T6(spark, d), "mean").select("reference_id", "bin")
+
+
+_ROLES = [("steepest", "-mean"), ("calmest", "std"), ("typical", "abs(n_orders - 10)"), ("busiest", "-n_orders")]
+
+
+@query(f"""WITH {S6}, r1 AS (SELECT reference_id FROM t6 ORDER BY -mean, reference_id LIMIT 1), r2 AS (SELECT reference_id FROM t6 WHERE reference_id NOT IN (SELECT * FROM r1) ORDER BY std, reference_id LIMIT 1),
+r3 AS (SELECT reference_id FROM t6 WHERE reference_id NOT IN (SELECT * FROM r1 UNION ALL SELECT * FROM r2) ORDER BY abs(n_orders - 10), reference_id LIMIT 1),
+r4 AS (SELECT reference_id FROM t6 WHERE reference_id NOT IN (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) ORDER BY -n_orders, reference_id LIMIT 1)
+SELECT 'steepest' AS role, * FROM r1 UNION ALL SELECT 'calmest', * FROM r2 UNION ALL SELECT 'typical', * FROM r3 UNION ALL SELECT 'busiest', * FROM r4""")
+def role_topk(spark, d):
+    return select.by_roles(T6(spark, d), _ROLES)
+
+
+@query()
+def seeded_sample(spark, d):
+    return select.seeded_sample(T6(spark, d), 25, 43)
+
+
+def _runs(spark, d) -> DataFrame:
+    """orders with their customers as run records: model, method, profile and scores."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    status = F.when(F.col("o_orderkey") % 11 == 0, None).when(F.col("o_orderstatus") == "F", "failed").otherwise("success")
+    return o.select(
+        F.concat_ws("_", "c_mktsegment", "o_orderstatus", F.concat(F.lit("run"), F.col("o_orderkey").cast("string"))).alias("experiment_id"), status.alias("status"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.lit("b1")).alias("batch_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("method"), F.col("c_mktsegment").alias("profile_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, "yes").when(F.col("o_orderkey") % 3 == 1, "no").alias("strict_llm_valid"), F.round(F.col("o_totalprice") / 1000, 6).alias("llm_profile_compliance_score"), F.col("c_acctbal").alias("elapsed_time_seconds"),
+    )
+
+
+_RUNS = """rn AS (SELECT concat_ws('_', c_mktsegment, o_orderstatus, 'run' || o_orderkey) AS experiment_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN o_orderkey % 7 <> 0 THEN 'b1' END AS batch_id, o_orderpriority AS model, o_orderstatus AS method, c_mktsegment AS profile_id, o_orderkey % 3 = 0 AS strict_llm_valid, round(o_totalprice / 1000, 6) AS llm_profile_compliance_score, c_acctbal AS elapsed_time_seconds
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+_AGG = f"""count(experiment_id) AS n_runs, {r("success_rate=avg(CAST(status IS NOT DISTINCT FROM 'success' AS INT))", "strict_llm_valid_rate=avg(CAST(strict_llm_valid AS INT))", "mean_llm_profile_compliance_score=avg(llm_profile_compliance_score)", "std_llm_profile_compliance_score=stddev_samp(llm_profile_compliance_score)", "mean_time_seconds=avg(elapsed_time_seconds)", "std_time_seconds=stddev_samp(elapsed_time_seconds)")}"""
+
+
+def _rolled(spark, d, sets) -> DataFrame:
+    return rollup.roll_up(_runs(spark, d).withColumn("strict_llm_valid", c.as_flag(F.col("strict_llm_valid"))), sets)
+
+
+def _rollup(name: str, keys: tuple[str, ...]) -> None:
+    QUERIES[name] = lambda spark, d: rounded(_rolled(spark, d, [keys]).drop("level"))
+    ORACLE[name] = f"WITH {_RUNS} SELECT {', '.join(keys)}, {_AGG} FROM rn GROUP BY {', '.join(keys)}"
+
+
+for _name, _keys in zip(("rollup_full", "rollup_model_method", "rollup_model", "rollup_profile_method"), rollup.ROLLUPS, strict=True):
+    _rollup(_name, _keys)
+
+
+@query(f"""WITH {_RUNS} SELECT batch_id, model, profile_id, method, grouping(batch_id, model, profile_id, method) AS level, {_AGG} FROM rn
+GROUP BY GROUPING SETS ((batch_id, model, profile_id, method), (batch_id, model, method), (batch_id, model), (batch_id, profile_id, method))""")
+def rollup_all(spark, d):
+    return _rolled(spark, d, rollup.ROLLUPS)
+
+
+@query(f"""WITH {_RUNS} SELECT model, {r("success_rate=avg(CAST(status IS NOT DISTINCT FROM 'success' AS INT))")} FROM rn WHERE profile_id IN ('BUILDING', 'MACHINERY') AND batch_id = 'b1' GROUP BY model""")
+def filtered_runs(spark, d):
+    return rollup.select_runs(_runs(spark, d), profile_ids=["BUILDING", "MACHINERY"], batch_id="b1").groupBy("model").agg(F.avg(F.col("status").eqNullSafe(F.lit("success")).cast("double")).alias("success_rate"))
+
+
+def _flagged(spark, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = lambda m: F.when(k % m == 0, "TRUE").when(k % m == 1, " y ").when(k % m == 2, "0")
+    names = ["profile_parse_success", "raw_json_valid", "parse_repaired", "length_ok", "timestamps_not_null", "values_not_null", "daily_frequency_ok", "range_ok", "values_numeric", "increasing_trend_ok", "decreasing_trend_ok", "no_strong_trend_ok", "weekly_seasonality_ok"]
+    pid = F.element_at(F.array(*[F.lit(p[0]) for p in model.PROFILES]), (k % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select(k.alias("id"), pid.alias("profile_id"), *[text(3 + i % 3).alias(n) for i, n in enumerate(names)], F.when(k % 4 == 0, k % 9).alias("completed_points"), F.when(k % 5 == 0, k % 7).alias("truncated_points"))
+
+
+_F = lambda i: f"(o_orderkey % {3 + i % 3} < 2)"
+_OLD = f"CASE o_orderkey % 6 WHEN 0 THEN {_F(11)} WHEN 1 THEN {_F(11)} AND {_F(12)} WHEN 2 THEN {_F(9)} AND {_F(12)} WHEN 3 THEN {_F(10)} WHEN 4 THEN {_F(11)} AND {_F(12)} ELSE {_F(9)} AND {_F(12)} END"
+_PARSE, _STRUCT = f"({_F(0)} OR {_F(1)} OR {_F(2)})", " AND ".join(_F(i) for i in range(3, 9))
+
+
+@query(f"""SELECT o_orderkey AS id, {_PARSE} AS parse_success, {_STRUCT} AND {_PARSE} AS legacy_structural_valid, {_OLD} AS legacy_temporal_valid, {_STRUCT} AND {_PARSE} AND ({_OLD}) AS legacy_final_recomputed,
+  CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 9 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 7 ELSE 0 END AS curation_intensity FROM orders""")
+def derived_flags(spark, d):
+    return rollup.derived_flags(_flagged(spark, d)).select("id", "parse_success", "legacy_structural_valid", "legacy_temporal_valid", "legacy_final_recomputed", "curation_intensity")
+
+
+@query(r"""SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(p_name || ' / ' || p_type), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'), ''), 'unknown') AS slug,
+  concat_ws('_', p_brand, 'prompt_only', CASE WHEN p_size % 2 = 0 THEN 'b' END, 'run' || p_size) AS experiment_id FROM part""")
+def slug_ids(spark, d):
+    name = c.slug(F.concat("p_name", F.lit(" / "), "p_type"))
+    eid = F.concat_ws("_", "p_brand", F.lit("prompt_only"), F.when(F.col("p_size") % 2 == 0, "b"), F.concat(F.lit("run"), F.col("p_size").cast("string")))
+    return table(spark, d, "part").select("p_partkey", name.alias("slug"), eid.alias("experiment_id"))
+
+
+@query(r"""SELECT p_partkey, coalesce(TRY_CAST(nullif(regexp_extract(s, '_run(\d+)$', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(s, 'run(\d+)', 1), '') AS INT)) AS run_id
+FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a_run' || p_size WHEN 1 THEN 'run' || p_size || '_x' ELSE 'none' END AS s FROM part)""")
+def run_id_extract(spark, d):
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    s = F.when(k == 0, F.concat(F.lit("a_run"), size)).when(k == 1, F.concat(F.lit("run"), size, F.lit("_x"))).otherwise("none")
+    return table(spark, d, "part").select("p_partkey", c.run_number(s).alias("run_id"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '-?\d+(?:\.\d+)?'), '|') AS numbers FROM documents")
+def number_extract(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), "|").alias("numbers"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"))
+
+
+@query()
+def parse_cascade(spark, d):
+    cases = ["[1, 2, 3]", '[{"timestamp": "2024-01-01", "value": 1}]', "[1, 2", "so: [4, 5] ok", "[1] and [2]", '{"output": {"values": [7, 8]}}', "[[1, 2]]", '[{"v": 1}]', '[{"a": 1, "b": 2}]', "[1, NaN]", "5", ""]
+    rows = spark.createDataFrame([(str(i), x) for i, x in enumerate(cases)], "run_id string, raw string")
+    p = rows.withColumn("p", parse_series(F.col("raw")))
+    return p.select("run_id", "p.raw_json_valid", "p.parse_repaired", "p.repair_type", "p.error", "p.shape", c.joined_list(F.col("p.vals")).alias("vals"))
+
+
+@query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS chosen FROM customer""")
+def semi_anti_filters(spark, d):
+    cust = table(spark, d, "customer").select("c_custkey")
+    has = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return cust.join(has, "c_custkey", "left_semi").withColumn("chosen", F.lit(True)).unionByName(cust.join(has, "c_custkey", "left_anti").withColumn("chosen", F.lit(False)))
+
+
+@query(f"WITH {S1} SELECT series_id, pos, {r('value')}, 'observed' AS origin FROM t1 WHERE pos < 20 UNION ALL SELECT series_id, pos, {r('value')}, 'rest' FROM t1 WHERE pos >= 20")
+def union_points(spark, d):
+    t = T1(spark, d).select("series_id", "pos", "value")
+    return t.filter("pos < 20").withColumn("origin", F.lit("observed")).unionByName(t.filter("pos >= 20").withColumn("origin", F.lit("rest")), allowMissingColumns=True)
+
+
+@query(f"""WITH {_RUNS} SELECT a.experiment_id AS for_experiment_id, count(*) AS n FROM rn a JOIN rn b ON a.profile_id = b.profile_id AND a.model = b.model AND a.batch_id IS NOT DISTINCT FROM b.batch_id AND a.method <> b.method
+WHERE b.status = 'success' AND a.experiment_id LIKE '%run1_' GROUP BY 1""")
+def previous_run_context(spark, d):
+    runs = _runs(spark, d)
+    return rollup.previous_runs(runs, runs.filter(F.col("experiment_id").like("%run1_"))).groupBy("for_experiment_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_RUNS}, x AS (SELECT profile_id, experiment_id, status = 'success' AS v, max(coalesce(status = 'success', false)) OVER (PARTITION BY profile_id, model, method) AS any_v FROM rn)
+SELECT profile_id, count(*) AS n FROM x WHERE coalesce(v, false) = any_v GROUP BY 1""")
+def prefer_valid(spark, d):
+    rows = _runs(spark, d).withColumn("valid", F.col("status") == "success")
+    return select.prefer_valid(rows, "profile_id", "model", "method").groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def bank_generate(spark, d):
+    return bank.generate_bank(model.profiles(spark))
+
+
+@query()
+def bank_features(spark, d):
+    p = model.profiles(spark)
+    return bank.bank_features(bank.generate_bank(p), p)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
