@@ -11,18 +11,27 @@ from seriesloom.llm.common import staged
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) for (a, b) rows; both columns long.
 
-    Each round every node takes the smallest label among its own and its
-    neighbours', then the label of that label. Rounds end when nothing changes;
-    each is written to the shared folder, so lineage stays short.
+    Each round every node of the remaining graph points to the smallest of its
+    neighbours and itself, pointers are followed one step further, and links
+    are drawn between the labels; those inside a label vanish, so the graph
+    shrinks fast. Every round is written to the shared folder. In the end the
+    rounds are applied one after the other.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = staged(both.distinct(), "cc-edges")
-    labels = staged(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
-    while True:
-        seen = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        next_to = labels.join(seen, labels["node"] == seen["a"], "left").select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("k"), F.col("label").alias("further"))
-        found = staged(next_to.join(jump, next_to["low"] == jump["k"], "left").select("node", F.least("low", "further").alias("label"), (F.least("low", "further") != F.col("label")).alias("moved")), "cc-labels")
-        labels = found.select("node", "label")
-        if found.filter("moved").limit(1).count() == 0:
-            return labels
+    edges = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "cc-edges")
+    rounds = []
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        up = near.select(F.col("a").alias("k"), F.col("low").alias("further"))
+        labels = staged(near.join(up, near["low"] == up["k"]).select(F.col("a").alias("node"), F.least("low", "further").alias("label")), "cc-labels")
+        rounds.append(labels)
+        one = edges.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("label").alias("x"), "b")
+        two = one.join(labels.withColumnRenamed("node", "b"), "b").select("x", F.col("label").alias("y"))
+        edges = staged(two.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    found = rounds[0]
+    for later in rounds[1:]:
+        then = later.select(F.col("node").alias("k"), F.col("label").alias("final"))
+        found = found.join(then, found["label"] == then["k"], "left").select("node", F.coalesce("final", "label").alias("label"))
+    return staged(found, "cc-found")
