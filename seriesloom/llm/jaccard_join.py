@@ -110,8 +110,28 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Per class, how many of its shingles in this partition another class has."""
+def _shared(parts: int):
+    """Per class, how many of its shingles in this partition another class has, packed by slices of the class id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cids, n = _shared_counts(table)
+        part = (cids.astype(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, cids, n = part[order], cids[order], n[order].astype(np.uint32)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return pa.table({"slice": pa.array([int(part[a]) for a, _ in spans], pa.int32()), "cids": pa.array([cids[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())})
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    cids, inverse = np.unique(_joined(table["cids"], np.int64), return_inverse=True)
+    n = np.bincount(inverse, weights=_joined(table["counts"], np.uint32), minlength=len(cids)).astype(np.int64)
+    return pa.table({"cid": pa.array(cids), "shared": pa.array(n)})
+
+
+def _shared_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     cids, inverse = np.unique(_joined(table["cids"], np.int64), return_inverse=True)
     owner = np.repeat(inverse.astype(np.uint64), _joined(table["counts"], np.uint32))
     key = np.unique((_joined(table["hashes"], np.uint32).astype(np.uint64) << np.uint64(32)) | owner)
@@ -121,7 +141,7 @@ def _shared(table: pa.Table) -> pa.Table:
     df = np.repeat(np.diff(new, append=len(h)), np.diff(new, append=len(h)))
     n = np.bincount((key[df > 1] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(cids))
     at = np.flatnonzero(n)
-    return pa.table({"cid": pa.array(cids[at]), "shared": pa.array(n[at].astype(np.int64))})
+    return cids[at], n[at]
 
 
 def set_table(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -266,7 +286,8 @@ def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
     classes = staged(set_classes(docs, k), "jaccard-classes")
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(1, math.ceil(total / PART_SHINGLES))
-    shared = _packed(docs, parts, k).groupBy("part").applyInArrow(_shared, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
+    shared = _packed(docs, parts, k).groupBy("part").applyInArrow(_shared(parts), "slice int, cids binary, counts binary")
+    shared = shared.groupBy("slice").applyInArrow(_summed, "cid long, shared long")
     each = classes.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     left = staged(each.join(shared, "cid").filter(F.col("shared") * den >= F.col("n") * num).select("cid", "doc_id"), "jaccard-left")
     texts = _plain(docs).join(left.select("doc_id").distinct(), "doc_id", "left_semi")
