@@ -60,3 +60,13 @@ def block_count(docs: DataFrame, col: str = "text", block_bytes: int = BLOCK_BYT
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of a number's decimal text, modulo ``m``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(m)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import staged, text_or_empty
+from seriesloom.llm.common import fresh, staged, text_or_empty
 
 #: Share of all rows from which a digest is treated as a heavy hitter.
 SUPPORT = 0.001
@@ -61,11 +61,12 @@ def _winners(digests: DataFrame, rows: int, support: float) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The input's rows and columns without those whose text another kept row has."""
-    kept = exact_dedup(docs.select("doc_id", "text"), support).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    rows = docs.withColumn("__own", F.sha2(text_or_empty(), 256))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")))
-    one = F.row_number().over(Window.partitionBy("__own", "__id").orderBy(F.lit(1)))
-    return joined.withColumn("__n", one).filter("__n = 1").select(docs.columns)
+    key, digest, own, n = fresh(docs, "kept_id", "kept_digest", "own_digest", "copy")
+    kept = exact_dedup(docs.select("doc_id", "text"), support).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest))
+    rows = docs.withColumn(own, F.sha2(text_or_empty(), 256))
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)))
+    one = F.row_number().over(Window.partitionBy(own, key).orderBy(F.lit(1)))
+    return joined.withColumn(n, one).filter(F.col(n) == 1).select(docs.columns)
 
 
 EXACT_DEDUP_SQL = """

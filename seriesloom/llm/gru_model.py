@@ -200,9 +200,10 @@ def _odds(sets: list[tuple[int, set[bytes]]], most: int, least: int) -> dict[byt
     return {k: float(np.clip(np.log((seen[k][1] + 0.5) / (n1 + 1)) - np.log((seen[k][0] + 0.5) / (n0 + 1)), -3, 3)) for k in common}
 
 
-def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 6, batch: int = 96, rate: float = 0.02, seed: int = 7, most: int = 20_000, least: int = 3) -> Model | None:
+def train(bags: list[tuple[int, list[list[bytes]]]], steps: int = 300, batch: int = 96, rate: float = 0.02, seed: int = 7, most: int = 20_000, least: int = 3) -> Model | None:
     """Fit on (label, windows) bags. A toxic document teaches by its likeliest window only.
 
+    ``steps`` is the least number of updates, in whole passes over the bags.
     Word vectors start, in one place, with the smoothed log odds of the word
     among the labelled documents, and so do those of word beginnings. Without
     both labels there is no model.
@@ -218,6 +219,8 @@ def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 6, batch: int
     model.p["head"][1:, 0] = list(head_odds.values())
     rng = np.random.default_rng(seed)
     flat = [(i, w) for i, (y, windows) in enumerate(bags) if y for w in windows]
+    per_epoch = -(-(sum(y for y, _ in bags) + sum(min(2, len(w)) for y, w in bags if not y)) // batch)
+    epochs = max(2, -(-steps // per_epoch))
     for epoch in range(epochs):
         best: dict[int, tuple[float, list[bytes]]] = {}
         for a in range(0, len(flat), 1024):
@@ -239,6 +242,6 @@ def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 6, batch: int
         for a in range(0, len(order), batch):
             part = [chosen[i] for i in order[a : a + batch]]
             words, at, mask = batch_of([w for _, w in part])
-            model.adam(model.gradients(words, at, mask, np.array([y for y, _ in part], np.float32)), rate / (1 + epoch / 2))
+            model.adam(model.gradients(words, at, mask, np.array([y for y, _ in part], np.float32)), rate / (1 + 4 * epoch / epochs))
     del model.moments
     return model

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import staged
+from seriesloom.llm.common import fresh, staged
 from seriesloom.llm.components import components
 from seriesloom.llm.shingles import WordHashes, bitmap, chunks, fold, shingle_sets, signature_words
 
@@ -308,8 +308,9 @@ def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The input's rows and columns with one document of each component, the smallest id."""
-    kept = near_components(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    (key,) = fresh(docs, "kept_id")
+    kept = near_components(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 JACCARD_SQL = r"""

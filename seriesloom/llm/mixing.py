@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import staged, word_count
+from seriesloom.llm.common import fresh, staged, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -100,9 +100,10 @@ def _cut(copies: DataFrame, slices: int, max_repeat: int) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the input's rows and columns, each as often as taken."""
-    picked = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(picked, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    key, copies, n = fresh(docs, "mix_id", "mix_copies", "mix_n")
+    picked = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0).withColumnRenamed("doc_id", key)
+    rows = docs.join(picked, F.col("doc_id").eqNullSafe(F.col(key)))
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 MIX_SQL = r"""
