@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ from seriesloom.llm.common import block_count, crc_mod, staged
 from seriesloom.llm.shingles import WordHashes
 
 ORDER = 5
-BLOCK = 32 << 20
-CHUNK = 2 << 20
+BLOCK = 10 << 20
+CHUNK = 1 << 20
 TOKENS = -1
 PACKED = "part int, block int, kind int, keys binary, counts binary"
 _U8 = np.uint64(8)
@@ -87,6 +88,15 @@ def _part(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
+def _enc(keys: np.ndarray) -> bytes:
+    """Sorted numbers (or counts) as compressed differences."""
+    return zstandard.compress(np.diff(keys.astype(np.int64), prepend=0).tobytes(), 1)
+
+
+def _dec(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.int64))
+
+
 def _pack(rows: list[tuple]) -> pa.Table:
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -107,7 +117,7 @@ def _asked(parts: int, order: int):
             for found, k, t in ((tokens, h, train), (top, key, ~held[doc])):
                 u, inverse = np.unique(k, return_inverse=True)
                 found.append((u, np.bincount(inverse, weights=t, minlength=len(u)).astype(np.int64)))
-            if len(top) > 8:
+            if len(top) > 4:
                 tokens, top = [_summed(tokens)], [_summed(top)]
         found = {TOKENS: _summed(tokens), order: _summed(top)}
         for k in range(order - 1, -1, -1):
@@ -118,7 +128,7 @@ def _asked(parts: int, order: int):
             p = _part(u, kind, parts)
             by = np.argsort(p, kind="stable")
             cuts = np.flatnonzero(np.diff(p[by], prepend=-1, append=parts))
-            rows += [(int(p[by[a]]), block, kind, u[by[a:b]].tobytes(), c[by[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows += [(int(p[by[a]]), block, kind, _enc(u[by[a:b]].view(np.int64)), _enc(c[by[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return _pack(rows)
 
     return run
@@ -130,14 +140,14 @@ def _answered(table: pa.Table) -> pa.Table:
     part, rows = table["part"][0].as_py(), []
     for kind in np.unique(kinds).tolist():
         at = np.flatnonzero(kinds == kind)
-        asked = [np.frombuffer(table["keys"][int(i)].as_py(), np.uint64) for i in at]
-        u, c = _summed([(k, np.frombuffer(table["counts"][int(i)].as_py(), np.int64)) for k, i in zip(asked, at, strict=True)])
+        asked = [_dec(table["keys"][int(i)].as_py()).view(np.uint64) for i in at]
+        u, c = _summed([(k, _dec(table["counts"][int(i)].as_py())) for k, i in zip(asked, at, strict=True)])
         u, c = u[c > 0], c[c > 0]
         if kind == TOKENS:
-            rows.append((part, -1, kind, b"", np.array([len(u), c.sum()], np.int64).tobytes()))
+            rows.append((part, -1, kind, b"", _enc(np.array([len(u), c.sum()], np.int64))))
         for i, k in zip(at, asked, strict=True):
             hit = np.isin(u, k, assume_unique=True) if kind == TOKENS else np.isin(u >> _U8, np.unique(k >> _U8))
-            rows.append((part, int(blocks[i]), kind, u[hit].tobytes(), c[hit].tobytes()))
+            rows.append((part, int(blocks[i]), kind, _enc(u[hit].view(np.int64)), _enc(c[hit])))
     return _pack(rows)
 
 
@@ -192,7 +202,7 @@ def _scored(order: int, n_tokens: int, n_distinct: int):
     def run(table: pa.Table, side: pa.Table) -> pa.Table:
         found: dict[int, list] = {k: [] for k in range(TOKENS, order + 1)}
         for kind, k, c in zip(side["kind"].to_pylist(), side["keys"], side["counts"], strict=True):
-            found[kind].append((np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64)))
+            found[kind].append((_dec(k.as_py()).view(np.uint64), _dec(c.as_py())))
         tokens, counts = _summed(found[TOKENS])
         trie = Trie([_summed(found[k]) for k in range(order + 1)])
         hashes, cols = WordHashes(), [[], [], [], []]
@@ -224,7 +234,7 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK) ->
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"))
     asked = dealt.groupBy("block").applyInArrow(_asked(blocks, order), PACKED)
     answers = staged(asked.groupBy("part").applyInArrow(_answered, PACKED), "ppm-counts")
-    totals = [np.frombuffer(r["counts"], np.int64) for r in answers.filter("block < 0").select("counts").collect()]  # one small row for each partition
+    totals = [_dec(bytes(r["counts"])) for r in answers.filter("block < 0").select("counts").collect()]  # one small row for each partition
     n_distinct, n_tokens = (int(sum(t[i] for t in totals)) for i in (0, 1))
     side = answers.filter("block >= 0").select("block", "kind", "keys", "counts")
     return dealt.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_scored(order, n_tokens, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
