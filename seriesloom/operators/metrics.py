@@ -51,7 +51,7 @@ def trend_table(resid: DataFrame) -> DataFrame:
     ranked = means.withColumn("rank", F.rank().over(w.orderBy("v")) + (tied - 1) / 2.0)
     out = ranked.groupBy(*KEY).agg(F.count("v").alias("m"), safe_corr(F.col("at"), F.col("rank")).alias("rho"), F.regr_slope("v", "at").alias("block_slope"), F.max_by("v", "at").alias("last"), F.min_by("v", "at").alias("first"))
     two = F.signum(F.col("last") - F.col("first"))
-    return out.withColumn("rho", F.when(F.col("m") < 2, 0.0).when(F.col("m") == 2, two).otherwise(F.col("rho")))
+    return out.withColumn("rho", F.when(F.col("m") < 2, 0.0).when(F.col("m") == 2, two).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho")))))
 
 
 def series_statistics(points: DataFrame) -> DataFrame:
