@@ -27,7 +27,7 @@ def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """n, mean and sample deviation of each key from all batches so far."""
     per = spark.read.parquet(path).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
     variance = (F.col("squares") - F.col("total") * F.col("total") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
-    return per.select(*keys, "n", (F.col("total") / F.col("n")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), variance)).alias("std"))
+    return per.select(*keys, "n", (F.col("total") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), variance))).alias("std"))
 
 
 def windowed(stream: DataFrame, ts: str, key: str, value: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
