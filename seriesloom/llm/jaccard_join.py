@@ -47,7 +47,7 @@ NUM, DEN = 3, 4
 WORDS = 5
 MIN_HASHES = 6
 #: Shingles, and prefix hashes, that one hash partition holds.
-PART_SHINGLES, PART_PREFIXES = 3_000_000, 300_000
+PART_SHINGLES, PART_PREFIXES = 3_000_000, 1_000_000
 #: Rows and columns of bitmaps compared at once.
 TILE = 256
 

@@ -77,9 +77,9 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
         yield ids, texts
 
 
-def signature_words(n: int, most: int = 64) -> int:
-    """64-bit words of the bitmap of a set of n: a power of two, 2 to 4 bits an element."""
-    return min(most, 1 << max(1, (n // 32).bit_length()))
+def signature_words(n: int, most: int = 128) -> int:
+    """64-bit words of the bitmap of a set of n: a power of two, 4 to 8 bits an element."""
+    return min(most, 1 << max(1, (n // 16).bit_length()))
 
 
 def bitmap(s: np.ndarray, words: int) -> np.ndarray:
