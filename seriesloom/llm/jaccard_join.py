@@ -281,6 +281,15 @@ def _candidates(num: int, den: int):
     return run
 
 
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """node, label after further links: only the graph between labels is solved."""
+    named = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    ends = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    top = components(ends).select(F.col("node").alias("k"), F.col("label").alias("top"))
+    new = top.select(F.col("k").alias("node")).join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))
+    return labels.unionByName(new).withColumnRenamed("label", "k").join(top, "k", "left").select("node", F.coalesce("top", "k").alias("label"))
+
+
 def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     classes = staged(set_classes(docs, k), "jaccard-classes")
@@ -300,7 +309,7 @@ def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
     missed = tiles.groupBy("part", "band").applyInArrow(_candidates(num, den), "a long, b long").distinct()
     more = staged(verified(missed, sets, num, den), "jaccard-more")
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        labels = _merged(labels, more)
     named = classes.join(labels, classes["cid"] == labels["node"], "left").select("doc_id", "n", F.coalesce("label", "cid").alias("group"))
     smallest = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
