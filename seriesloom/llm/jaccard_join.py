@@ -16,7 +16,10 @@
    sets in one or neighbouring bands can link. In a tile, sets that meet on a
    prefix hash and are not yet in one component are compared by bit counts,
    which bound the overlap from above; the pairs that pass are intersected
-   exactly as sorted arrays. So pairs inside a group of copies are not listed.
+   exactly as sorted arrays. A first pass lists only a forest of each tile's
+   pairs, strongest bounds first, and its links are merged; the second lists
+   every pair that still lies between two components. So pairs inside a group
+   of copies are not listed, and no link between components is missed.
 
 Links are 64-bit hashes of shingles; classes are told apart by a 64-bit digest
 of the set.
@@ -223,7 +226,12 @@ def _tiles(sets: DataFrame, labels: DataFrame, parts: int, num: int, den: int) -
 
 
 def tile_pairs(n: np.ndarray, label: np.ndarray, home: np.ndarray, maps: list[np.ndarray], num: int = NUM, den: int = DEN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one group that bit counts cannot rule out.
+    """Index pairs of one group that bit counts cannot rule out."""
+    return ((p, q) for p, q, _ in bounded_pairs(n, label, home, maps, num, den))
+
+
+def bounded_pairs(n: np.ndarray, label: np.ndarray, home: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of tile_pairs with the share of both sizes that their overlap bound is.
 
     Not yet in one component, at least one at home, and with an overlap bound
     of at least num / (num + den) of both sizes, which links need.
@@ -250,11 +258,37 @@ def tile_pairs(n: np.ndarray, label: np.ndarray, home: np.ndarray, maps: list[np
                 only_x = np.bitwise_count(x[s] & ~y[t]).sum(axis=1, dtype=np.int64)
                 only_y = np.bitwise_count(y[t] & ~x[s]).sum(axis=1, dtype=np.int64)
                 bound = np.minimum(n[p[s]] - only_x, n[q[t]] - only_y)
-                good = bound * (num + den) >= num * (n[p[s]] + n[q[t]])
-                yield p[s[good]], q[t[good]]
+                both = n[p[s]] + n[q[t]]
+                good = bound * (num + den) >= num * both
+                yield p[s[good]], q[t[good]], bound[good] / both[good]
+
+
+class Forest:
+    """Keeps, of the pairs offered, those that join two trees; sets of one label start as one tree."""
+
+    def __init__(self, label: np.ndarray):
+        self.tree = np.unique(label, return_inverse=True)[1].reshape(-1)
+        order = np.argsort(self.tree, kind="stable")
+        self.members = np.split(order, np.flatnonzero(np.diff(self.tree[order])) + 1)
+
+    def joining(self, p: np.ndarray, q: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strongest pairs first."""
+        at = np.flatnonzero(self.tree[p] != self.tree[q])
+        kept = []
+        for i in at[np.argsort(-strength[at], kind="stable")].tolist():
+            x, y = int(self.tree[p[i]]), int(self.tree[q[i]])
+            if x != y:
+                if len(self.members[x]) < len(self.members[y]):
+                    x, y = y, x
+                self.tree[self.members[y]] = x
+                self.members[x] = np.concatenate([self.members[x], self.members[y]])
+                kept.append(i)
+        return p[kept], q[kept]
+
 
+def _candidates(num: int, den: int, forest: bool):
+    """Pairs of a tile to verify; with ``forest`` only pairs that join trees of them."""
 
-def _candidates(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         cid, n, label = (table[c].to_numpy() for c in ("cid", "n", "label"))
         home = table["home"].to_numpy(zero_copy_only=False)
@@ -267,13 +301,17 @@ def _candidates(num: int, den: int):
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
         found: set[tuple[int, int]] = set()
         tried: set[bytes] = set()
+        trees = Forest(label) if forest else None
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             group = np.unique(owner[a:b])
             if len(group) < 2 or (label[group] == label[group[0]]).all() or (key := hashlib.blake2b(group.tobytes(), digest_size=16).digest()) in tried:
                 continue
             tried.add(key)
-            for p, q in tile_pairs(n[group], label[group], home[group], [maps[g] for g in group], num, den):
-                one, two = cid[group[p]], cid[group[q]]
+            for p, q, strength in bounded_pairs(n[group], label[group] if trees is None else trees.tree[group], home[group], [maps[g] for g in group], num, den):
+                p, q = group[p], group[q]
+                if trees is not None:
+                    p, q = trees.joining(p, q, strength)
+                one, two = cid[p], cid[q]
                 found.update(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist(), strict=True))
         pairs = sorted(found)
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
@@ -305,11 +343,12 @@ def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
     links = staged(verified(_min_hash_pairs(sets, MIN_HASHES), sets, num, den), "jaccard-links")
     labels = components(links)
     prefixes = sets.agg(F.sum(F.col("n") * (den - num) / den + 1).alias("n")).first()["n"] or 0
-    tiles = _tiles(sets, labels, max(1, math.ceil(prefixes / PART_PREFIXES)), num, den)
-    missed = tiles.groupBy("part", "band").applyInArrow(_candidates(num, den), "a long, b long").distinct()
-    more = staged(verified(missed, sets, num, den), "jaccard-more")
-    if more.limit(1).count():
-        labels = _merged(labels, more)
+    for forest in (True, False):
+        tiles = _tiles(sets, labels, max(1, math.ceil(prefixes / PART_PREFIXES)), num, den)
+        missed = tiles.groupBy("part", "band").applyInArrow(_candidates(num, den, forest), "a long, b long").distinct()
+        more = staged(verified(missed, sets, num, den), "jaccard-more")
+        if more.limit(1).count():
+            labels = staged(_merged(labels, more), "jaccard-labels")
     named = classes.join(labels, classes["cid"] == labels["node"], "left").select("doc_id", "n", F.coalesce("label", "cid").alias("group"))
     smallest = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

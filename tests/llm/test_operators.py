@@ -115,6 +115,19 @@ def test_tile_bound_loses_no_pair():
             assert 4 * both < 3 * (n[a] + n[b] - both) or (b, a) in found
 
 
+def test_tile_forest():
+    rng = np.random.default_rng(8)
+    label = np.array([0, 0, 1, 2, 3, 3, 4, 5])
+    trees = jaccard_join.Forest(label)
+    kept = []
+    for _ in range(3):
+        p, q = rng.integers(0, 7, 40), rng.integers(0, 7, 40)  # the last set meets no other
+        a, b = trees.joining(p, q, rng.random(40))
+        kept += zip(label[a].tolist(), label[b].tolist(), strict=True)
+    assert len(kept) == 4 and all(x != y for x, y in kept)
+    assert len(set(trees.tree[:7].tolist())) == 1 and trees.tree[7] != trees.tree[0]
+
+
 def test_repeats(docs, texts, empty):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
