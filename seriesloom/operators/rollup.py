@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,3 +153,19 @@ def previous_runs(runs: DataFrame, current: DataFrame, same_model: bool = True,
         on = on & F.col("c.batch_id").eqNullSafe(F.col("r.batch_id"))
     usable = runs.filter((F.col("status") == "success") & F.col("experiment_id").isNotNull())
     return current.alias("c").join(usable.alias("r"), on).select(F.col("c.experiment_id").alias("for_experiment_id"), "r.*")
+
+
+def previous_run_counts(runs: DataFrame, same_model: bool = True, same_batch: bool = True) -> DataFrame:
+    """How many rows ``previous_runs`` has for each of all runs (no row if none), without its pairs.
+
+    Successful runs are counted per method first; a run's own method is subtracted from its group's sum.
+    """
+    keys = ["profile_id", *["model"] * same_model, *["batch_id"] * same_batch]
+    known = [F.col(k).isNotNull() for k in (*keys, "method") if k != "batch_id"]
+    valid = runs.filter(reduce(lambda a, b: a & b, known))
+    usable = ((F.col("status") == "success") & F.col("experiment_id").isNotNull()).cast("long")
+    per = valid.groupBy(*keys, "method").agg(F.coalesce(F.sum(usable), F.lit(0)).alias("own"))
+    others = per.withColumn("n", F.sum("own").over(Window.partitionBy(*keys)) - F.col("own")).filter("n > 0")
+    on = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*keys, "method")])
+    rows = valid.alias("c").join(others.alias("o"), on).select(F.col("c.experiment_id").alias("for_experiment_id"), "o.n")
+    return rows.groupBy("for_experiment_id").agg(F.sum("n").alias("n"))

@@ -448,6 +448,12 @@ def previous_run_context(spark, d):
     return rollup.previous_runs(runs, runs.filter(F.col("experiment_id").like("%run1_"))).groupBy("for_experiment_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_RUNS} SELECT a.experiment_id AS for_experiment_id, count(*) AS n FROM rn a JOIN rn b ON a.profile_id = b.profile_id AND a.model = b.model AND a.batch_id IS NOT DISTINCT FROM b.batch_id AND a.method <> b.method
+WHERE b.status = 'success' GROUP BY 1""")
+def previous_run_counts(spark, d):
+    return rollup.previous_run_counts(_runs(spark, d))
+
+
 @query(f"""WITH {_RUNS}, x AS (SELECT profile_id, experiment_id, status = 'success' AS v, max(coalesce(status = 'success', false)) OVER (PARTITION BY profile_id, model, method) AS any_v FROM rn)
 SELECT profile_id, count(*) AS n FROM x WHERE coalesce(v, false) = any_v GROUP BY 1""")
 def prefer_valid(spark, d):

@@ -126,6 +126,17 @@ def test_flat_runs_have_all_columns(spark, tmp_path):
     assert len(rollup.aggregates(rollup.derived_flags(flat).columns)) == 47
 
 
+def test_every_run_has_its_previous_runs_counted(spark):
+    runs = [(f"r{i}", None if i % 7 == 0 else "success" if i % 3 else "failed", "ab"[i % 2], "m" if i % 5 else None, "b1" if i % 4 else None, "xyz"[i * i % 3] if i % 11 else None) for i in range(60)]
+    df = spark.createDataFrame([*runs, runs[8], (None, *runs[9][1:])], "experiment_id string, status string, profile_id string, model string, batch_id string, method string")
+    assert catalogue.queries()["previous_run_counts"](spark, SF).count() > 1000
+    for model_too in (True, False):
+        for batch_too in (True, False):
+            want = rollup.previous_runs(df, df, model_too, batch_too).groupBy("for_experiment_id").count()
+            got = rollup.previous_run_counts(df, model_too, batch_too)
+            assert sorted(map(str, got.collect())) == sorted(str(r).replace("count=", "n=") for r in want.collect())
+
+
 def test_streaming_rollup(spark, tmp_path):
     from seriesloom.streaming.rollup import current, start
 
