@@ -4,7 +4,11 @@ Text statistics are taken in one pass over the documents. Each ratio is then
 counted on a fixed integer grid per (lang, source): a quantile sketch that is
 merged by adding counts, so partial sketches combine map-side, a hot source is
 no heavier than any other, and the result doesn't depend on the order in which
-parts arrive. A value read from it is off by at most one grid step. The
+parts arrive. The grid has no top; from step 8,192 on steps widen with the
+value, so that a sketch stays small. A value read from it is off by at most one
+grid step, or by less than 1 in 4,096 of it. Ratios and fences are compared on
+that grid. QUALITY_SQL ends the grid at the last step of RATIOS, so it is no
+reference for groups with fences at or above that. The
 sketches of a language, and of the whole corpus, are sums of the same rows and
 stand in for groups with too few documents.
 
@@ -30,13 +34,15 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import WORD_SPACE, staged
 
 SYMBOLS = b"#*$%&|<>"
-#: ratio: (numerator, denominator, grid steps per unit, last step, slack in steps, lower fence too)
+#: ratio: (numerator, denominator, grid steps per unit, last step in QUALITY_SQL only, slack in steps, lower fence too)
 RATIOS = {
     "word_length": ("word_chars", "n_words", 100, 5_000, 300, True),
     "symbols": ("n_symbols", "n_words", 1000, 5_000, 100, False),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, 1_000, 400, False),
     "repeats": ("n_repeat_words", "n_words", 1000, 1_000, 150, False),
 }
+#: Leading binary digits of a step that are kept.
+DIGITS = 13
 REACH = 3
 #: Documents a group needs for fences of its own.
 LEAST = 100
@@ -152,9 +158,10 @@ def fences(judged: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFra
 
 
 def _step(name: str):
-    top, bottom, steps, last, *_ = RATIOS[name]
-    value = F.expr(f"(`{top}` * {steps}) div greatest(`{bottom}`, 1)")
-    return F.least(value, F.lit(last)).cast("long")
+    top, bottom, steps, *_ = RATIOS[name]
+    value = f"(`{top}` * {steps}) div greatest(`{bottom}`, 1)"
+    wide = f"greatest(length(bin({value})) - {DIGITS}, 0)"
+    return F.expr(f"shiftleft(shiftright({value}, {wide}), {wide})").cast("long")
 
 
 def quality_rules(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:

@@ -303,6 +303,35 @@ def test_quality_statistics(docs, texts, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def quality_kept(spark, texts):
+    return {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(make(spark, texts).selectExpr("doc_id", "text", "'en' lang", "'s' source"), least=1).collect()}
+
+
+def test_quality_fences_have_no_top(spark):
+    def marked(n):  # n symbols in each word of 1,000
+        return " ".join("#" * n + "x" * (998 - n) + f"{j:02}" for j in range(12))
+
+    def long_words(n):
+        return " ".join(f"{j:02}" + "x" * (n - 2) for j in range(12))
+
+    # quartiles 0 and 5: fence 20.1
+    got = quality_kept(spark, [marked(n) for n in [0] * 4 + [2] * 4 + [5, 990, 9, 21]])
+    assert sorted(i for i, k in got.items() if not k) == [9, 11]
+    # quartiles 10 and 25: fence 73
+    got = quality_kept(spark, [long_words(n) for n in [10] * 5 + [25] * 5 + [60, 100_000]])
+    assert sorted(i for i, k in got.items() if not k) == [11]
+    # alike beyond the SQL's last step: all stay, and what lies far above them goes
+    got = quality_kept(spark, [long_words(n) for n in [30_023] * 8 + [30_022, 90_000]])
+    assert sorted(i for i, k in got.items() if not k) == [9]
+
+
+def test_quality_grid(spark):
+    values = [*range(0, 20_000, 7), 8_191, 8_192, 8_193, 2**40 + 1, 2**50 - 1]
+    rows = spark.createDataFrame([(v, 100) for v in values], "word_chars long, n_words long")
+    steps = [r[0] for r in rows.select(quality_rules._step("word_length")).collect()]
+    assert steps == [v >> max(v.bit_length() - 13, 0) << max(v.bit_length() - 13, 0) for v in values]
+
+
 def test_network_gradients():
     words = [b"good", b"bad", b"ugly", b"fine"]
     model = gru_model.Model({b"good": 1, b"bad": 2}, {b"good": 1}, seed=1)
