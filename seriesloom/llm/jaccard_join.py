@@ -338,6 +338,8 @@ def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
     each = classes.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     left = staged(each.join(shared, "cid").filter(F.col("shared") * den >= F.col("n") * num).select("cid", "doc_id"), "jaccard-left")
     texts = _plain(docs).join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    if left.filter("doc_id is null").limit(1).count():  # classes that only rows without an id have
+        texts = texts.unionByName(_plain(docs).filter("doc_id is null"))
     # a doc_id may stand on several rows: keep the wanted classes, each once
     sets = staged(set_table(texts, k).join(left.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("elements").alias("elements")), "jaccard-sets")
     links = staged(verified(_min_hash_pairs(sets, MIN_HASHES), sets, num, den), "jaccard-links")

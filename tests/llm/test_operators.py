@@ -100,6 +100,14 @@ def test_jaccard_components(spark, docs, texts, empty, monkeypatch):
     assert jaccard_join.near_components(empty).count() == 0
 
 
+def test_jaccard_rows_without_an_id_link(spark):
+    w = [f"w{i}" for i in range(120)]
+    rows = spark.createDataFrame([(i, " ".join(w[a : a + 100])) for i, a in ((1, 0), (None, 10), (2, 20), (None, 10))], "doc_id long, text string")
+    got = jaccard_join.near_components(rows).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "None", "None"] and {r["component_id"] for r in got} == {1}
+    assert [r["doc_id"] for r in jaccard_join.one_of_each(rows).collect()] == [1]
+
+
 def test_tile_bound_loses_no_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (20, 25, 40, 300)]
