@@ -135,14 +135,19 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def _shared_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    cids, inverse = np.unique(_joined(table["cids"], np.int64), return_inverse=True)
-    owner = np.repeat(inverse.astype(np.uint64), _joined(table["counts"], np.uint32))
-    key = np.unique((_joined(table["hashes"], np.uint32).astype(np.uint64) << np.uint64(32)) | owner)
+    sizes = _joined(table["counts"], np.uint32)
+    cids, first, inverse = np.unique(_joined(table["cids"], np.int64), return_index=True, return_inverse=True)
+    # copies of a class bring the same hashes: the first counts, with what clashes inside it
+    once = np.zeros(len(inverse), bool)
+    once[first] = True
+    rows = np.repeat(once, sizes)
+    owner = np.repeat(inverse.astype(np.uint64), sizes)[rows]
+    key = np.sort((_joined(table["hashes"], np.uint32)[rows].astype(np.uint64) << np.uint64(32)) | owner)
     h = key >> np.uint64(32)
-    new = np.flatnonzero(np.diff(h, prepend=np.uint64(0)) != 0) if len(h) else np.zeros(0, np.int64)
-    new = np.unique(np.concatenate([[0], new])) if len(h) else new
-    df = np.repeat(np.diff(new, append=len(h)), np.diff(new, append=len(h)))
-    n = np.bincount((key[df > 1] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(cids))
+    start = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)))
+    length = np.diff(start, append=len(h))
+    two = np.repeat(key[start] != key[start + length - 1], length)
+    n = np.bincount((key[two] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(cids))
     at = np.flatnonzero(n)
     return cids[at], n[at]
 

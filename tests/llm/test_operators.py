@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import chat_format, exact_dedup, gru_model, jaccard_join, license_scan, mixing, packing, ppm_score, quality_rules, repeat_removal, toxicity
@@ -108,6 +109,16 @@ def test_jaccard_rows_without_an_id_link(spark):
     assert [r["doc_id"] for r in jaccard_join.one_of_each(rows).collect()] == [1]
 
 
+def test_jaccard_clashes_do_not_lower_the_count():
+    def packet(*sets):
+        return [np.array(x, t).tobytes() for x, t in (([c for c, _ in sets], np.int64), ([len(h) for _, h in sets], np.uint32), ([x for _, h in sets for x in h], np.uint32))]
+
+    # in classes 1 and 2 two shingles have the low bits 7; class 1 comes twice; class 3 shares nothing, though it clashes
+    packets = [packet((1, [7, 7, 8]), (2, [7, 9, 7])), packet((3, [5, 5])), packet((1, [7, 7, 8]))]
+    cids, n = jaccard_join._shared_counts(pa.table(dict(zip(("cids", "counts", "hashes"), map(list, zip(*packets, strict=True)), strict=True))))
+    assert (cids.tolist(), n.tolist()) == ([1, 2], [2, 2])
+
+
 def test_tile_bound_loses_no_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (20, 25, 40, 300)]
