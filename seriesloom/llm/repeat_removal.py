@@ -2,35 +2,43 @@
 
 A byte goes if a window of ``THRESHOLD`` bytes that covers it starts anywhere
 else too. Suffixes need only be ordered through that many bytes: passes over
-most significant digits (of ``DIGIT`` bytes, compared as 64-bit hashes) split
+most significant digits (of ``DIGIT`` bytes, told apart by 64-bit hashes) split
 the suffixes into groups, single ones drop out after each pass, and groups that
-are left after the last pass are exactly the repeated windows.
+are left after the last pass are the repeated windows. They are then compared
+byte by byte, so no hash decides what is removed.
 
 Only suffixes that can repeat are sorted. Every window holds an anchor, the
 gram of ``GRAM`` bytes with the smallest hash in it, and equal windows hold
 equal anchors at equal places. So:
 
-1. Texts are reduced to one row for each distinct text. A text of full length
-   with a copy is removed whole; it stays as a witness for the others.
-2. Anchors (about one for 50 bytes) go, packed, to hash partitions, and those
-   that occur once are dropped with all windows that hang on them.
-3. The windows of each anchor that is left are a stretch of bytes. Stretches
-   that are equal within a chunk of texts are settled there and go on once;
-   the others go to the partition of their anchor, where the radix passes run.
+1. Rows are written once, in blocks, and never shuffled. Of equal texts (by
+   SHA-256) one row goes on. A text of full length with a copy is removed
+   whole; it stays as a witness for the others.
+2. Each block sends its distinct anchors (about one for 50 bytes), packed, to
+   hash partitions, which answer each block with those of its anchors that occur
+   twice or more anywhere, and say which of them are hot (in ``HOT`` blocks or
+   more). An anchor in N texts costs an entry for each block, not for each text.
+3. The windows of each anchor that is left are a stretch of bytes. For hot
+   anchors, the hashes of their windows are first answered in the same way, so
+   that windows which hang on a common passage but occur once drop out where
+   they are. Stretches that are equal within a block are settled there and go on
+   once; the others go to the partition of their anchor, where the radix passes
+   run.
 
 Partitions are sized by what they hold, so their number grows with the input.
 
-Defined results: a null text is empty; matches never cross documents; equal
-rows are copies of each other; any text length works (long texts are cut into
-overlapping pieces, each window lies in one); an empty table gives an empty
-result; further columns are ignored.
+Defined results: a row for each input row; a null text is empty; matches never
+cross documents; equal rows are copies of each other; any text length works (long
+texts are cut into overlapping pieces, each window lies in one); an empty table
+gives an empty result; ``doc_id`` may be null or repeat and is only passed on;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +46,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import staged, text_or_empty
-from seriesloom.llm.shingles import chunks
+from seriesloom.llm.common import blocked, ranges, run_starts, stable_order, staged, text_bytes, text_or_empty
 
 THRESHOLD, GRAM, DIGIT = 200, 100, 50
 PIECE = 1 << 20
-PART_ANCHORS = 2_000_000
-PART_BYTES = 6 << 20
+#: Text bytes of a block, anchors of an anchor partition, bytes of stretches sorted together.
+BLOCK, PART_ANCHORS, PART_BYTES = 10 << 20, 2_000_000, 6 << 20
+#: Blocks from which an anchor is hot: its windows are counted by hash before any bytes of theirs move.
+HOT = 64
 _POS = np.uint64((1 << 21) - 1)
 _BASE = 0xD1342543DE82EF95
 _LETTERS = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +103,7 @@ def anchors(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, n
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     at = (np.minimum(back[:windows], ahead[w - 1 : w - 1 + windows]) & _POS).astype(np.int64)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
+    first = run_starts(at)
     return h[at[first]], first, np.append(first[1:], windows) - 1
 
 
@@ -104,102 +113,157 @@ def pieces(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield at, data[at : at + PIECE + THRESHOLD - 1]
 
 
-def _parts(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+def _keys(h: np.ndarray, parts: int) -> np.ndarray:
+    """Partition and lower 32 bits of each hash in one number; a clash can only keep more."""
+    return (((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
-def _packed_anchors(texts: DataFrame, parts: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for ids, data in chunks(batches, 8 << 20):
-            found = [(i, h) for i, t in zip(ids, data, strict=True) for _, p in pieces(t) if len(h := anchors(p, powers)[0])]
-            if not found:
-                continue
-            h = np.concatenate([x for _, x in found])
-            owner = np.repeat(np.asarray([i for i, _ in found], np.int64), [len(x) for _, x in found])
-            part = _parts(h, parts)
-            order = np.argsort(part, kind="stable")
-            part, owner, low = part[order], owner[order], h[order].astype(np.uint32)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-            cols: tuple = ([], [], [], [])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                new = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
-                for col, x in zip(cols, (int(part[a]), owner[a:b][new].tobytes(), np.diff(new, append=b - a).astype(np.uint32).tobytes(), low[a:b].tobytes()), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "ids", "counts", "hashes"])
+def _texts(rows: pa.Table, wanted: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """i and text of the wanted rows of a block."""
+    at = np.flatnonzero(np.isin(rows["i"].to_numpy(), wanted))
+    for i, t in zip(rows["i"].take(at), rows["text"].take(at), strict=True):
+        yield i.as_py(), t.as_py().encode()
 
-    return texts.mapInArrow(run, "part int, ids binary, counts binary, hashes binary")
+
+def _wanted(side: pa.Table) -> np.ndarray:
+    """The rows of a block that stand for their text (part -1)."""
+    return _joined(side["data"].filter(pa.array(side["part"].to_numpy() == -1)), np.int64)
+
+
+def _answers(side: pa.Table, column: str, kind: int) -> np.ndarray:
+    """Sorted keys that a block was answered; ``kind`` 0: anchors, 1: windows."""
+    rows = [(p, x) for p, k, x in zip(side["part"].to_pylist(), side["kind"].to_pylist(), side[column].to_pylist(), strict=True) if p >= 0 and k == kind]
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, x in rows]]))
+
+
+def _among(keys: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    if not len(answers):
+        return np.zeros(len(keys), bool)
+    return answers[np.minimum(np.searchsorted(answers, keys), len(answers) - 1)] == keys
+
+
+def _sent(block: int, keys: list[np.ndarray]) -> pa.Table:
+    """The distinct keys of a block and how often each occurs there, packed by partition."""
+    s = np.sort(np.concatenate([np.zeros(0, np.uint64), *keys]))
+    first = run_starts(s)
+    n, s = np.diff(first, append=len(s)).astype(np.uint32), s[first]
+    cuts = [*run_starts(s >> np.uint64(32)).tolist(), len(s)]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    low = s.astype(np.uint32)
+    return pa.table({
+        "part": pa.array([int(s[a] >> np.uint64(32)) for a, _ in spans], pa.int32()), "b": pa.array([block] * len(spans), pa.int64()),
+        "hashes": pa.array([low[a:z].tobytes() for a, z in spans], pa.binary()), "counts": pa.array([n[a:z].tobytes() for a, z in spans], pa.binary()),
+    })
+
+
+_SENT = "part int, b long, hashes binary, counts binary"
+_SIDE = "b long, part int, kind int, data binary, hot binary, n long"
+
+
+def _ask_anchors(parts: int):
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        powers, found = Powers(), []
+        if rows.num_rows and side.num_rows:
+            found = [_keys(anchors(p, powers)[0], parts) for _, t in _texts(rows, _wanted(side)) for _, p in pieces(t)]
+        return _sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
+
+    return run
+
+
+def _hot_windows(p: np.ndarray, powers: Powers, parts: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a piece that hang on hot anchors: their starts, their stretches and their keys."""
+    h, first, last = anchors(p, powers)
+    hit = _among(_keys(h, parts), hot)
+    size = (last - first + 1)[hit]
+    at = ranges(first[hit], size)
+    return at, np.repeat(np.flatnonzero(hit), size), _keys(powers.hashes(powers.sums(p), at, THRESHOLD), parts) if len(at) else np.zeros(0, np.uint64)
+
+
+def _ask_windows(parts: int):
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        powers, found = Powers(), []
+        if rows.num_rows and side.num_rows and len(hot := _answers(side, "hot", 0)):
+            found = [_hot_windows(p, powers, parts, hot)[2] for _, t in _texts(rows, _wanted(side)) for _, p in pieces(t)]
+        return _sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
+
+    return run
 
 
 def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
-def _frequent(table: pa.Table) -> pa.Table:
-    """id, part, hashes: the anchors of each text that occur twice or more anywhere."""
-    low = _joined(table["hashes"], np.uint32)
-    owner = np.repeat(_joined(table["ids"], np.int64), _joined(table["counts"], np.uint32))
-    order = np.argsort(low, kind="stable")
-    s = low[order]
-    same = s[1:] == s[:-1]
-    keep = np.zeros(len(s), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    at = order[keep]
-    at = at[np.argsort(owner[at], kind="stable")]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[at][1:] != owner[at][:-1], [True]])) if len(at) else np.zeros(1, np.int64)
-    ids = [int(owner[at[a]]) for a in cuts[:-1]]
-    lists = [low[at[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    part = int(table["part"][0].as_py())
-    return pa.table({"id": pa.array(ids, pa.int64()), "part": pa.array([part] * len(ids), pa.int32()), "hashes": pa.array(lists, pa.binary())})
-
-
-def runs_of(starts: np.ndarray) -> np.ndarray:
-    """Sorted distinct window starts as rows of (first, last)."""
-    cut = np.flatnonzero(np.diff(starts) != 1)
-    return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]], axis=1)
-
-
-def _stretches(joined: DataFrame, parts: int, to: int) -> DataFrame:
-    """Stretches for the radix passes (part >= 0), and what a chunk has settled (part -1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            out: dict[int, list] = defaultdict(lambda: [[], [], [], []])
-            settled: list[tuple[int, int, int]] = []
-            seen: dict[bytes, list] = {}
-            size = 0
-            for n, (i, t, wanted) in enumerate(zip(batch["id"], batch["text"], batch["found"], strict=True)):
-                i, t = i.as_py(), (t.as_py() or "").encode()
-                want = np.concatenate([np.frombuffer(f["hashes"], np.uint32).astype(np.uint64) | np.uint64(f["part"] << 32) for f in wanted.as_py()])
+def _frequent(kind: int, hot: int):
+    """To each block, those of its keys that occur twice or more anywhere, how often there, and the hot ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, n = _joined(table["hashes"], np.uint32), _joined(table["counts"], np.uint32)
+        order = stable_order(low)
+        first = run_starts(low[order])
+        blocks = np.diff(first, append=len(low))
+        often = np.zeros(len(low), bool)
+        heavy = np.zeros(len(low), bool)
+        if len(low):
+            often[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), first) > 1, blocks)
+            heavy[order] = np.repeat(blocks >= hot, blocks)
+        size = [len(x.as_py()) // 4 for x in table["hashes"]]
+        ends = np.cumsum(size).tolist()
+        spans = [slice(e - s, e) for e, s in zip(ends, size, strict=True)]
+        part = int(table["part"][0].as_py())
+        rows = [(b, part, kind, low[x][often[x]].tobytes(), low[x][heavy[x]].tobytes(), int(n[x][often[x]].sum())) for b, x in zip(table["b"].to_pylist(), spans, strict=True) if often[x].any()]
+        return _table(rows, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), ("b", "part", "kind", "data", "hot", "n"))
+
+    return run
+
+
+def _table(rows: list[tuple], kinds, names) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+
+
+_STRETCHES = "part int, b long, ids binary, at binary, sizes binary, bytes binary"
+
+
+def _stretches(parts: int, to: int):
+    """Stretches of a block for the radix passes, and what the block has settled (rows without bytes)."""
+
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        want = _answers(side, "data", 0) if rows.num_rows and side.num_rows else np.zeros(0, np.uint64)
+        out: dict[int, list] = defaultdict(lambda: [[], [], [], []])
+        settled: list[tuple[int, int, int]] = []
+        if len(want):
+            powers, seen = Powers(), {}
+            hot, windows = _answers(side, "hot", 0), _answers(side, "data", 1)
+            for i, t in _texts(rows, _wanted(side)):
                 for at, p in pieces(t):
                     h, first, last = anchors(p, powers)
-                    hit = np.isin((h & np.uint64(0xFFFFFFFF)) | (_parts(h, parts).astype(np.uint64) << np.uint64(32)), want)
-                    for part, a, b in zip(_parts(h[hit], to).tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                        s = t[at + a : at + b + THRESHOLD]
-                        if (known := seen.get(s)) is None:
-                            seen[s] = [i, at + a, at + b]
-                            for col, x in zip(out[part], (i, at + a, len(s), s), strict=True):
-                                col.append(x)
-                            size += len(s)
-                        else:
-                            settled += [(i, at + a, at + b), *([tuple(known)] if known[0] is not None else [])]
-                            known[0] = None
-                if size >= 8 << 20 or n == len(batch) - 1:
-                    yield _rows(out, settled)
-                    out.clear()
-                    settled, seen, size = [], {}, 0
-
-    def _rows(out, settled) -> pa.RecordBatch:
-        rows = [(p, np.asarray(i, np.int64).tobytes(), np.asarray(a, np.int32).tobytes(), np.asarray(n, np.int32).tobytes(), b"".join(s)) for p, (i, a, n, s) in out.items()]
+                    keys = _keys(h, parts)
+                    hit = _among(keys, want) & ~_among(keys, hot)
+                    found = [(h[hit], first[hit], last[hit])]
+                    if len(hot):  # of a hot anchor's windows, the runs of those that occur again
+                        w, owner, key = _hot_windows(p, powers, parts, hot)
+                        again = _among(key, windows)
+                        w, owner = w[again], owner[again]
+                        new = run_starts(w - np.arange(len(w)) + owner * np.int64(1 << 40))
+                        found.append((h[owner[new]], w[new], w[np.append(new[1:], len(w)) - 1] if len(w) else w))
+                    for hh, a_, z_ in found:
+                        for part, a, z in zip(((hh >> np.uint64(32)) % np.uint64(to)).tolist(), a_.tolist(), z_.tolist(), strict=True):
+                            s = t[at + a : at + z + THRESHOLD]
+                            if (known := seen.get(s)) is None:
+                                seen[s] = [i, at + a, at + z]
+                                for col, x in zip(out[part], (i, at + a, len(s), s), strict=True):
+                                    col.append(x)
+                            else:
+                                settled += [(i, at + a, at + z), *([tuple(known)] if known[0] is not None else [])]
+                                known[0] = None
+        b = rows["b"][0].as_py() if rows.num_rows else 0
+        made = [(p, b, np.asarray(i, np.int64).tobytes(), np.asarray(a, np.int32).tobytes(), np.asarray(n, np.int32).tobytes(), b"".join(s)) for p, (i, a, n, s) in out.items()]
         if settled:
             x = np.asarray(settled, np.int64)
-            rows.append((-1, x[:, 0].tobytes(), x[:, 1].astype(np.int32).tobytes(), x[:, 2].astype(np.int32).tobytes(), b""))
-        kinds = (pa.int32(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], ["part", "ids", "at", "sizes", "bytes"])
+            made.append((b % to, b, x[:, 0].tobytes(), x[:, 1].astype(np.int32).tobytes(), x[:, 2].astype(np.int32).tobytes(), None))
+        return _table(made, (pa.int32(), pa.int64(), *[pa.binary()] * 4), ("part", "b", "ids", "at", "sizes", "bytes"))
 
-    return joined.mapInArrow(run, "part int, ids binary, at binary, sizes binary, bytes binary")
+    return run
 
 
 def radix_groups(data: np.ndarray, starts: np.ndarray, powers: Powers) -> np.ndarray:
@@ -210,92 +274,115 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, powers: Powers) -> np.nda
     for depth in range(0, THRESHOLD, DIGIT):
         key = powers.hashes(sums, starts[left] + depth, DIGIT) ^ (group * np.uint64(0xBF58476D1CE4E5B9))
         order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        number = np.cumsum(new)
-        many = np.bincount(number)[number] > 1 if len(s) else new
-        left, group = left[order[many]], number[many].astype(np.uint64)
+        first = run_starts(key[order])
+        size = np.diff(first, append=len(order))
+        many = np.repeat(size > 1, size)
+        left, group = left[order[many]], np.repeat(np.arange(len(size)), size)[many].astype(np.uint64)
     out = np.zeros(len(starts), bool)
-    out[left] = True
+    out[left[_confirmed(data, starts[left], group)]] = True
     return out
 
 
+def _confirmed(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the windows at ``at`` equal another one, by their bytes; ``group``: sorted numbers of supposed groups."""
+    first = run_starts(group)
+    lead = np.repeat(at[first], np.diff(first, append=len(group)))
+    order = np.argsort(at, kind="stable")
+    s, lead = at[order], lead[order]
+    # a window and its leader that follow a compared pair differ from it in one byte at most
+    whole = np.concatenate([[True], (s[1:] != s[:-1] + 1) | (lead[1:] != lead[:-1] + 1)]) if len(s) else np.zeros(0, bool)
+    same = bool((data[s + THRESHOLD - 1] == data[lead + THRESHOLD - 1]).all())
+    span = np.arange(THRESHOLD)
+    x, y = s[whole], lead[whole]
+    for a in range(0, len(x), 16384):
+        same = same and bool((data[x[a : a + 16384, None] + span] == data[y[a : a + 16384, None] + span]).all())
+    if same:
+        return np.ones(len(at), bool)
+    texts = [data[a : a + THRESHOLD].tobytes() for a in at.tolist()]  # two digits clashed
+    seen = Counter(texts)
+    return np.array([seen[t] > 1 for t in texts])
+
+
 def _repeated(table: pa.Table) -> pa.Table:
-    """id, runs: the repeated windows among a partition's stretches."""
+    """b, ids, first, last: the runs of repeated windows among a partition's stretches."""
+    blocks = table["b"].to_numpy()
+    pure = np.array([x.is_valid for x in table["bytes"]])
+    per = np.array([len(x.as_py()) // 8 for x in table["ids"]], np.int64)
     ids, at, sizes = _joined(table["ids"], np.int64), _joined(table["at"], np.int32).astype(np.int64), _joined(table["sizes"], np.int32).astype(np.int64)
-    data = _joined(table["bytes"], np.uint8)
-    n = sizes - THRESHOLD + 1
-    base = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    hit = radix_groups(data, base[owner] + inside, Powers(len(data)))
-    return _run_rows(ids[owner[hit]], (at[owner] + inside)[hit])
-
-
-def _run_rows(ids: np.ndarray, starts: np.ndarray) -> pa.Table:
-    order = np.lexsort((starts, ids))
-    ids, starts = ids[order], starts[order]
-    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
-    lists = [runs_of(np.unique(starts[a:b])).astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"id": pa.array(ids[cuts[:-1]], pa.int64()), "runs": pa.array(lists, pa.binary())})
-
-
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, a, b in zip(batch["ids"], batch["at"], batch["sizes"], strict=True):
-            ids = np.frombuffer(i.as_py(), np.int64)
-            pairs = np.stack([np.frombuffer(a.as_py(), np.int32), np.frombuffer(b.as_py(), np.int32)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([p.tobytes() for p in pairs], pa.binary())], ["id", "runs"])
-
-
-def removed_spans(runs: list[bytes]) -> np.ndarray:
-    """Maximal removed byte runs [start, end) from packed (first, last) windows."""
-    r = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in runs]).astype(np.int64)
-    r = r[np.argsort(r[:, 0], kind="stable")]
-    end = np.maximum.accumulate(r[:, 1] + THRESHOLD)
-    new = np.flatnonzero(np.concatenate([[True], r[1:, 0] > end[:-1]]))
-    return np.stack([r[new, 0], np.append(end[new[1:] - 1], end[-1])], axis=1)
-
-
-def _cut_texts(joined: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, removed, digest = [], [], []
-            for t, runs in zip(batch["text"], batch["runs"], strict=True):
-                t = (t.as_py() or "").encode()
-                cut = removed_spans(runs.as_py())
-                edges = [0, *cut.ravel().tolist(), len(t)]
-                digest.append(hashlib.sha256(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))).hexdigest())
-                removed.append(int((cut[:, 1] - cut[:, 0]).sum()))
-                spans.append([{"start": a, "end": b} for a, b in cut.tolist()])
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, span)], ["id", "removed", "cut_sha256", "cut"])
-
-    return joined.mapInArrow(run, "id long, removed long, cut_sha256 string, cut array<struct<start: long, end: long>>")
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
+    block, sort = np.repeat(blocks, per), np.repeat(pure, per)
+    known = [(block[~sort], ids[~sort], at[~sort], sizes[~sort])]
+    block, ids, at, sizes = block[sort], ids[sort], at[sort], sizes[sort]
+    if len(ids):
+        data = _joined(table["bytes"].filter(pa.array(pure)), np.uint8)
+        n = sizes - THRESHOLD + 1
+        owner, place = np.repeat(np.arange(len(n)), n), ranges(np.cumsum(sizes) - sizes, n)
+        hit = np.flatnonzero(radix_groups(data, place, Powers(len(data))))
+        new = run_starts(place[hit] - np.arange(len(hit)) + owner[hit] * np.int64(1 << 40))
+        first, last = hit[new], hit[np.append(new[1:], len(hit)) - 1] if len(hit) else hit
+        own = owner[first]
+        inside = at[own] - (np.cumsum(sizes) - sizes)[own]
+        known.append((block[own], ids[own], place[first] + inside, place[last] + inside))
+    b, i, a, z = (np.concatenate(c) for c in zip(*known, strict=True))
+    order = np.argsort(b, kind="stable")
+    b, i, a, z = b[order], i[order], a[order].astype(np.int32), z[order].astype(np.int32)
+    cuts = [*run_starts(b).tolist(), len(b)]
+    spans = [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return _table([(int(b[x.start]), i[x].tobytes(), a[x].tobytes(), z[x].tobytes()) for x in spans], (pa.int64(), *[pa.binary()] * 3), ("b", "ids", "first", "last"))
+
+
+def removed_spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Maximal removed byte runs [start, end) from the first and last windows of runs."""
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    end = np.maximum.accumulate(last[order] + THRESHOLD)
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
+    return np.stack([first[new], np.append(end[new[1:] - 1], end[-1])], axis=1)
+
+
+def _cut(rows: pa.Table, side: pa.Table) -> pa.Table:
+    """What is removed from the texts of a block, and the digest of the rest."""
+    ids, first, last = _joined(side["ids"], np.int64), _joined(side["first"], np.int32).astype(np.int64), _joined(side["last"], np.int32).astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    ids, first, last = ids[order], first[order], last[order]
+    cuts = run_starts(ids)
+    runs = {int(ids[a]): (first[a:z], last[a:z]) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True)}
+    made = []
+    for i, t in _texts(rows, ids[cuts]):
+        cut = removed_spans(*runs[i])
+        edges = [0, *cut.ravel().tolist(), len(t)]
+        digest = hashlib.sha256(b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))).hexdigest()
+        made.append((rows["b"][0].as_py(), i, int((cut[:, 1] - cut[:, 0]).sum()), digest, [{"start": a, "end": z} for a, z in cut.tolist()]))
+    return _table(made, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("b", "i", "removed", "cut_sha256", "cut"))
+
+
+def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges) of each row."""
+    size = text_bytes(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    digest = F.sha2("text", 256)
-    rows = staged(plain.select("doc_id", digest.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "repeats-rows")
-    classes = staged(rows.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m"), F.first("n_bytes").alias("n")).withColumn("id", F.xxhash64("sha")), "repeats-classes")
-    wanted = classes.filter(F.col("n") >= THRESHOLD).select("id", F.col("sha").alias("own"), "first")
-    texts = plain.withColumn("sha", digest).join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("sha") == F.col("own"))).select("id", "text")
-    texts = staged(texts, "repeats-texts")
-    size = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    table = blocked(plain.withColumn("sha", F.sha2("text", 256)).withColumn("n_bytes", F.octet_length("text").cast("long")), "repeats", size, "text", block_bytes)
+    classes = staged(table.groupBy("sha").agg(F.count(F.lit(1)).alias("m"), F.max("n_bytes").alias("n"), F.min(F.struct("b", "i")).alias("one")), "repeats-classes")
+    stands = classes.filter(F.col("n") >= THRESHOLD).select("one.b", "one.i")
+
+    def listed(rows: pa.Table) -> pa.Table:
+        return _table([(rows["b"][0].as_py(), -1, 0, rows["i"].to_numpy().tobytes(), b"", 0)], (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), ("b", "part", "kind", "data", "hot", "n"))
+
+    side = staged(stands.groupBy("b").applyInArrow(listed, _SIDE), "repeats-stands")
     parts = max(1, math.ceil(size / 50 / PART_ANCHORS))
-    frequent = staged(_packed_anchors(texts.withColumnRenamed("id", "doc_id"), parts).groupBy("part").applyInArrow(_frequent, "id long, part int, hashes binary"), "repeats-anchors")
-    found = frequent.groupBy("id").agg(F.collect_list(F.struct("part", "hashes")).alias("found"))
-    moved = (frequent.agg(F.sum(F.octet_length("hashes")).alias("n")).first()["n"] or 0) // 4 * (GRAM + THRESHOLD)
-    to = max(1, math.ceil(moved / PART_BYTES))
-    stretches = staged(_stretches(texts.join(found, "id").select("id", "text", "found"), parts, to), "repeats-stretches")
-    sorted_out = stretches.filter("part >= 0").groupBy("part").applyInArrow(_repeated, "id long, runs binary")
-    known = stretches.filter("part < 0").mapInArrow(_settled, "id long, runs binary")
-    runs = sorted_out.unionByName(known).groupBy("id").agg(F.collect_list("runs").alias("runs"))
-    cut = staged(_cut_texts(texts.join(runs, "id").select("id", "text", "runs")), "repeats-cut")
+    texts = table.select("b", "i", "text").groupBy("b")
+    asked = texts.cogroup(side.groupBy("b")).applyInArrow(_ask_anchors(parts), _SENT)
+    frequent = staged(asked.groupBy("part").applyInArrow(_frequent(0, hot), _SIDE), "repeats-anchors")
+    side = side.unionByName(frequent)
+    found = frequent.agg(F.sum("n").alias("n"), F.sum(F.octet_length("hot")).alias("hot")).first()
+    if found["hot"]:
+        windows = texts.cogroup(side.groupBy("b")).applyInArrow(_ask_windows(parts), _SENT)
+        side = side.unionByName(staged(windows.groupBy("part").applyInArrow(_frequent(1, hot), _SIDE), "repeats-windows"))
+    to = max(1, math.ceil((found["n"] or 0) * (GRAM + THRESHOLD) / PART_BYTES))
+    stretches = texts.cogroup(side.groupBy("b")).applyInArrow(_stretches(parts, to), _STRETCHES)
+    runs = stretches.groupBy("part").applyInArrow(_repeated, "b long, ids binary, first binary, last binary")
+    cut = texts.cogroup(runs.groupBy("b")).applyInArrow(_cut, "b long, i long, removed long, cut_sha256 string, cut array<struct<start: long, end: long>>")
+    cut = cut.select(F.struct("b", "i").alias("one"), "removed", "cut_sha256", "cut")
+    judged = table.select("doc_id", "n_bytes", "sha").join(classes.join(staged(cut, "repeats-cut"), "one", "left").drop("n"), "sha")
     whole = (F.col("m") > 1) & (F.col("n_bytes") >= THRESHOLD)
-    judged = rows.join(classes.select("sha", "m", "id"), "sha").join(cut, "id", "left")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     spans = F.when(whole, all_of_it).otherwise(F.coalesce("cut", none))

@@ -147,21 +147,32 @@ def test_tile_forest():
     assert len(set(trees.tree[:7].tolist())) == 1 and trees.tree[7] != trees.tree[0]
 
 
-def test_repeats(docs, texts, empty):
-    data = [(t or "").encode() for t in texts]
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 5000, "hot": 3}])
+def test_repeats(spark, docs, texts, empty, options):
+    rows = [*enumerate(texts), *[(3, texts[3])] * 3, (None, texts[45]), (None, texts[45])]  # equal rows, with and without an id
+    data = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
-    got = {r["doc_id"]: r for r in repeat_removal.repeated_passages(docs).collect()}
-    for i, t in enumerate(data):
+    want = []
+    for (doc, _), t in zip(rows, data, strict=True):
         gone = bytearray(len(t))
         for j in range(len(t) - 199):
             if seen[t[j : j + 200]] > 1:
                 gone[j : j + 200] = b"\1" * 200
         kept = bytes(x for x, g in zip(t, gone, strict=True) if not g)
-        want = (len(t), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest())
-        assert tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
+        want.append((doc, len(t), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()))
+    got = repeat_removal.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 b", "2 i", "'x' sha").repartition(3), **options).collect()
+    assert sorted(str(tuple(r)[:5]) for r in got) == sorted(map(str, want))
+    assert all(r["n_removed"] == sum(x["end"] - x["start"] for x in r["spans"]) for r in got)
     assert repeat_removal.repeated_passages(empty).count() == 0
 
 
+def test_clashes_are_told_apart_by_bytes(monkeypatch):
+    data = np.frombuffer(b"a" * 199 + b"b" + b"a" * 199 + b"c" + b"q" * 30 + b"a" * 199 + b"b", np.uint8)
+    starts = np.array([0, 200, 430])
+    monkeypatch.setattr(repeat_removal.Powers, "hashes", lambda self, sums, at, size: np.zeros(len(at), np.uint64))
+    assert repeat_removal.radix_groups(data, starts, repeat_removal.Powers(len(data))).tolist() == [True, False, True]
+
+
 def test_long_texts_are_cut_without_losing_windows(monkeypatch):
     rng = np.random.default_rng(2)
     t = rng.integers(97, 123, 5000, dtype=np.uint8).tobytes()
