@@ -9,83 +9,144 @@ the bytes not seen at all are equally likely. A text is its words, lower-cased
 (A-Z), each followed by one byte: a space between words, a line feed at the
 end; its contexts begin with line feeds.
 
-Nothing that grows with the corpus is broadcast. Documents are dealt into
-blocks of bounded size. Each block sends its distinct tokens and its distinct
+Rows are written once, in blocks of bounded size, and never shuffled. The nodes
+of contexts of up to ``LOW`` bytes are one small table (at most 2**24 counts,
+whatever the corpus): it is summed map-side and sent to all. For longer contexts
+and for tokens nothing is broadcast: each block sends its distinct tokens and
 contexts, packed, to hash partitions, which add up the training counts of all
 blocks and send back to each block the counts of what it asked for: its own
 tokens, and whole nodes of its own contexts. Then each block scores its texts.
+Tokens are told apart by 63 bits of their hash.
 
 Defined results: a null or empty text is its end token; equal rows are scored
 (and counted) each; texts of any length are scored whole; without training
 texts every byte has probability 1/256 and all tokens are unknown; an empty
-table gives an empty result; further columns are ignored; a null doc_id counts
-as training.
+table gives an empty result; further columns, whatever their names, are ignored;
+a null doc_id counts as training.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import block_count, crc_mod, staged
-from seriesloom.llm.shingles import WordHashes
-
-ORDER = 5
-BLOCK = 10 << 20
-CHUNK = 1 << 20
-TOKENS = -1
-PACKED = "part int, block int, kind int, keys binary, counts binary"
-_U8 = np.uint64(8)
-
-
-def _texts(table: pa.Table) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """First row, encoded texts and held_out flags, about CHUNK bytes at a time."""
-    held = table["held"].to_numpy(zero_copy_only=False)
-    at, texts, size = 0, [], 0
-    for t in table["text"]:
-        b = (t.as_py() or "").encode().lower()
-        texts.append(b)
-        size += len(b)
-        if size >= CHUNK:
-            yield at, texts, held[at : at + len(texts)]
-            at, texts, size = at + len(texts), [], 0
-    if texts:
-        yield at, texts, held[at : at + len(texts)]
-
-
-def grams(words: list[list[bytes]], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(context, byte) of each byte of each text as a number, and its text."""
-    pad = b"\n" * order
-    bodies = [b" ".join(w) + b"\n" for w in words]
-    data = np.frombuffer(b"".join(pad + b for b in bodies), np.uint8).astype(np.uint64)
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    doc = np.repeat(np.arange(len(bodies)), sizes)
-    at = np.arange(len(doc)) + (doc + 1) * order
-    key = np.zeros(len(at), np.uint64)
-    for j in range(order, -1, -1):
-        key = (key << _U8) | data[at - j]
-    return key, doc
+from seriesloom.llm.common import blocked, crc_mod, distinct, ranges, run_starts, stable_order, staged, text_bytes
+
+ORDER, LOW = 5, 2
+BLOCK = 8 << 20
+TOKENS, TOTALS = -1, -2
+PACKED = "part int, b long, kind int, keys binary, counts binary"
+_U8, _U24, _ONE = np.uint64(8), np.uint64(24), np.uint64(1)
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
-    counts = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
-    u, inverse = np.unique(keys, return_inverse=True)
-    out = np.zeros(len(u), np.int64)
-    np.add.at(out, inverse, counts)
-    return u, out
+def normal(text: bytes) -> bytes:
+    """What is scored of a text: lower-cased words, spaces between them, a line feed."""
+    return b" ".join(text.lower().split()) + b"\n"
+
+
+def _keys(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, byte) of each byte of each body as a number, and the bytes of each body."""
+    pad = b"\n" * order
+    data = np.frombuffer(b"".join(x for b in bodies for x in (pad, b)), np.uint8)
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    key = data[order:].astype(np.uint64)
+    for j in range(1, order + 1):
+        key |= data[order - j : len(data) - j].astype(np.uint64) << np.uint64(8 * j)
+    first = np.cumsum(sizes + order) - sizes - order  # places count from the end of the first pad
+    inside = np.ones(len(key), bool)
+    for j in range(order):
+        inside[first[1:] - order + j] = False
+    return key[inside], sizes
+
+
+def _low_bits(k: int) -> np.uint64:
+    return np.uint64((1 << (8 * (k + 1))) - 1)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")  # merges the sorted parts that the keys come in
+    s = keys[order]
+    first = run_starts(s)
+    return s[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def _shorter(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same counts for contexts cut to k bytes."""
+    keys = keys & _low_bits(k)
+    if 8 * (k + 1) > 40 or counts.max(initial=0) >= 1 << 24:
+        return _summed(keys, counts)
+    s = np.sort((keys << _U24) | counts.astype(np.uint64))  # far faster than an index sort
+    keys, counts = s >> _U24, (s & np.uint64(0xFFFFFF)).astype(np.int64)
+    first = run_starts(keys)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class Ids(dict):
+    """Number each word in order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each distinct token, and the number of each token with the tokens of each text."""
+    ids, parts = Ids(), []
+    end = ids[b""]
+    for b in bodies:
+        words = b.split()
+        parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+        parts.append(np.array([end]))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids)) >> _ONE
+    sizes = np.array([len(p) + 1 for p in parts[::2]], np.int64)
+    return hashes, np.concatenate(parts), sizes
+
+
+def _rows(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    return [x.as_py() for x in table["text"]], table["held"].to_numpy(zero_copy_only=False)
+
+
+def _low_counts(docs: DataFrame, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of all contexts of ``low`` bytes: added up in each task, then by key."""
+
+    def run(batches):
+        found: list = []
+        for batch in batches:
+            bodies, held = _rows(pa.Table.from_batches([batch]))
+            if bodies := [b for b, h in zip(bodies, held, strict=True) if not h]:
+                s = np.sort(_keys(bodies, low)[0].astype(np.uint32))
+                first = run_starts(s)
+                found.append((s[first].astype(np.uint64), np.diff(first, append=len(s))))
+            if sum(len(k) for k, _ in found) > 4_000_000:
+                found = [_summed(*map(np.concatenate, zip(*found, strict=True)))]
+        if found:
+            k, n = _summed(*map(np.concatenate, zip(*found, strict=True)))
+            for a in range(0, len(k), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 65536].view(np.int64)), pa.array(n[a : a + 65536])], ["key", "n"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        k, n = _summed(table["key"].to_numpy().view(np.uint64), table["n"].to_numpy())
+        return pa.table({"keys": pa.array([_enc(k)], pa.binary()), "counts": pa.array([_enc(n)], pa.binary())})
+
+    sums = docs.select("text", "held").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # at most 256 rows of at most 2**16 packed counts each
+    got = sums.groupBy(F.shiftright("key", 8 * low).alias("top")).applyInArrow(pack, "keys binary, counts binary").collect()
+    pairs = [(_dec(bytes(r["keys"])).view(np.uint64), _dec(bytes(r["counts"]))) for r in got]
+    return _summed(*map(np.concatenate, zip(*pairs, strict=True))) if pairs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _part(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
     """By token, or by context, so that a node is in one partition."""
     x = keys if kind == TOKENS else (keys >> _U8) + np.uint64((kind + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    return (x >> np.uint64(33)) % np.uint64(parts)
 
 
 def _enc(keys: np.ndarray) -> bytes:
@@ -98,143 +159,169 @@ def _dec(data: bytes) -> np.ndarray:
 
 
 def _pack(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     cols = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("part", "block", "kind", "keys", "counts"), cols, kinds, strict=True)})
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("part", "b", "kind", "keys", "counts"), cols, kinds, strict=True)})
 
 
-def _asked(parts: int, order: int):
-    """What a block holds: its tokens and contexts with their training counts (or 0)."""
+def _asked(parts: int, order: int, low: int):
+    """What a block holds: its tokens and longer contexts with their training counts (or 0)."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        hashes, tokens, top = WordHashes(), [], []
-        for _, texts, held in _texts(table):
-            words = [t.split() for t in texts]
-            h = np.concatenate([np.fromiter(map(hashes.__getitem__, [*w, b""]), np.uint64, len(w) + 1) for w in words])
-            train = np.repeat(~held, [len(w) + 1 for w in words])
-            key, doc = grams(words, order)
-            for found, k, t in ((tokens, h, train), (top, key, ~held[doc])):
-                u, inverse = np.unique(k, return_inverse=True)
-                found.append((u, np.bincount(inverse, weights=t, minlength=len(u)).astype(np.int64)))
-            if len(top) > 4:
-                tokens, top = [_summed(tokens)], [_summed(top)]
-        found = {TOKENS: _summed(tokens), order: _summed(top)}
-        for k in range(order - 1, -1, -1):
-            u, c = found[k + 1]
-            found[k] = _summed([(u & np.uint64((1 << (8 * (k + 1))) - 1), c)])
+        block = table["b"][0].as_py()
+        bodies, held = _rows(table)
+        hashes, word, sizes = _words(bodies)
+        n = np.bincount(word, weights=np.repeat(~held, sizes), minlength=len(hashes)).astype(np.int64)
+        found = {TOKENS: _summed(hashes, n)}
+        key, sizes = _keys(bodies, order)
+        key = np.sort((key << _ONE) | np.repeat(held, sizes))
+        train = (~key & _ONE).astype(np.int64)
+        key >>= _ONE
+        first = run_starts(key)
+        u, c = key[first], np.add.reduceat(train, first)
+        del key, train
+        for k in range(order, low, -1):
+            found[k] = u, c = (u, c) if k == order else _shorter(u, c, k)
         rows = []
         for kind, (u, c) in found.items():
             p = _part(u, kind, parts)
-            by = np.argsort(p, kind="stable")
-            cuts = np.flatnonzero(np.diff(p[by], prepend=-1, append=parts))
-            rows += [(int(p[by[a]]), block, kind, _enc(u[by[a:b]].view(np.int64)), _enc(c[by[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            by = stable_order(p)
+            cuts = [*run_starts(p[by]).tolist(), len(by)]
+            rows += [(int(p[by[a]]), block, kind, _enc(u[by[a:z]]), _enc(c[by[a:z]])) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
         return _pack(rows)
 
     return run
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """The corpus counts of a partition, to each block what it asked for; block -1: totals."""
-    kinds, blocks = table["kind"].to_numpy(), table["block"].to_numpy()
+    """The corpus counts of a partition, to each block what it asked for; its totals of tokens go to one block."""
+    kinds, blocks = table["kind"].to_numpy(), table["b"].to_numpy()
     part, rows = table["part"][0].as_py(), []
-    for kind in np.unique(kinds).tolist():
+    for kind in distinct(kinds).tolist():
         at = np.flatnonzero(kinds == kind)
         asked = [_dec(table["keys"][int(i)].as_py()).view(np.uint64) for i in at]
-        u, c = _summed([(k, _dec(table["counts"][int(i)].as_py())) for k, i in zip(asked, at, strict=True)])
+        u, c = _summed(np.concatenate(asked), np.concatenate([_dec(table["counts"][int(i)].as_py()) for i in at]))
         u, c = u[c > 0], c[c > 0]
         if kind == TOKENS:
-            rows.append((part, -1, kind, b"", _enc(np.array([len(u), c.sum()], np.int64))))
+            rows.append((part, int(blocks.min()), TOTALS, _enc(np.array([len(u), c.sum()], np.int64)), b""))
+            node, first = u, np.arange(len(u))
+        else:
+            first = run_starts(u >> _U8)
+            node = (u >> _U8)[first]
+        size = np.diff(first, append=len(u))
         for i, k in zip(at, asked, strict=True):
-            hit = np.isin(u, k, assume_unique=True) if kind == TOKENS else np.isin(u >> _U8, np.unique(k >> _U8))
-            rows.append((part, int(blocks[i]), kind, _enc(u[hit].view(np.int64)), _enc(c[hit])))
+            wanted = k if kind == TOKENS else (k >> _U8)[run_starts(k >> _U8)]
+            place, hit = _find(node, wanted)
+            place = place[hit]
+            if len(place):
+                entries = ranges(first[place], size[place])
+                rows.append((part, int(blocks[i]), kind, _enc(u[entries]), _enc(c[entries])))
     return _pack(rows)
 
 
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
 class Trie:
     """Nodes of all orders as sorted arrays of (context, byte) and counts."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.levels = []
-        for k, (keys, counts) in enumerate(levels):
-            context, first, d = np.unique(keys >> _U8, return_index=True, return_counts=True)
-            total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-            left_out = np.zeros(len(context), np.int64)
-            if k and len(first):  # what the next shorter context has of this one's bytes
-                low, low_counts = levels[k - 1]
-                short = keys & np.uint64((1 << (8 * k)) - 1)
-                left_out = np.add.reduceat(low_counts[np.searchsorted(low, short)], first)
-            self.levels.append((keys, counts, context, total, d, left_out))
-
-    @staticmethod
-    def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(sorted_keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-        return at, sorted_keys[at] == keys
+        for keys, counts in levels:
+            first = run_starts(keys >> _U8)
+            total = np.add.reduceat(counts, first) if len(first) else counts[:0]
+            self.levels.append((keys, counts, (keys >> _U8)[first], first, np.diff(first, append=len(keys)), total))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each (context of the highest order, byte)."""
-        n = len(keys)
-        out, open_ = np.zeros(n), np.ones(n, bool)
-        less, less_d = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        out, left = np.zeros(len(keys)), np.arange(len(keys))
+        less, less_d = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)  # what longer contexts have
         for k in range(len(self.levels) - 1, -1, -1):
-            entries, counts, context, total, d, left_out = self.levels[k]
-            key = keys & np.uint64((1 << (8 * (k + 1))) - 1)
-            node, known = self._find(context, key >> _U8)
-            if not len(context):
+            entries, counts, context, first, d, total = self.levels[k]
+            if not len(entries) or not len(left):
                 continue
+            key = keys[left] & _low_bits(k)
+            node, known = _find(context, key >> _U8)
             t, e = 2 * (total[node] - less), d[node] - less_d
-            live = open_ & known & (t > 0)
-            at, hit = self._find(entries, key)
+            live = known & (t > 0)
+            at, hit = _find(entries, key)
             done = live & hit
-            out[done] += np.log10((2 * counts[at[done]] - 1) / t[done])
+            out[left[done]] += np.log10((2 * counts[at[done]] - 1) / t[done])
             miss = live & ~hit
-            out[miss] += np.log10(e[miss] / t[miss])
-            open_ &= ~done
-            less, less_d = np.where(known, left_out[node], 0), np.where(known, d[node], 0)
-        rest = 256 - (len(self.levels[0][0]))
-        out[open_] -= np.log10(max(1, rest))
+            out[left[miss]] += np.log10(e[miss] / t[miss])
+            stay = ~done
+            left, node, known = left[stay], node[stay], known[stay]
+            less, less_d = np.zeros(len(left), np.int64), np.where(known, d[node], 0)
+            if k and known.any():  # what the next shorter context has of this one's bytes
+                nodes = distinct(node[known])
+                low, low_counts = self.levels[k - 1][:2]
+                short = low_counts[np.searchsorted(low, entries[ranges(first[nodes], d[nodes])] & _low_bits(k - 1))]
+                sums = np.add.reduceat(short, np.cumsum(d[nodes]) - d[nodes])
+                less[known] = sums[np.searchsorted(nodes, node[known])]
+        out[left] -= np.log10(max(1, 256 - len(self.levels[0][0])))
         return out
 
 
-def _scored(order: int, n_tokens: int, n_distinct: int):
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, part_score double, score double, all_known long, all_tokens long"
+
+
+def _scored(order: int, low: tuple[np.ndarray, np.ndarray], low_order: int):
     def run(table: pa.Table, side: pa.Table) -> pa.Table:
-        found: dict[int, list] = {k: [] for k in range(TOKENS, order + 1)}
+        found: dict[int, list] = {k: [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] for k in (TOKENS, *range(low_order + 1, order + 1))}
+        totals = np.zeros(2, np.int64)
         for kind, k, c in zip(side["kind"].to_pylist(), side["keys"], side["counts"], strict=True):
-            found[kind].append((_dec(k.as_py()).view(np.uint64), _dec(c.as_py())))
-        tokens, counts = _summed(found[TOKENS])
-        trie = Trie([_summed(found[k]) for k in range(order + 1)])
-        hashes, cols = WordHashes(), [[], [], [], []]
-        below = n_tokens + 0.1 * (n_distinct + 1)
-        for _, texts, _ in _texts(table):
-            words = [t.split() for t in texts]
-            sizes = np.array([len(w) + 1 for w in words])
-            h = np.concatenate([np.fromiter(map(hashes.__getitem__, [*w, b""]), np.uint64, len(w) + 1) for w in words])
-            at, hit = Trie._find(tokens, h)
-            c = np.where(hit, counts[at], 0) if len(counts) else np.zeros(len(h))
-            first = np.cumsum(sizes) - sizes
-            key, doc = grams(words, order)
-            u, inverse = np.unique(key, return_inverse=True)
-            for col, x in zip(cols, (sizes, np.add.reduceat(hit.astype(np.int64), first), np.add.reduceat(np.log10((c + 0.1) / below), first), np.bincount(doc, weights=trie.log10(u)[inverse], minlength=len(words))), strict=True):
-                col.append(x)
-        size, known, base, score = (np.concatenate(c) for c in cols)
-        return pa.table({
-            "doc_id": table["doc_id"], "held_out": table["held"], "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(size), n_tokens, np.int64)), "base_score": pa.array(base.astype(float)), "score": pa.array(score.astype(float)),
-        })
+            if kind == TOTALS:
+                totals += _dec(k.as_py())
+            else:
+                found[kind].append((_dec(k.as_py()).view(np.uint64), _dec(c.as_py())))
+        levels = {k: _summed(*map(np.concatenate, zip(*x, strict=True))) for k, x in found.items()}
+        tokens, counts = levels[TOKENS]
+        lows = [low]
+        for k in range(low_order - 1, -1, -1):
+            lows.append(_shorter(*lows[-1], k))
+        trie = Trie([*lows[::-1], *(levels[k] for k in range(low_order + 1, order + 1))])
+        bodies, held = _rows(table)
+        hashes, word, sizes = _words(bodies)
+        at, hit = _find(tokens, hashes)
+        c = np.where(hit, counts[at], 0) if len(counts) else np.zeros(len(hashes))
+        first = np.cumsum(sizes) - sizes
+        known, base = np.add.reduceat(hit[word].astype(np.int64), first), np.add.reduceat(np.log10(c + 0.1)[word], first)
+        score = np.zeros(len(bodies))
+        # keys of a run of texts are sorted together with the number of their text, 16 bits
+        for run_of in range(0, len(bodies), 1 << 16):
+            key, size = _keys(bodies[run_of : run_of + (1 << 16)], order)
+            key = np.sort((key << np.uint64(16)) | np.repeat(np.arange(len(size), dtype=np.uint64), size))
+            doc, key = (key & np.uint64(0xFFFF)).astype(np.int64), key >> np.uint64(16)
+            new = run_starts(key)
+            each = np.repeat(trie.log10(key[new]), np.diff(new, append=len(key)))
+            score[run_of : run_of + len(size)] = np.bincount(doc, weights=each, minlength=len(size))
+        cols = [table["doc_id"], table["held"], sizes, known, base, score, [None] * len(sizes), [None] * len(sizes)]
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        names = [x.split()[0] for x in _SCORED.split(", ")]
+        made = pa.table({n: c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+        last = pa.table({n: pa.array([v], k) for n, v, k in zip(names, [None] * 6 + totals.tolist(), kinds, strict=True)})
+        return pa.concat_tables([made, last])
 
     return run
 
 
-def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK) -> DataFrame:
+def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK, low: int = LOW) -> DataFrame:
     """held_out, token counts, base_score and score (log10) of each row."""
-    blocks = block_count(docs, block_bytes=block_bytes)
+    size = text_bytes(docs)
     held = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_asked(blocks, order), PACKED)
-    answers = staged(asked.groupBy("part").applyInArrow(_answered, PACKED), "ppm-counts")
-    totals = [_dec(bytes(r["counts"])) for r in answers.filter("block < 0").select("counts").collect()]  # one small row for each partition
-    n_distinct, n_tokens = (int(sum(t[i] for t in totals)) for i in (0, 1))
-    side = answers.filter("block >= 0").select("block", "kind", "keys", "counts")
-    return dealt.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_scored(order, n_tokens, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
+    table = blocked(plain, "ppm", size, "text", block_bytes, normal)
+    sums = _low_counts(table, low)
+    asked = table.groupBy("b").applyInArrow(_asked(max(1, math.ceil(size / block_bytes)), order, low), PACKED)
+    answers = asked.groupBy("part").applyInArrow(_answered, PACKED)
+    scored = staged(table.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_scored(order, sums, low), _SCORED), "ppm-scores")
+    totals = scored.filter("all_tokens is not null").agg(F.sum("all_known").alias("v"), F.sum("all_tokens").alias("n")).first()
+    n_tokens, n_distinct = totals["n"] or 0, totals["v"] or 0
+    below = math.log10(n_tokens + 0.1 * (n_distinct + 1))
+    return scored.filter("all_tokens is null").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("part_score") - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score"
+    )

@@ -345,7 +345,7 @@ def _cut(rows: pa.Table, side: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     ids, first, last = ids[order], first[order], last[order]
     cuts = run_starts(ids)
-    runs = {int(ids[a]): (first[a:z], last[a:z]) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True)}
+    runs = {int(ids[a]): (first[a:z], last[a:z]) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)][: len(cuts)], strict=True)}
     made = []
     for i, t in _texts(rows, ids[cuts]):
         cut = removed_spans(*runs[i])

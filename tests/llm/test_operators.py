@@ -182,7 +182,8 @@ def test_long_texts_are_cut_without_losing_windows(monkeypatch):
     assert whole == cut == 4801
 
 
-def test_ppm(docs, texts, empty):
+@pytest.mark.parametrize("options", [{"block_bytes": 20_000}, {"block_bytes": 1 << 20, "low": 1}])
+def test_ppm(docs, texts, empty, options):
     words = [(t or "").encode().lower().split() for t in texts]
     train = [w for i, w in enumerate(words) if zlib.crc32(str(i).encode()) % 10]
     count = collections.Counter(x for w in train for x in [*w, "end"])
@@ -209,7 +210,7 @@ def test_ppm(docs, texts, empty):
             seen |= set(c)
         return out - math.log10(256 - len(seen))
 
-    got = {r["doc_id"]: r for r in ppm_score.ppm_scores(docs, block_bytes=20_000).collect()}
+    got = {r["doc_id"]: r for r in ppm_score.ppm_scores(docs, **options).collect()}
     assert len(got) == len(texts)
     for i, w in enumerate(words):
         all_ = [*w, "end"]
