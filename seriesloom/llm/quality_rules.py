@@ -1,24 +1,28 @@
 """Quality rules with thresholds adapted to each language and source.
 
-Text statistics are taken in one pass over the documents. Each ratio is then
-counted on a fixed integer grid per (lang, source): a quantile sketch that is
-merged by adding counts, so partial sketches combine map-side, a hot source is
-no heavier than any other, and the result doesn't depend on the order in which
-parts arrive. The grid has no top; from step 8,192 on steps widen with the
-value, so that a sketch stays small. A value read from it is off by at most one
-grid step, or by less than 1 in 4,096 of it. Ratios and fences are compared on
-that grid. QUALITY_SQL ends the grid at the last step of RATIOS, so it is no
-reference for groups with fences at or above that. The
-sketches of a language, and of the whole corpus, are sums of the same rows and
-stand in for groups with too few documents.
+Text statistics are taken in one pass over the documents. The values of each
+ratio are then gathered in a mergeable quantile sketch (KLL, ``SKETCH`` items a
+level) for each (lang, source): partial sketches are merged map-side, so a hot
+source costs no more than any other, and no value is capped. The sketches of a
+language, and of the whole corpus, are merged from those of its sources. Up to
+``SKETCH`` values a sketch is exact; beyond, the rank of a quantile it gives is
+off by about 0.13 % of the values at most (99 % confidence).
+
+Fences come from the quantiles alone, there are no fixed cutoffs: the upper one
+lies as far beyond the quantile ``tail`` of a ratio as that lies above the
+median (times ``reach``), a lower one likewise below. A group's fence is averaged with its
+language's, which counts as ``PRIOR`` documents, and that in the same way with
+the corpus's; so small groups lean on larger ones, without a switch.
 
 The verdict is a join: a document stays if no ratio lies outside the fences of
-its group, the quartiles plus or minus ``reach`` times their distance and a
-fixed slack. Documents that fail the base rules take no part in the sketches.
-
-Defined results: a null text has no words and fails; null lang and source form
-groups of their own; equal rows are judged alike; an empty table gives an empty
-result; further columns are ignored.
+its group. Documents that fail the base rules take no part in the sketches.
+
+Defined results: a null or empty text has no words and fails; texts of any length
+are read whole; null lang and source form groups of their own; equal rows are
+judged alike, and a ratio that equals a fence stays (so groups of ties stay); an
+empty table gives an empty result; further columns, whatever their names, are
+ignored. Where a sketch is not exact its choice of items is random, so reruns may
+judge documents at a fence differently; within a run the fences are written once.
 """
 
 from __future__ import annotations
@@ -28,24 +32,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import WORD_SPACE, staged
+from seriesloom.llm.common import WORD_SPACE, distinct, staged
 
 SYMBOLS = b"#*$%&|<>"
-#: ratio: (numerator, denominator, grid steps per unit, last step in QUALITY_SQL only, slack in steps, lower fence too)
+#: ratio: (numerator, denominator, tail quantile, lower fence too)
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 100, 5_000, 300, True),
-    "symbols": ("n_symbols", "n_words", 1000, 5_000, 100, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1_000, 400, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 1_000, 150, False),
+    "word_length": ("word_chars", "n_words", 15 / 16, True),
+    "symbols": ("n_symbols", "n_words", 15 / 16, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 31 / 32, False),
+    "repeats": ("n_repeat_words", "n_words", 31 / 32, False),
 }
-#: Leading binary digits of a step that are kept.
-DIGITS = 13
-REACH = 3
-#: Documents a group needs for fences of its own.
-LEAST = 100
+#: Ratios are whole numbers of this part of one.
+UNIT = 10_000
+REACH = 1
+#: Documents that the fence of the larger group counts as.
+PRIOR = 32
+SKETCH = 4096
 STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 CHUNK_BYTES = 1 << 20
 
@@ -76,9 +81,9 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     for j in range(5):  # equal keys are confirmed on the words
         same[same] = ids[a[same] + j] == ids[b[same] + j]
     hit = np.zeros(len(ids) + 1, np.int64)
-    found = np.unique(np.concatenate([a[same], b[same]]))
-    np.add.at(hit, found, 1)
-    np.add.at(hit, found + 5, -1)
+    found = distinct(np.concatenate([a[same], b[same]]))
+    hit[found] += 1
+    hit[found + 5] -= 1
     covered = np.cumsum(hit[:-1]) > 0
     return np.bincount(doc[covered], minlength=n_docs)
 
@@ -126,81 +131,76 @@ def text_stats(docs: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, f"doc_id long, lang string, source string, {STATS}")
 
 
-def fences(judged: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
-    """lang, source and a lower and an upper fence for each ratio."""
-    grid = F.array(*[F.struct(F.lit(name).alias("ratio"), _step(name).alias("step")) for name in RATIOS])
-    points = judged.filter(~F.col("base_failed")).select("lang", "source", F.explode(grid).alias("p")).select("lang", "source", "p.ratio", "p.step")
-    sketch = points.groupBy("lang", "source", "ratio", "step").agg(F.count(F.lit(1)).alias("n"))
-    levels = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
-    groups = judged.select("lang", "source").distinct()
-    for level, keys in levels.items():
-        merged = sketch.groupBy(*keys, "ratio", "step").agg(F.sum("n").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy(*keys, "ratio").orderBy("step"))
-        whole = F.sum("n").over(Window.partitionBy(*keys, "ratio"))
-        read = merged.withColumn("upto", upto).withColumn("whole", whole)
-        per = read.groupBy(*keys).agg(
-            F.max("whole").alias(f"{level}_n"),
-            *[F.min(F.when((F.col("ratio") == r) & (F.col("upto") * 4 >= F.col("whole") * q), F.col("step"))).alias(f"{level}_{r}_{q}") for r in RATIOS for q in (1, 3)],
-        )
-        for k in keys:
-            per = per.withColumnRenamed(k, f"__{k}")
-        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-        groups = (groups.join(per, on, "left") if on else groups.crossJoin(F.broadcast(per))).drop(*[f"__{k}" for k in keys])
-
-    def quartile(r: str, q: int):
-        pick = F.col(f"all_{r}_{q}")
-        for level in ("lang", "source"):
-            pick = F.when(F.col(f"{level}_n") >= least, F.col(f"{level}_{r}_{q}")).otherwise(pick)
-        return pick
-
-    spread = lambda r: (quartile(r, 3) - quartile(r, 1)) * reach + RATIOS[r][4]
-    return groups.select("lang", "source", *[(quartile(r, 1) - spread(r)).alias(f"{r}_low") for r in RATIOS], *[(quartile(r, 3) + spread(r)).alias(f"{r}_high") for r in RATIOS])
-
-
-def _step(name: str):
-    top, bottom, steps, *_ = RATIOS[name]
-    value = f"(`{top}` * {steps}) div greatest(`{bottom}`, 1)"
-    wide = f"greatest(length(bin({value})) - {DIGITS}, 0)"
-    return F.expr(f"shiftleft(shiftright({value}, {wide}), {wide})").cast("long")
-
-
-def quality_rules(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
+def _ratio(name: str) -> Column:
+    top, bottom, *_ = RATIOS[name]
+    return F.expr(f"`{top}` * {UNIT}L div greatest(`{bottom}`, 1)")
+
+
+def _fence(sketch: Column, tail: float, side: int, reach: int) -> Column:
+    """The upper (side 1) or lower (side -1) fence that a sketch gives."""
+    read = lambda q: F.kll_sketch_get_quantile_bigint(sketch, F.lit(q))
+    end = read(tail if side > 0 else 1 - tail)
+    return F.greatest(end + (end - read(0.5)) * reach, F.lit(0).cast("long"))
+
+
+def fences(judged: DataFrame, reach: int = REACH, prior: int = PRIOR, size: int = SKETCH) -> DataFrame:
+    """lang, source and the fences of each ratio ({ratio}_high, {ratio}_low)."""
+    groups = judged.groupBy("lang", "source").agg(
+        F.count(F.when(~F.col("base_failed"), 1)).alias("n"),
+        *[F.kll_sketch_agg_bigint(F.when(~F.col("base_failed"), _ratio(r)), F.lit(size)).alias(r) for r in RATIOS],
+    )
+    groups = staged(groups, "quality-sketches")
+    wanted = [(r, tail, side) for r, (_, _, tail, lower) in RATIOS.items() for side in ((1, -1) if lower else (1,))]
+    name = lambda r, side: f"{r}_{'high' if side > 0 else 'low'}"
+    found = None
+    for keys in ([], ["lang"], ["lang", "source"]):
+        merged = groups if len(keys) == 2 else groups.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_bigint(r).alias(r) for r in RATIOS])
+        own = merged.filter("n > 0").select(*keys, "n", *[_fence(F.col(r), tail, side, reach).alias(name(r, side)) for r, tail, side in wanted])
+        if found is None:
+            found = own.drop("n")
+            continue
+        above = found.select(*[F.col(c).alias(f"above_{c}") for c in found.columns])
+        joined = own.join(above, own["lang"].eqNullSafe(F.col("above_lang"))) if len(keys) == 2 else own.crossJoin(F.broadcast(above))  # one row
+        blend = lambda c: F.expr(f"(n * {c} + {prior}L * above_{c}) div (n + {prior}L)").alias(c)  # noqa: E731, B023
+        found = joined.select(*keys, *[blend(name(r, side)) for r, _, side in wanted])
+    return found
+
+
+def quality_rules(docs: DataFrame, reach: int = REACH, prior: int = PRIOR, size: int = SKETCH) -> DataFrame:
     """STATS, base_failed and kept of each document, with its group's fences."""
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     judged = staged(text_stats(docs).withColumn("base_failed", failed), "quality-stats")
-    limits = fences(judged, reach, least).withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
+    limits = staged(fences(judged, reach, prior, size), "quality-fences").withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
     rows = judged.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
     fits = F.lit(True)
     for r, (*_, lower) in RATIOS.items():
-        fits = fits & (_step(r) <= F.col(f"{r}_high"))
+        fits = fits & (_ratio(r) <= F.col(f"{r}_high"))
         if lower:
-            fits = fits & (_step(r) >= F.col(f"{r}_low"))
+            fits = fits & (_ratio(r) >= F.col(f"{r}_low"))
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True)))
 
 
 def _fence_sql() -> str:
-    steps = "\n UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, least(({t} * {k}) // greatest({b}, 1), {last}) AS step FROM ok" for r, (t, b, k, last, _, _) in RATIOS.items())
-    test = " AND ".join(
-        f"least(({t} * {k}) // greatest({b}, 1), {last}) <= {r}_3 + ({r}_3 - {r}_1) * {REACH} + {slack}" + (f" AND least(({t} * {k}) // greatest({b}, 1), {last}) >= {r}_1 - ({r}_3 - {r}_1) * {REACH} - {slack}" if lower else "")
-        for r, (t, b, k, last, slack, lower) in RATIOS.items()
-    )
-    picks = ", ".join(f"CASE WHEN s.n >= {LEAST} THEN s.{r}_{q} WHEN l.n >= {LEAST} THEN l.{r}_{q} ELSE a.{r}_{q} END AS {r}_{q}" for r in RATIOS for q in (1, 3))
-    quart = ", ".join(f"min(step) FILTER (ratio = '{r}' AND upto * 4 >= whole * {q}) AS {r}_{q}" for r in RATIOS for q in (1, 3))
+    """The same verdict with exact quantiles, so a reference for tables of up to SKETCH documents."""
+    wanted = [(r, side, f"{r}_{'high' if side > 0 else 'low'}") for r, (*_, lower) in RATIOS.items() for side in ((1, -1) if lower else (1,))]
+    ratio = {r: f"({t} * {UNIT} // greatest({b}, 1))" for r, (t, b, _, _) in RATIOS.items()}
 
     def level(keys: str) -> str:
-        by = f"{keys}, " if keys else ""
-        return (
-            f"SELECT {by}max(whole) AS n, {quart} FROM (SELECT {by}ratio, step, sum(count(*)) OVER (PARTITION BY {by}ratio ORDER BY step) AS upto, "
-            f"sum(count(*)) OVER (PARTITION BY {by}ratio) AS whole FROM p GROUP BY {by}ratio, step)" + (f" GROUP BY {keys}" if keys else "")
-        )
-
+        picks = []
+        for r, side, name in wanted:
+            at = lambda q: f"list({ratio[r]} ORDER BY {ratio[r]})[greatest(1, ceil(count(*) * {q!r}::DOUBLE))::BIGINT]"  # noqa: E731, B023
+            end = at(RATIOS[r][2] if side > 0 else 1 - RATIOS[r][2])
+            picks.append(f"greatest({end} + ({end} - {at(0.5)}) * {REACH}, 0) AS {name}")
+        return f"SELECT {keys and keys + ', '}count(*) AS n, {', '.join(picks)} FROM j WHERE NOT base_failed" + (f" GROUP BY {keys}" if keys else "")
+
+    blend = lambda own, above: ", ".join(f"({own}.n * {own}.{c} + {PRIOR} * {above}.{c}) // ({own}.n + {PRIOR}) AS {c}" for *_, c in wanted)
+    test = " AND ".join(f"{ratio[r]} {'<=' if side > 0 else '>='} fences.{c}" for r, side, c in wanted)
     return f"""
-, ok AS (SELECT * FROM j WHERE NOT base_failed),
-p AS ({steps}),
-s AS ({level("lang, source")}), l AS ({level("lang")}), a AS ({level("")}),
-t AS (SELECT j.*, {picks} FROM j LEFT JOIN s ON j.lang IS NOT DISTINCT FROM s.lang AND j.source IS NOT DISTINCT FROM s.source
-      LEFT JOIN l ON j.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({test}, true) AS kept FROM t
+, q0 AS ({level("")}), q1 AS ({level("lang")}), q2 AS ({level("lang, source")}),
+m AS (SELECT q1.lang, {blend("q1", "q0")} FROM q1 CROSS JOIN q0),
+fences AS (SELECT q2.lang, q2.source, {blend("q2", "m")} FROM q2 JOIN m ON q2.lang IS NOT DISTINCT FROM m.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({test}, true) AS kept
+FROM j LEFT JOIN fences ON j.lang IS NOT DISTINCT FROM fences.lang AND j.source IS NOT DISTINCT FROM fences.source
 """
 
 
