@@ -46,7 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import blocked, ranges, run_starts, stable_order, staged, text_bytes, text_or_empty
+from seriesloom.llm.common import blocked, ranges, run_starts, staged, text_bytes, text_or_empty
+from seriesloom.llm.exchange import SENT, SIDE, answered, answers, found_in, joined, keys_of, listed, sent, table_of, taking_part, texts_of
 
 THRESHOLD, GRAM, DIGIT = 200, 100, 50
 PIECE = 1 << 20
@@ -113,136 +114,61 @@ def pieces(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield at, data[at : at + PIECE + THRESHOLD - 1]
 
 
-def _keys(h: np.ndarray, parts: int) -> np.ndarray:
-    """Partition and lower 32 bits of each hash in one number; a clash can only keep more."""
-    return (((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-
-
-def _texts(rows: pa.Table, wanted: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """i and text of the wanted rows of a block."""
-    at = np.flatnonzero(np.isin(rows["i"].to_numpy(), wanted))
-    for i, t in zip(rows["i"].take(at), rows["text"].take(at), strict=True):
-        yield i.as_py(), t.as_py().encode()
-
-
-def _wanted(side: pa.Table) -> np.ndarray:
-    """The rows of a block that stand for their text (part -1)."""
-    return _joined(side["data"].filter(pa.array(side["part"].to_numpy() == -1)), np.int64)
-
-
-def _answers(side: pa.Table, column: str, kind: int) -> np.ndarray:
-    """Sorted keys that a block was answered; ``kind`` 0: anchors, 1: windows."""
-    rows = [(p, x) for p, k, x in zip(side["part"].to_pylist(), side["kind"].to_pylist(), side[column].to_pylist(), strict=True) if p >= 0 and k == kind]
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, x in rows]]))
-
-
-def _among(keys: np.ndarray, answers: np.ndarray) -> np.ndarray:
-    if not len(answers):
-        return np.zeros(len(keys), bool)
-    return answers[np.minimum(np.searchsorted(answers, keys), len(answers) - 1)] == keys
-
-
-def _sent(block: int, keys: list[np.ndarray]) -> pa.Table:
-    """The distinct keys of a block and how often each occurs there, packed by partition."""
-    s = np.sort(np.concatenate([np.zeros(0, np.uint64), *keys]))
-    first = run_starts(s)
-    n, s = np.diff(first, append=len(s)).astype(np.uint32), s[first]
-    cuts = [*run_starts(s >> np.uint64(32)).tolist(), len(s)]
-    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    low = s.astype(np.uint32)
-    return pa.table({
-        "part": pa.array([int(s[a] >> np.uint64(32)) for a, _ in spans], pa.int32()), "b": pa.array([block] * len(spans), pa.int64()),
-        "hashes": pa.array([low[a:z].tobytes() for a, z in spans], pa.binary()), "counts": pa.array([n[a:z].tobytes() for a, z in spans], pa.binary()),
-    })
-
-
-_SENT = "part int, b long, hashes binary, counts binary"
-_SIDE = "b long, part int, kind int, data binary, hot binary, n long"
-
-
 def _ask_anchors(parts: int):
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        powers, found = Powers(), []
-        if rows.num_rows and side.num_rows:
-            found = [_keys(anchors(p, powers)[0], parts) for _, t in _texts(rows, _wanted(side)) for _, p in pieces(t)]
-        return _sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
+        powers = Powers()
+        found = [keys_of(anchors(p, powers)[0], parts) for _, t in taking_part(rows, side) for _, p in pieces(t)]
+        return sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
 
     return run
 
 
+def _hot(side: pa.Table, hot: int) -> np.ndarray:
+    keys, _, blocks = answers(side, 0)
+    return keys[blocks >= hot]
+
+
 def _hot_windows(p: np.ndarray, powers: Powers, parts: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a piece that hang on hot anchors: their starts, their stretches and their keys."""
     h, first, last = anchors(p, powers)
-    hit = _among(_keys(h, parts), hot)
+    _, hit = found_in(keys_of(h, parts), hot)
     size = (last - first + 1)[hit]
     at = ranges(first[hit], size)
-    return at, np.repeat(np.flatnonzero(hit), size), _keys(powers.hashes(powers.sums(p), at, THRESHOLD), parts) if len(at) else np.zeros(0, np.uint64)
+    return at, np.repeat(np.flatnonzero(hit), size), keys_of(powers.hashes(powers.sums(p), at, THRESHOLD), parts) if len(at) else np.zeros(0, np.uint64)
 
 
-def _ask_windows(parts: int):
+def _ask_windows(parts: int, hot: int):
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        powers, found = Powers(), []
-        if rows.num_rows and side.num_rows and len(hot := _answers(side, "hot", 0)):
-            found = [_hot_windows(p, powers, parts, hot)[2] for _, t in _texts(rows, _wanted(side)) for _, p in pieces(t)]
-        return _sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
-
-    return run
-
-
-def _joined(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
-
-
-def _frequent(kind: int, hot: int):
-    """To each block, those of its keys that occur twice or more anywhere, how often there, and the hot ones."""
-
-    def run(table: pa.Table) -> pa.Table:
-        low, n = _joined(table["hashes"], np.uint32), _joined(table["counts"], np.uint32)
-        order = stable_order(low)
-        first = run_starts(low[order])
-        blocks = np.diff(first, append=len(low))
-        often = np.zeros(len(low), bool)
-        heavy = np.zeros(len(low), bool)
-        if len(low):
-            often[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), first) > 1, blocks)
-            heavy[order] = np.repeat(blocks >= hot, blocks)
-        size = [len(x.as_py()) // 4 for x in table["hashes"]]
-        ends = np.cumsum(size).tolist()
-        spans = [slice(e - s, e) for e, s in zip(ends, size, strict=True)]
-        part = int(table["part"][0].as_py())
-        rows = [(b, part, kind, low[x][often[x]].tobytes(), low[x][heavy[x]].tobytes(), int(n[x][often[x]].sum())) for b, x in zip(table["b"].to_pylist(), spans, strict=True) if often[x].any()]
-        return _table(rows, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), ("b", "part", "kind", "data", "hot", "n"))
+        powers, found, heavy = Powers(), [], _hot(side, hot)
+        if len(heavy):
+            found = [_hot_windows(p, powers, parts, heavy)[2] for _, t in taking_part(rows, side) for _, p in pieces(t)]
+        return sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
 
     return run
 
 
-def _table(rows: list[tuple], kinds, names) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
-
-
 _STRETCHES = "part int, b long, ids binary, at binary, sizes binary, bytes binary"
 
 
-def _stretches(parts: int, to: int):
+def _stretches(parts: int, to: int, heavy: int):
     """Stretches of a block for the radix passes, and what the block has settled (rows without bytes)."""
 
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        want = _answers(side, "data", 0) if rows.num_rows and side.num_rows else np.zeros(0, np.uint64)
+        want = answers(side, 0)[0]
         out: dict[int, list] = defaultdict(lambda: [[], [], [], []])
         settled: list[tuple[int, int, int]] = []
         if len(want):
             powers, seen = Powers(), {}
-            hot, windows = _answers(side, "hot", 0), _answers(side, "data", 1)
-            for i, t in _texts(rows, _wanted(side)):
+            hot, windows = _hot(side, heavy), answers(side, 1)[0]
+            for i, t in taking_part(rows, side):
                 for at, p in pieces(t):
                     h, first, last = anchors(p, powers)
-                    keys = _keys(h, parts)
-                    hit = _among(keys, want) & ~_among(keys, hot)
+                    keys = keys_of(h, parts)
+                    hit = found_in(keys, want)[1] & ~found_in(keys, hot)[1]
                     found = [(h[hit], first[hit], last[hit])]
                     if len(hot):  # of a hot anchor's windows, the runs of those that occur again
                         w, owner, key = _hot_windows(p, powers, parts, hot)
-                        again = _among(key, windows)
+                        again = found_in(key, windows)[1]
                         w, owner = w[again], owner[again]
                         new = run_starts(w - np.arange(len(w)) + owner * np.int64(1 << 40))
                         found.append((h[owner[new]], w[new], w[np.append(new[1:], len(w)) - 1] if len(w) else w))
@@ -261,7 +187,7 @@ def _stretches(parts: int, to: int):
         if settled:
             x = np.asarray(settled, np.int64)
             made.append((b % to, b, x[:, 0].tobytes(), x[:, 1].astype(np.int32).tobytes(), x[:, 2].astype(np.int32).tobytes(), None))
-        return _table(made, (pa.int32(), pa.int64(), *[pa.binary()] * 4), ("part", "b", "ids", "at", "sizes", "bytes"))
+        return table_of(made, (pa.int32(), pa.int64(), *[pa.binary()] * 4), ("part", "b", "ids", "at", "sizes", "bytes"))
 
     return run
 
@@ -308,12 +234,12 @@ def _repeated(table: pa.Table) -> pa.Table:
     blocks = table["b"].to_numpy()
     pure = np.array([x.is_valid for x in table["bytes"]])
     per = np.array([len(x.as_py()) // 8 for x in table["ids"]], np.int64)
-    ids, at, sizes = _joined(table["ids"], np.int64), _joined(table["at"], np.int32).astype(np.int64), _joined(table["sizes"], np.int32).astype(np.int64)
+    ids, at, sizes = joined(table["ids"], np.int64), joined(table["at"], np.int32).astype(np.int64), joined(table["sizes"], np.int32).astype(np.int64)
     block, sort = np.repeat(blocks, per), np.repeat(pure, per)
     known = [(block[~sort], ids[~sort], at[~sort], sizes[~sort])]
     block, ids, at, sizes = block[sort], ids[sort], at[sort], sizes[sort]
     if len(ids):
-        data = _joined(table["bytes"].filter(pa.array(pure)), np.uint8)
+        data = joined(table["bytes"].filter(pa.array(pure)), np.uint8)
         n = sizes - THRESHOLD + 1
         owner, place = np.repeat(np.arange(len(n)), n), ranges(np.cumsum(sizes) - sizes, n)
         hit = np.flatnonzero(radix_groups(data, place, Powers(len(data))))
@@ -327,7 +253,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     b, i, a, z = b[order], i[order], a[order].astype(np.int32), z[order].astype(np.int32)
     cuts = [*run_starts(b).tolist(), len(b)]
     spans = [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    return _table([(int(b[x.start]), i[x].tobytes(), a[x].tobytes(), z[x].tobytes()) for x in spans], (pa.int64(), *[pa.binary()] * 3), ("b", "ids", "first", "last"))
+    return table_of([(int(b[x.start]), i[x].tobytes(), a[x].tobytes(), z[x].tobytes()) for x in spans], (pa.int64(), *[pa.binary()] * 3), ("b", "ids", "first", "last"))
 
 
 def removed_spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -341,18 +267,18 @@ def removed_spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _cut(rows: pa.Table, side: pa.Table) -> pa.Table:
     """What is removed from the texts of a block, and the digest of the rest."""
-    ids, first, last = _joined(side["ids"], np.int64), _joined(side["first"], np.int32).astype(np.int64), _joined(side["last"], np.int32).astype(np.int64)
+    ids, first, last = joined(side["ids"], np.int64), joined(side["first"], np.int32).astype(np.int64), joined(side["last"], np.int32).astype(np.int64)
     order = np.argsort(ids, kind="stable")
     ids, first, last = ids[order], first[order], last[order]
     cuts = run_starts(ids)
     runs = {int(ids[a]): (first[a:z], last[a:z]) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)][: len(cuts)], strict=True)}
     made = []
-    for i, t in _texts(rows, ids[cuts]):
+    for i, t in texts_of(rows, ids[cuts]):
         cut = removed_spans(*runs[i])
         edges = [0, *cut.ravel().tolist(), len(t)]
         digest = hashlib.sha256(b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))).hexdigest()
         made.append((rows["b"][0].as_py(), i, int((cut[:, 1] - cut[:, 0]).sum()), digest, [{"start": a, "end": z} for a, z in cut.tolist()]))
-    return _table(made, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("b", "i", "removed", "cut_sha256", "cut"))
+    return table_of(made, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("b", "i", "removed", "cut_sha256", "cut"))
 
 
 def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -363,21 +289,25 @@ def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK, hot: int = HOT)
     classes = staged(table.groupBy("sha").agg(F.count(F.lit(1)).alias("m"), F.max("n_bytes").alias("n"), F.min(F.struct("b", "i")).alias("one")), "repeats-classes")
     stands = classes.filter(F.col("n") >= THRESHOLD).select("one.b", "one.i")
 
-    def listed(rows: pa.Table) -> pa.Table:
-        return _table([(rows["b"][0].as_py(), -1, 0, rows["i"].to_numpy().tobytes(), b"", 0)], (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), ("b", "part", "kind", "data", "hot", "n"))
-
-    side = staged(stands.groupBy("b").applyInArrow(listed, _SIDE), "repeats-stands")
+    side = staged(stands.groupBy("b").applyInArrow(listed, SIDE), "repeats-stands")
     parts = max(1, math.ceil(size / 50 / PART_ANCHORS))
     texts = table.select("b", "i", "text").groupBy("b")
-    asked = texts.cogroup(side.groupBy("b")).applyInArrow(_ask_anchors(parts), _SENT)
-    frequent = staged(asked.groupBy("part").applyInArrow(_frequent(0, hot), _SIDE), "repeats-anchors")
+    asked = texts.cogroup(side.groupBy("b")).applyInArrow(_ask_anchors(parts), SENT)
+    frequent = staged(asked.groupBy("part").applyInArrow(answered(0), SIDE), "repeats-anchors")
     side = side.unionByName(frequent)
-    found = frequent.agg(F.sum("n").alias("n"), F.sum(F.octet_length("hot")).alias("hot")).first()
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            n, blocks = joined(x["numbers"], np.uint32), joined(x["blocks"], np.uint32)
+            # an anchor found n times in all is shared out to the blocks that have it
+            yield pa.RecordBatch.from_arrays([pa.array([float((n / np.maximum(blocks, 1)).sum())]), pa.array([int((blocks >= hot).sum())])], ["n", "hot"])
+
+    found = frequent.select("numbers", "blocks").mapInArrow(summary, "n double, hot long").agg(F.sum("n").alias("n"), F.sum("hot").alias("hot")).first()
     if found["hot"]:
-        windows = texts.cogroup(side.groupBy("b")).applyInArrow(_ask_windows(parts), _SENT)
-        side = side.unionByName(staged(windows.groupBy("part").applyInArrow(_frequent(1, hot), _SIDE), "repeats-windows"))
+        windows = texts.cogroup(side.groupBy("b")).applyInArrow(_ask_windows(parts, hot), SENT)
+        side = side.unionByName(staged(windows.groupBy("part").applyInArrow(answered(1), SIDE), "repeats-windows"))
     to = max(1, math.ceil((found["n"] or 0) * (GRAM + THRESHOLD) / PART_BYTES))
-    stretches = texts.cogroup(side.groupBy("b")).applyInArrow(_stretches(parts, to), _STRETCHES)
+    stretches = texts.cogroup(side.groupBy("b")).applyInArrow(_stretches(parts, to, hot), _STRETCHES)
     runs = stretches.groupBy("part").applyInArrow(_repeated, "b long, ids binary, first binary, last binary")
     cut = texts.cogroup(runs.groupBy("b")).applyInArrow(_cut, "b long, i long, removed long, cut_sha256 string, cut array<struct<start: long, end: long>>")
     cut = cut.select(F.struct("b", "i").alias("one"), "removed", "cut_sha256", "cut")
