@@ -1,33 +1,37 @@
 """Exact n-gram Jaccard join and its connected components.
 
-1. Documents with equal shingle sets form one class. Everything below runs on
-   classes, so exact copies cost nothing further.
-2. Document frequency filter. Shingle hashes go, packed, to hash partitions;
-   each tells which of a class's shingles another class has too. A set that
-   links with another has at least the threshold's share of its shingles
-   there, so all other classes are done (no link is lost: hash clashes only
-   keep more classes).
-3. Classes that are left are first linked along a few min-hash keys, each key's
-   smallest class against the others, to find the dense groups cheaply. Every
-   such link is an exact intersection.
-4. Size-banded tiles find what is still missing: a set's prefix (its smallest
-   n - ceil(t * n) + 1 hashes; sets that link share one of them) sends the
-   set's size and hashed bitmap to tiles of (hash partition, size band). Only
+1. Rows are written once, in blocks, and never shuffled. Documents with equal
+   shingle sets form one class; everything below runs on one row of each class,
+   so exact copies cost nothing further.
+2. Document frequencies. Each block sends its distinct shingles, packed, to hash
+   partitions and is told how many classes have them. A set that links with
+   another has at least the threshold's share of its shingles there, so all
+   other classes are done (no link is lost: hash clashes only keep more classes).
+3. Size-banded tiles: the shingles of a class are put in one order, rarest
+   first. Sets that link share a shingle among the first n - ceil(t * n) + 1 of
+   theirs, the prefix; what no other class has is left out of it. Prefixes send a
+   set's size and hashed bitmap to tiles of (hash partition, size band); only
    sets in one or neighbouring bands can link. In a tile, sets that meet on a
-   prefix hash and are not yet in one component are compared by bit counts,
+   prefix shingle and are not yet in one component are compared by bit counts,
    which bound the overlap from above; the pairs that pass are intersected
-   exactly as sorted arrays. A first pass lists only a forest of each tile's
-   pairs, strongest bounds first, and its links are merged; the second lists
-   every pair that still lies between two components. So pairs inside a group
-   of copies are not listed, and no link between components is missed.
+   exactly as sorted arrays. Tiles are read three times, and the links found are
+   merged after each: first the sets that share a shingle are compared with one
+   pivot only, which joins dense groups at a cost in proportion to their size;
+   then a forest of each tile's pairs is listed, strongest bounds first; then
+   every pair that still lies between two components. So pairs inside a group of
+   copies are not listed, and no link between components is missed.
 
-Links are 64-bit hashes of shingles; classes are told apart by a 64-bit digest
-of the set.
+Tiles with many sets are cut into pairs of chunks that go to tasks of their own,
+and tiles whose sets are all in one component are not read again. Shingles are
+64-bit hashes; classes are told apart by a 64-bit digest of the set.
 
 Defined results: null, empty and blank texts have no set and link with nothing;
-equal rows are in one class; rows that share a doc_id and have different texts
-stay rows of their own; an empty table gives an empty result; further columns
-are ignored.
+texts of any length are read whole; equal rows, and texts with equal sets, are in
+one class; rows that share a doc_id and have different texts stay rows of their
+own; ties do not occur, a pair links or not; rows without an id link like others
+and their component is named by the smallest id in it (null if it has none); an
+empty table gives an empty result; further columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,151 +42,95 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import fresh, staged
+from seriesloom.llm.common import blocked, distinct, fresh, run_starts, sortable, staged, text_bytes
 from seriesloom.llm.components import components
-from seriesloom.llm.shingles import WordHashes, bitmap, chunks, fold, shingle_sets, signature_words
+from seriesloom.llm.exchange import SENT, SIDE, answered, answers, found_in, keys_of, listed, sent, taking_part
+from seriesloom.llm.shingles import WordHashes, bitmap, fold, shingle_sets, signature_words
 
 #: Links: DEN * intersection >= NUM * union.
 NUM, DEN = 3, 4
 WORDS = 5
-MIN_HASHES = 6
-#: Shingles, and prefix hashes, that one hash partition holds.
-PART_SHINGLES, PART_PREFIXES = 3_000_000, 1_000_000
+#: Text bytes of a block, shingles that one hash partition holds, prefix shingles of one tile partition.
+BLOCK, PART_SHINGLES, PART_PREFIXES = 10 << 20, 3_000_000, 250_000
+#: Sets of a tile from which it is cut into pairs of chunks.
+TILE_SETS = 1000
 #: Rows and columns of bitmaps compared at once.
 TILE = 256
+CHUNK_BYTES = 2 << 20
 
 
 def _id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
-def set_classes(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n (set size), cid (class of equal sets; null if empty)."""
+def _chunks(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:
+    ids, data, size = [], [], 0
+    for i, t in texts:
+        ids.append(i)
+        data.append(t)
+        size += len(t)
+        if size >= CHUNK_BYTES:
+            yield ids, data
+            ids, data, size = [], [], 0
+    if ids:
+        yield ids, data
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for ids, texts in chunks(batches):
-            sets = shingle_sets(texts, hashes, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "cid"]
-            )
-
-    return _plain(docs).mapInArrow(run, "doc_id long, n long, cid long")
 
-
-def _packed(docs: DataFrame, parts: int, k: int) -> DataFrame:
-    """part, cids, counts, hashes: shingles dealt by their upper bits, many to a row."""
+def set_classes(table: DataFrame, k: int = WORDS) -> DataFrame:
+    """b, i, doc_id, digest, n (set size), cid (class of equal sets; null if empty) of a blocked table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for _, texts in chunks(batches, 8 << 20):
-            sets, cids = [], []
-            for s in shingle_sets(texts, hashes, k):
-                if len(s) and (c := _id(s)) not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(c)
-                    sets.append(s)
-                    cids.append(c)
-            if not sets:
-                continue
-            h = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, doc, low = part[order], doc[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            cids = np.asarray(cids, np.int64)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-            cols: tuple = ([], [], [], [])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                d, n = np.unique(doc[a:b], return_counts=True)
-                for col, x in zip(cols, (int(part[a]), cids[d].tobytes(), n.astype(np.uint32).tobytes(), low[a:b].tobytes()), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "cids", "counts", "hashes"])
-
-    return _plain(docs).mapInArrow(run, "part int, cids binary, counts binary, hashes binary")
-
+        hashes = WordHashes()
+        for batch in batches:
+            n, cid = [], []
+            for _, texts in _chunks((0, t.as_py().encode()) for t in batch["text"]):
+                for s in shingle_sets(texts, hashes, k):
+                    n.append(len(s))
+                    cid.append(_id(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("b", "i", "doc_id", "digest")], pa.array(n, pa.int64()), pa.array(cid, pa.int64())], ["b", "i", "doc_id", "digest", "n", "cid"])
 
-def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
+    return table.mapInArrow(run, "b long, i long, doc_id long, digest string, n long, cid long")
 
 
-def _shared(parts: int):
-    """Per class, how many of its shingles in this partition another class has, packed by slices of the class id."""
+def _ask(parts: int, k: int):
+    """The distinct shingles of a block's classes."""
 
-    def run(table: pa.Table) -> pa.Table:
-        cids, n = _shared_counts(table)
-        part = (cids.astype(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, cids, n = part[order], cids[order], n[order].astype(np.uint32)
-        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        return pa.table({"slice": pa.array([int(part[a]) for a, _ in spans], pa.int32()), "cids": pa.array([cids[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())})
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        found = [keys_of(s, parts) for _, texts in _chunks(taking_part(rows, side)) for s in shingle_sets(texts, hashes, k)]
+        return sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    cids, inverse = np.unique(_joined(table["cids"], np.int64), return_inverse=True)
-    n = np.bincount(inverse, weights=_joined(table["counts"], np.uint32), minlength=len(cids)).astype(np.int64)
-    return pa.table({"cid": pa.array(cids), "shared": pa.array(n)})
-
-
-def _shared_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    sizes = _joined(table["counts"], np.uint32)
-    cids, first, inverse = np.unique(_joined(table["cids"], np.int64), return_index=True, return_inverse=True)
-    # copies of a class bring the same hashes: the first counts, with what clashes inside it
-    once = np.zeros(len(inverse), bool)
-    once[first] = True
-    rows = np.repeat(once, sizes)
-    owner = np.repeat(inverse.astype(np.uint64), sizes)[rows]
-    key = np.sort((_joined(table["hashes"], np.uint32)[rows].astype(np.uint64) << np.uint64(32)) | owner)
-    h = key >> np.uint64(32)
-    start = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)))
-    length = np.diff(start, append=len(h))
-    two = np.repeat(key[start] != key[start + length - 1], length)
-    n = np.bincount((key[two] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(cids))
-    at = np.flatnonzero(n)
-    return cids[at], n[at]
-
-
-def set_table(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """cid, n, elements (sorted uint64 as bytes) of documents with a set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for _, texts in chunks(batches):
-            sets = [s for s in shingle_sets(texts, hashes, k) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "n", "elements"])
-
-    return _plain(docs).mapInArrow(run, "cid long, n long, elements binary")
+def _linkable(parts: int, k: int, num: int, den: int):
+    """Sets that share enough shingles with any others: cid, n, elements and prefix (sorted uint64 as bytes)."""
 
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        hashes, out = WordHashes(), ([], [], [], [])
+        known, numbers, _ = answers(side, 0)
+        for _, texts in _chunks(taking_part(rows, side)):
+            for s in shingle_sets(texts, hashes, k):
+                n = len(s)
+                at, hit = found_in(keys_of(s, parts), known)
+                if den * int(hit.sum()) < num * n:
+                    continue
+                classes = np.where(hit, numbers[at], 0).astype(np.int64)
+                first = np.argsort(classes, kind="stable")[: n + (-num * n // den) + 1]  # n - ceil(num * n / den) + 1, rarest first, then by hash
+                prefix = np.sort(s[first[hit[first]]])
+                if len(prefix):
+                    for col, x in zip(out, (_id(s), n, s.tobytes(), prefix.tobytes()), strict=True):
+                        col.append(x)
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("cid", "n", "elements", "prefix"), out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
-def _min_hash_pairs(sets: DataFrame, keys: int) -> DataFrame:
-    """Pairs of each class with the smallest class that shares one of its keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cid, slot, low = [], [], []
-            for c, e in zip(batch["cid"], batch["elements"], strict=True):
-                s = np.frombuffer(e.as_py(), np.uint64)
-                for j in range(keys):
-                    # a different order of the elements for each key
-                    x = (s ^ np.uint64(j * 0x5851F42D4C957F2D & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
-                    cid.append(c.as_py())
-                    slot.append(j)
-                    low.append(int((x ^ (x >> np.uint64(31))).min()) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(slot, pa.int32()), pa.array(low, pa.int64())], ["cid", "slot", "low"])
-
-    rows = staged(sets.select("cid", "elements").mapInArrow(run, "cid long, slot int, low long"), "jaccard-keys")
-    first = rows.groupBy("slot", "low").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return rows.join(first, ["slot", "low"]).filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -213,12 +161,11 @@ def _tiles(sets: DataFrame, labels: DataFrame, parts: int, num: int, den: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for c, n, label, e in zip(batch["cid"], batch["n"], batch["label"], batch["elements"], strict=True):
-                s, n = np.frombuffer(e.as_py(), np.uint64), n.as_py()
-                prefix = s[: n + (-num * n // den) + 1]  # n - ceil(num * n / den) + 1
+            for c, n, label, e, f in zip(batch["cid"], batch["n"], batch["label"], batch["elements"], batch["prefix"], strict=True):
+                s, n, prefix = np.frombuffer(e.as_py(), np.uint64), n.as_py(), np.frombuffer(f.as_py(), np.uint64)
                 part = (prefix * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
                 bits, band = bitmap(s, signature_words(n)).tobytes(), _band(n, num, den)
-                for p in np.unique(part):
+                for p in distinct(part):
                     own = prefix[part == p].tobytes()
                     for b, home in ((band, True), (band + 1, False)):
                         for col, x in zip(out, (int(p), b, home, c.as_py(), n, label.as_py(), bits, own), strict=True):
@@ -226,31 +173,59 @@ def _tiles(sets: DataFrame, labels: DataFrame, parts: int, num: int, den: int) -
             kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["part", "band", "home", "cid", "n", "label", "bits", "prefix"])
 
-    rows = sets.join(labels, sets["cid"] == labels["node"], "left").select("cid", "n", F.coalesce("label", "cid").alias("label"), "elements")
+    rows = sets.join(labels, sets["cid"] == labels["node"], "left").select("cid", "n", F.coalesce("label", "cid").alias("label"), "elements", "prefix")
     return rows.mapInArrow(run, "part int, band int, home boolean, cid long, n long, label long, bits binary, prefix binary")
 
 
+def _dealt(tiles: DataFrame, pivots: bool) -> DataFrame:
+    """Tiles with work left, cut into chunks x and y of at most TILE_SETS sets or so: (part, band, x, y) is a task's group.
+
+    ``second`` marks the rows of chunk y where x and y differ. The sets of a
+    tile's largest component are in chunks of their own, which meet those of the
+    others only. With ``pivots`` chunks are taken alone.
+    """
+    per = tiles.groupBy("part", "band", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = per.groupBy("part", "band").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top")).filter(F.col("m") > F.col("top.c"))
+    cuts = lambda m: F.ceil(m / TILE_SETS).cast("int")
+    chunk = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    if pivots:
+        rows = tiles.join(sizes.select("part", "band", cuts(F.col("m")).alias("cuts")), ["part", "band"]).withColumn("own", chunk(F.col("cuts"))).drop("cuts")
+        return rows.withColumn("x", F.col("own")).withColumn("y", F.col("own")).withColumn("second", F.lit(False)).drop("own")
+    sizes = sizes.select("part", "band", F.col("top.label").alias("major"), cuts(F.col("top.c")).alias("first"), cuts(F.col("m") - F.col("top.c")).alias("rest"))
+    major = F.col("label") == F.col("major")
+    rows = tiles.join(sizes, ["part", "band"]).withColumn("own", F.when(major, chunk(F.col("first"))).otherwise(F.col("first") + chunk(F.col("rest"))))
+    rows = rows.withColumn("met", F.explode(F.sequence(F.when(major, F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)))
+    rows = rows.withColumn("x", F.least("own", "met")).withColumn("y", F.greatest("own", "met")).withColumn("second", F.col("own") > F.col("met"))
+    return rows.drop("own", "met", "major", "first", "rest")
+
+
 def tile_pairs(n: np.ndarray, label: np.ndarray, home: np.ndarray, maps: list[np.ndarray], num: int = NUM, den: int = DEN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one group that bit counts cannot rule out."""
-    return ((p, q) for p, q, _ in bounded_pairs(n, label, home, maps, num, den))
+    at = np.arange(len(n))
+    return ((p, q) for p, q, _ in bounded_pairs(at, at, n, label, home, maps, num, den))
 
 
-def bounded_pairs(n: np.ndarray, label: np.ndarray, home: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The pairs of tile_pairs with the share of both sizes that their overlap bound is.
+def bounded_pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray, label: np.ndarray, home: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of ``left`` and ``right`` that may link, and the share of both sizes that their overlap bound is.
 
-    Not yet in one component, at least one at home, and with an overlap bound
-    of at least num / (num + den) of both sizes, which links need.
+    Not yet in one component (``label`` may change between two steps), at least
+    one at home, and with an overlap bound of at least num / (num + den) of both
+    sizes, which links need. Where left and right are one, each pair comes once.
     """
-    order = np.argsort(n, kind="stable")
+    one = left is right
+    left = left[np.argsort(n[left], kind="stable")]
+    right = left if one else right[np.argsort(n[right], kind="stable")]
     words = np.array([len(m) for m in maps])
-    for i in range(0, len(order), TILE):
-        for j in range(i, len(order), TILE):
-            p, q = order[i : i + TILE], order[j : j + TILE]
+    for i in range(0, len(left), TILE):
+        for j in range(i if one else 0, len(right), TILE):
+            p, q = left[i : i + TILE], right[j : j + TILE]
             if n[p].max() * den < num * n[q].min():
                 break
+            if n[q].max() * den < num * n[p].min():
+                continue
             ok = (label[p][:, None] != label[q][None, :]) & (home[p][:, None] | home[q][None, :])
             ok &= (n[p][:, None] * den >= num * n[q][None, :]) & (n[q][None, :] * den >= num * n[p][:, None])
-            if i == j:
+            if one and i == j:
                 ok &= np.triu(np.ones(ok.shape, bool), 1)
             if not ok.any():
                 continue
@@ -291,29 +266,35 @@ class Forest:
         return p[kept], q[kept]
 
 
-def _candidates(num: int, den: int, forest: bool):
-    """Pairs of a tile to verify; with ``forest`` only pairs that join trees of them."""
+def _candidates(num: int, den: int, step: str):
+    """Pairs of a tile to verify; step: pivot (sets with one pivot of each shingle), forest (pairs that join trees of them) or all."""
 
     def run(table: pa.Table) -> pa.Table:
         cid, n, label = (table[c].to_numpy() for c in ("cid", "n", "label"))
-        home = table["home"].to_numpy(zero_copy_only=False)
+        home, second = (table[c].to_numpy(zero_copy_only=False) for c in ("home", "second"))
         maps = [np.frombuffer(x.as_py(), np.uint64) for x in table["bits"]]
         prefixes = [np.frombuffer(x.as_py(), np.uint64) for x in table["prefix"]]
         h = np.concatenate(prefixes)
         owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
-        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+        cuts = [*run_starts(h).tolist(), len(h)]
         found: set[tuple[int, int]] = set()
         tried: set[bytes] = set()
-        trees = Forest(label) if forest else None
+        trees = None if step == "all" else Forest(label)
+        now = label if trees is None else trees.tree
+        crossing = table["x"][0] != table["y"][0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            group = np.unique(owner[a:b])
-            if len(group) < 2 or (label[group] == label[group[0]]).all() or (key := hashlib.blake2b(group.tobytes(), digest_size=16).digest()) in tried:
+            if b - a < 2 or (now[owner[a:b]] == now[owner[a]]).all():
+                continue
+            group = np.sort(owner[a:b])
+            if (key := hashlib.blake2b(group.tobytes(), digest_size=16).digest()) in tried:
                 continue
             tried.add(key)
-            for p, q, strength in bounded_pairs(n[group], label[group] if trees is None else trees.tree[group], home[group], [maps[g] for g in group], num, den):
-                p, q = group[p], group[q]
+            left, right = (group[~second[group]], group[second[group]]) if crossing else (group, group)
+            if step == "pivot":
+                left, right = group[[cid[group].argmin()]], group
+            for p, q, strength in bounded_pairs(left, right, n, now, home, maps, num, den):
                 if trees is not None:
                     p, q = trees.joining(p, q, strength)
                 one, two = cid[p], cid[q]
@@ -333,39 +314,62 @@ def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     return labels.unionByName(new).withColumnRenamed("label", "k").join(top, "k", "left").select("node", F.coalesce("top", "k").alias("label"))
 
 
-def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
-    classes = staged(set_classes(docs, k), "jaccard-classes")
+def linkable_sets(table: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """cid, n, elements, prefix of the classes that may link, one row each."""
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(1, math.ceil(total / PART_SHINGLES))
-    shared = _packed(docs, parts, k).groupBy("part").applyInArrow(_shared(parts), "slice int, cids binary, counts binary")
-    shared = shared.groupBy("slice").applyInArrow(_summed, "cid long, shared long")
-    each = classes.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    left = staged(each.join(shared, "cid").filter(F.col("shared") * den >= F.col("n") * num).select("cid", "doc_id"), "jaccard-left")
-    texts = _plain(docs).join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    if left.filter("doc_id is null").limit(1).count():  # classes that only rows without an id have
-        texts = texts.unionByName(_plain(docs).filter("doc_id is null"))
-    # a doc_id may stand on several rows: keep the wanted classes, each once
-    sets = staged(set_table(texts, k).join(left.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("elements").alias("elements")), "jaccard-sets")
-    links = staged(verified(_min_hash_pairs(sets, MIN_HASHES), sets, num, den), "jaccard-links")
-    labels = components(links)
-    prefixes = sets.agg(F.sum(F.col("n") * (den - num) / den + 1).alias("n")).first()["n"] or 0
-    for forest in (True, False):
-        tiles = _tiles(sets, labels, max(1, math.ceil(prefixes / PART_PREFIXES)), num, den)
-        missed = tiles.groupBy("part", "band").applyInArrow(_candidates(num, den, forest), "a long, b long").distinct()
-        more = staged(verified(missed, sets, num, den), "jaccard-more")
+    stands = classes.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("b", "i")).alias("one")).select("one.b", "one.i")
+    side = staged(stands.groupBy("b").applyInArrow(listed, SIDE), "jaccard-stands")
+    texts = table.select("b", "i", "text").groupBy("b")
+    asked = texts.cogroup(side.groupBy("b")).applyInArrow(_ask(parts, k), SENT)
+    frequent = asked.groupBy("part").applyInArrow(answered(0), SIDE)
+    return staged(texts.cogroup(side.unionByName(frequent).groupBy("b")).applyInArrow(_linkable(parts, k, num, den), "cid long, n long, elements binary, prefix binary"), "jaccard-sets")
+
+
+def links(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """node, label: the components of the links between sets, found in three readings of their tiles."""
+    prefixes = sets.agg(F.sum(F.octet_length("prefix") / 8).alias("n")).first()["n"] or 0
+    parts = max(1, math.ceil(prefixes / PART_PREFIXES))
+    labels = sets.select(F.col("cid").alias("node"), F.col("cid").alias("label")).filter("false")
+    for step in ("pivot", "forest", "all"):
+        tiles = staged(_tiles(sets, labels, parts, num, den), "jaccard-tiles")
+        pairs = _dealt(tiles, step == "pivot").groupBy("part", "band", "x", "y").applyInArrow(_candidates(num, den, step), "a long, b long").distinct()
+        more = staged(verified(pairs, sets, num, den), "jaccard-links")
         if more.limit(1).count():
             labels = staged(_merged(labels, more), "jaccard-labels")
-    named = classes.join(labels, classes["cid"] == labels["node"], "left").select("doc_id", "n", F.coalesce("label", "cid").alias("group"))
+    return labels
+
+
+def _grouped(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, block_bytes: int = BLOCK) -> DataFrame:
+    """doc_id, digest (of the text), n and group (null without a set) of each row."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
+    table = blocked(plain, "jaccard", text_bytes(docs), "text", block_bytes)
+    classes = staged(set_classes(table, k), "jaccard-classes")
+    labels = links(linkable_sets(table, classes, k, num, den), num, den)
+    return classes.join(labels, classes["cid"] == labels["node"], "left").select("doc_id", "digest", "n", F.coalesce("label", "cid").alias("group"))
+
+
+def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, block_bytes: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row."""
+    named = _grouped(docs, k, num, den, block_bytes).select("doc_id", "n", "group")
     smallest = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The input's rows and columns with one document of each component, the smallest id."""
-    (key,) = fresh(docs, "kept_id")
-    kept = near_components(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    """The input's rows and columns with one row of each component: the smallest id, then the smallest digest of the text.
+
+    Texts without a set link with nothing, so each (id, text) of them stays once.
+    """
+    key, own, n = fresh(docs, "kept_key", "own_key", "copy")
+    name = lambda digest: F.concat(digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = staged(_grouped(docs, **options).select("doc_id", "digest", "group", name(F.col("digest")).alias(key)), "jaccard-rows")
+    each = F.coalesce(F.col("group").cast("string"), F.concat(F.lit("-"), F.col(key)))
+    kept = rows.groupBy(each.alias("each")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"), F.col(key))).alias("one")).select(F.col("one")[key].alias(key))
+    found = docs.withColumn(own, name(_digest())).join(kept, F.col(own) == F.col(key), "left_semi")
+    if rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).limit(1).count():  # some rows share id and text
+        found = found.withColumn(n, F.row_number().over(Window.partitionBy(own).orderBy(*sortable(docs.drop("text"))))).filter(F.col(n) == 1)
+    return found.select(docs.columns)
 
 
 JACCARD_SQL = r"""

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from seriesloom.llm.common import distinct
+
 CHUNK_BYTES = 2 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(29)
@@ -45,7 +47,7 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes, k: int = 5) -> list[np.
     out, at = [], 0
     for p in parts:
         if len(p) >= k:
-            out.append(np.unique(mixed[at : at + len(p) - k + 1]))
+            out.append(distinct(mixed[at : at + len(p) - k + 1]))
         elif len(p):
             h = np.uint64(len(p))
             with np.errstate(over="ignore"):
