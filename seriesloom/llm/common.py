@@ -148,3 +148,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             n += "_"
         out.append(n)
     return out
+
+
+def sortable(df: DataFrame) -> list[str]:
+    """The columns of ``df`` that have an order (all but maps and variants, also nested)."""
+    return [f"`{f.name}`" for f in df.schema if not re.search(r"map<|variant", f.dataType.simpleString())]
