@@ -9,9 +9,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
-from seriesloom.llm import chat_format, exact_dedup, gru_model, jaccard_join, license_scan, mixing, packing, ppm_score, quality_rules, repeat_removal, toxicity
+from seriesloom.llm import chat_format, exact_dedup, exchange, gru_model, jaccard_join, license_scan, mixing, packing, ppm_score, quality_rules, repeat_removal, toxicity
 from seriesloom.llm.queries import oracle_sql, queries
 from tests.compare import connection, difference
 
@@ -66,7 +68,7 @@ def test_exact_dedup(spark, docs, texts, empty):
         assert r["keep_id"] == best[t] and r["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
     assert sum(r["kept"] for r in got) == len(best) == exact_dedup.drop_exact_copies(rows).count()
     # all digests in the ordinary shuffle, and all on the broadcast side, agree
-    assert sorted(map(tuple, exact_dedup.exact_dedup(rows, support=0.9).collect())) == sorted(map(tuple, got))
+    assert sorted(map(tuple, exact_dedup.exact_dedup(rows, support=0.9).collect())) == sorted(map(tuple, got)) == sorted(map(tuple, exact_dedup.exact_dedup(rows, support=0.001).collect()))
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert exact_dedup.exact_dedup(docs.selectExpr("cast(null as long) doc_id", "'a' text")).filter("kept").count() == 1
 
@@ -92,15 +94,32 @@ def brute_components(texts):
     return [(i, len(s), find(i)) for i, s in enumerate(sets)]
 
 
-def test_jaccard_components(spark, docs, texts, empty, monkeypatch):
-    got = sorted(tuple(r) for r in jaccard_join.near_components(docs).collect())
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_components(spark, docs, texts, empty, monkeypatch, small):
+    if small:  # many blocks, hash partitions and chunks of tiles
+        for name, value in (("PART_SHINGLES", 500), ("PART_PREFIXES", 100), ("TILE_SETS", 3)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    got = sorted(tuple(r) for r in jaccard_join.near_components(docs, block_bytes=5000 if small else 1 << 20).collect())
     assert got == brute_components(texts)
-    # the tiles alone find all links too
-    monkeypatch.setattr(jaccard_join, "_min_hash_pairs", lambda sets, keys: sets.selectExpr("cid a", "cid b").filter("false"))
-    assert sorted(tuple(r) for r in jaccard_join.near_components(docs).collect()) == got
     assert jaccard_join.near_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("steps", [("all",), ("pivot", "all"), ("forest", "all")])
+def test_each_reading_of_the_tiles_finds_the_rest(spark, monkeypatch, steps):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(40)}" for _ in range(60)]
+    rows = []
+    for i in range(60):  # a chain of near copies: only neighbours link
+        base = [*base[3:], *(f"w{rng.randrange(40)}" for _ in range(3))]
+        rows.append(" ".join(base))
+    rows += [" ".join(f"z{j}" if j == i else f"c{j}" for j in range(60)) for i in range(50)]  # a dense group
+    rng.shuffle(rows)
+    real = jaccard_join._candidates
+    monkeypatch.setattr(jaccard_join, "TILE_SETS", 7)
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda num, den, step: real(num, den, step) if step in steps else lambda t: real(num, den, "all")(t).slice(0, 0))
+    assert sorted(tuple(r) for r in jaccard_join.near_components(make(spark, rows)).collect()) == brute_components(rows)
+
+
 def test_jaccard_rows_without_an_id_link(spark):
     w = [f"w{i}" for i in range(120)]
     rows = spark.createDataFrame([(i, " ".join(w[a : a + 100])) for i, a in ((1, 0), (None, 10), (2, 20), (None, 10))], "doc_id long, text string")
@@ -109,14 +128,20 @@ def test_jaccard_rows_without_an_id_link(spark):
     assert [r["doc_id"] for r in jaccard_join.one_of_each(rows).collect()] == [1]
 
 
-def test_jaccard_clashes_do_not_lower_the_count():
-    def packet(*sets):
-        return [np.array(x, t).tobytes() for x, t in (([c for c, _ in sets], np.int64), ([len(h) for _, h in sets], np.uint32), ([x for _, h in sets for x in h], np.uint32))]
+def test_jaccard_one_row_of_each_component(spark):
+    w = [f"w{i}" for i in range(120)]
+    text = lambda a: " ".join(w[a : a + 100])
+    rows = [(5, text(0), "x"), (5, text(0), "x"), (5, text(0), "y"), (5, "other words of the same id here", "z"), (3, text(10), "q"), (7, "", "e"), (7, "", "e"), (8, None, "e"), (None, " ", "e")]
+    got = sorted(str(tuple(r)) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, kept_key string")).collect())
+    assert got == sorted(map(str, [rows[3], rows[4], rows[5], rows[7], rows[8]]))
+
 
-    # in classes 1 and 2 two shingles have the low bits 7; class 1 comes twice; class 3 shares nothing, though it clashes
-    packets = [packet((1, [7, 7, 8]), (2, [7, 9, 7])), packet((3, [5, 5])), packet((1, [7, 7, 8]))]
-    cids, n = jaccard_join._shared_counts(pa.table(dict(zip(("cids", "counts", "hashes"), map(list, zip(*packets, strict=True)), strict=True))))
-    assert (cids.tolist(), n.tolist()) == ([1, 2], [2, 2])
+def test_clashes_do_not_lower_the_count():
+    # in class 1 two shingles have the lower bits 7, which another class of another block has once; 9 is alone
+    key = lambda *x: np.array(x, np.uint64)
+    asked = pa.concat_tables([exchange.sent(1, [key(7, 7, 8), key(9)]), exchange.sent(2, [key(7)])])
+    got = exchange.answers(exchange.answered(0)(asked).filter(pc.field("b") == 1), 0)
+    assert [x.tolist() for x in got] == [[7], [3], [2]]
 
 
 def test_tile_bound_loses_no_pair():
@@ -239,8 +264,9 @@ def test_chat_round_trip(spark):
 
 
 def test_mix(docs, texts, empty):
-    got = mixing.mix_sources(docs, slice_rows=7).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(docs, slice_rows=1000).collect()))
+    got = mixing.mix_sources(docs, slices=3).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(3), slices=20).collect()))
+    
     per = collections.defaultdict(lambda: [0, 0, 0.0, 0])
     for r in got:
         assert r["size"] == len((texts[r["doc_id"]] or "").encode().split()) and r["taken"] in (0, r["size"], 2 * r["size"])
@@ -334,8 +360,8 @@ def test_quality_statistics(docs, texts, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
-def quality_kept(spark, texts):
-    return {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(make(spark, texts).selectExpr("doc_id", "text", "'en' lang", "'s' source"), least=1).collect()}
+def quality_kept(spark, texts, **options):
+    return {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(make(spark, texts).selectExpr("doc_id", "text", "'en' lang", "'s' source"), **options).collect()}
 
 
 def test_quality_fences_have_no_top(spark):
@@ -345,22 +371,40 @@ def test_quality_fences_have_no_top(spark):
     def long_words(n):
         return " ".join(f"{j:02}" + "x" * (n - 2) for j in range(12))
 
-    # quartiles 0 and 5: fence 20.1
-    got = quality_kept(spark, [marked(n) for n in [0] * 4 + [2] * 4 + [5, 990, 9, 21]])
-    assert sorted(i for i, k in got.items() if not k) == [9, 11]
-    # quartiles 10 and 25: fence 73
-    got = quality_kept(spark, [long_words(n) for n in [10] * 5 + [25] * 5 + [60, 100_000]])
-    assert sorted(i for i, k in got.items() if not k) == [11]
-    # alike beyond the SQL's last step: all stay, and what lies far above them goes
-    got = quality_kept(spark, [long_words(n) for n in [30_023] * 8 + [30_022, 90_000]])
-    assert sorted(i for i, k in got.items() if not k) == [9]
-
-
-def test_quality_grid(spark):
-    values = [*range(0, 20_000, 7), 8_191, 8_192, 8_193, 2**40 + 1, 2**50 - 1]
-    rows = spark.createDataFrame([(v, 100) for v in values], "word_chars long, n_words long")
-    steps = [r[0] for r in rows.select(quality_rules._step("word_length")).collect()]
-    assert steps == [v >> max(v.bit_length() - 13, 0) << max(v.bit_length() - 13, 0) for v in values]
+    # median 2, quantile 15/16 of 32: 5, so the fence is 8
+    got = quality_kept(spark, [marked(n) for n in [0] * 10 + [2] * 10 + [5] * 10 + [8, 990]])
+    assert [i for i, k in got.items() if not k] == [31]
+    # median 10, quantile 25: fence 40; nothing lies below
+    got = quality_kept(spark, [long_words(n) for n in [10] * 20 + [25] * 10 + [40, 100_000]])
+    assert [i for i, k in got.items() if not k] == [31]
+    # alike however large: all stay, and what lies beyond them on either side goes
+    got = quality_kept(spark, [long_words(n) for n in [30_023] * 30 + [29_000, 90_000]])
+    assert sorted(i for i, k in got.items() if not k) == [30, 31]
+
+
+def test_quality_fences_lean_on_larger_groups(spark):
+    rows = [(i, "x " * (i % 7) + " ".join(f"{i % 5}y{j}" for j in range(20)), "en" if i < 50 else None, "a" if i < 45 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = quality_rules.text_stats(docs).selectExpr("*", "n_words < 10 base_failed")
+    plain = lambda d: {(r["lang"], r["source"]): r["word_length_high"] for r in d.collect()}
+    own, whole = plain(quality_rules.fences(judged, prior=0)), plain(quality_rules.fences(judged, prior=10**9))
+    assert set(own) == {("en", "a"), ("en", None), (None, None)} and len(set(whole.values())) == 1
+    for k, x in plain(quality_rules.fences(judged)).items():
+        assert min(own[k], whole[k], *own.values()) - 1 <= x <= max(*own.values(), whole[k])
+
+
+def test_quality_fences_differ_between_groups(spark):
+    limits = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).groupBy("lang", "source").agg(*[F.first(f"{r}_high").alias(r) for r in quality_rules.RATIOS]).collect()
+    for r in quality_rules.RATIOS:
+        assert len({x[r] for x in limits}) >= 0.9 * len(limits) == 72
+
+
+def test_quality_sketches_are_close_beyond_their_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    judged = quality_rules.text_stats(docs).selectExpr("*", "n_words < 10 base_failed", "n_words * 10000L div greatest(n_lines, 1) v").filter("n_words >= 10")
+    got = judged.groupBy().agg(F.kll_sketch_agg_bigint("v", F.lit(quality_rules.SKETCH)).alias("s"), F.collect_list("v").alias("all")).select(F.kll_sketch_get_quantile_bigint("s", F.lit(15 / 16)).alias("q"), "all").first()
+    rank = sum(v <= got["q"] for v in got["all"]) / len(got["all"])
+    assert abs(rank - 15 / 16) < 0.005 and len(got["all"]) > quality_rules.SKETCH
 
 
 def test_network_gradients():
