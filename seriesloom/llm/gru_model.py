@@ -200,13 +200,16 @@ def _odds(sets: list[tuple[int, set[bytes]]], most: int, least: int) -> dict[byt
     return {k: float(np.clip(np.log((seen[k][1] + 0.5) / (n1 + 1)) - np.log((seen[k][0] + 0.5) / (n0 + 1)), -3, 3)) for k in common}
 
 
-def train(bags: list[tuple[int, list[list[bytes]]]], steps: int = 300, batch: int = 96, rate: float = 0.02, seed: int = 7, most: int = 20_000, least: int = 3) -> Model | None:
-    """Fit on (label, windows) bags. A toxic document teaches by its likeliest window only.
-
-    ``steps`` is the least number of updates, in whole passes over the bags.
-    Word vectors start, in one place, with the smoothed log odds of the word
-    among the labelled documents, and so do those of word beginnings. Without
-    both labels there is no model.
+def train(bags: list[tuple[int, list[list[bytes]]]], steps: int = 300, batch: int = 96, rate: float = 0.02, seed: int = 7, most: int = 20_000, least: int = 3, odds_start: bool = True) -> Model | None:
+    """Fit on (label, windows) bags. A toxic document teaches by its likeliest window only, all windows compete.
+
+    ``steps`` is the least number of updates, in whole passes over the bags; of
+    a clean document two windows, drawn anew in each pass, are shown. Words (and
+    word beginnings) that at least ``least`` bags have, the ``most`` commonest of
+    them, have vectors of their own; others are known by their bytes. With
+    ``odds_start`` word vectors start, in one place, with the smoothed log odds
+    of the word among the labelled documents, and so do those of word beginnings.
+    Without both labels there is no model.
     """
     bags = [b for b in bags if b[1]]
     if len({y for y, _ in bags}) < 2:
@@ -215,8 +218,9 @@ def train(bags: list[tuple[int, list[list[bytes]]]], steps: int = 300, batch: in
     odds = _odds(words_of, most, least)
     head_odds = _odds([(y, {x[:HEAD_BYTES] for x in words}) for y, words in words_of], most, least)
     model = Model({w: i + 1 for i, w in enumerate(odds)}, {w: i + 1 for i, w in enumerate(head_odds)}, seed)
-    model.p["word"][1:, 0] = list(odds.values())
-    model.p["head"][1:, 0] = list(head_odds.values())
+    if odds_start:
+        model.p["word"][1:, 0] = list(odds.values())
+        model.p["head"][1:, 0] = list(head_odds.values())
     rng = np.random.default_rng(seed)
     flat = [(i, w) for i, (y, windows) in enumerate(bags) if y for w in windows]
     per_epoch = -(-(sum(y for y, _ in bags) + sum(min(2, len(w)) for y, w in bags if not y)) // batch)

@@ -1,16 +1,21 @@
 """Toxicity scores from a bidirectional gated recurrent network.
 
-The network (see ``gru_model``) is fitted on the driver from windows of a
-bounded sample of labelled documents, at most ``SAMPLE`` of each label and
-``SAMPLE_WINDOWS`` windows of each, spread evenly; it has a fixed size. Every
-whole document is then scored where it is read: all its overlapping windows,
-the largest probability counts. There is no shuffle.
+The network (see ``gru_model``) is fitted on the driver from all windows of a
+bounded sample of labelled documents: at most ``SAMPLE`` of each label and
+``SAMPLE_BYTES`` of their texts, whole documents in a fixed pseudo-random order.
+It has a fixed size. Every whole document is then scored where it is read: all
+its overlapping windows, the largest probability counts. There is no shuffle.
+
+Scores do not depend on what else a task reads: products are taken over batches
+of one fixed shape, and scores are rounded to ``DIGITS`` places.
 
 Defined results: an empty, blank or null text has score 0; equal rows get equal
 scores; texts of any length are scored whole; without labels of both kinds all
 scores are 0; rows of ``labels`` with nulls are left out and a doc_id with
-several labels counts as toxic if one is; an empty table gives an empty result;
-lang, source and other columns are never read.
+several labels counts as toxic if one is; a doc_id on several rows teaches by
+each; a score that equals the limit counts as toxic; an empty table gives an
+empty result; lang, source and other columns, whatever their names, are never
+read.
 """
 
 from __future__ import annotations
@@ -27,34 +32,36 @@ from seriesloom.llm.common import crc_mod
 from seriesloom.llm.gru_model import STATE, WINDOW, Model, tokens, train, window_starts
 from seriesloom.llm.shingles import chunks
 
-#: Most labelled documents of each label, and windows of each, to learn from.
-SAMPLE, SAMPLE_WINDOWS = 1200, 8
+#: Most labelled documents of each label, and bytes of all their texts, to learn from.
+SAMPLE, SAMPLE_BYTES = 1200, 48 << 20
 LIMIT = 0.7
+#: Windows or tokens in one product, and places of a score.
+FIXED, DIGITS = 512, 6
 #: Distinct tokens whose projections a task keeps.
 MOST_TOKENS = 150_000
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from rows whose id has a crc32 remainder other than 1 (modulo 3)."""
-    known = labels.filter(crc_mod("doc_id", 3) != 1).filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[int, list[list[bytes]]]]:
+    """(label, all windows) of the documents to learn from: ids with a crc32 remainder other than 1 (modulo 3)."""
+    known = labels.filter(crc_mod("doc_id", 3) != 1).filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("y"))
+    order = [F.xxhash64("label_id"), F.col("label_id")]
     chosen = known.filter("y = 1").orderBy(*order).limit(sample).unionByName(known.filter("y = 0").orderBy(*order).limit(sample))
+    # at most 2 * SAMPLE ids are broadcast
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    bags, size = [], 0
+    for r in rows.select("y", "text", *[o.alias(f"o{i}") for i, o in enumerate(order)]).orderBy("o0", "o1", F.md5("text")).toLocalIterator():
+        text = (r["text"] or "").encode()
+        size += len(text)
+        if size > sample_bytes:
+            break
+        w = tokens(text)
+        bags.append((r["y"], [w[a : a + WINDOW] for a in window_starts(len(w))]))
+    return bags
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shown = []
-            for t in batch["text"]:
-                w = tokens((t.as_py() or "").encode())
-                starts = window_starts(len(w))
-                picked = sorted({starts[i * (len(starts) - 1) // max(1, SAMPLE_WINDOWS - 1)] for i in range(SAMPLE_WINDOWS)}) if starts else []
-                shown.append([b" ".join(w[a : a + WINDOW]) for a in picked])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(shown, pa.list_(pa.binary()))], ["doc_id", "y", "windows"])
 
-    # at most 2 * SAMPLE ids are broadcast and as many rows of bounded size come back
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(cut, "doc_id long, y int, windows array<binary>").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["windows"]))
-    return train([(r["y"], [bytes(w).split() for w in r["windows"]]) for r in found])
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Model | None:
+    """The network learnt from ``sample_of``; options are those of ``train``."""
+    return train(sample_of(docs, labels, sample), **options)
 
 
 class Scorer:
@@ -77,11 +84,11 @@ class Scorer:
         self.index.update(zip(new, range(self.size, self.size + len(new)), strict=True))
         while len(self.pf) < self.size + len(new):
             self.pf, self.pb = (np.concatenate([p, np.zeros_like(p)]) for p in (self.pf, self.pb))
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            f, b = self.model.project(self.model.encode(part)[0])
+        for a in range(0, len(new), FIXED):
+            part = new[a : a + FIXED]
+            f, b = self.model.project(self.model.encode(part + [b""] * (FIXED - len(part)))[0])
             at = slice(self.size + a, self.size + a + len(part))
-            self.pf[at], self.pb[at] = f, b
+            self.pf[at], self.pb[at] = f[: len(part)], b[: len(part)]
         self.size += len(new)
         get = self.index.__getitem__
         return [np.fromiter(map(get, d), np.int64, len(d)) for d in words]
@@ -98,16 +105,23 @@ class Scorer:
                 whole_doc.append(np.full(len(starts), i))
         if whole:
             at, doc = np.concatenate(whole), np.concatenate(whole_doc)
-            for a in range(0, len(at), 2048):
-                y, _ = self.model.windows(self.pf, self.pb, at[a : a + 2048], None)
-                np.maximum.at(out, doc[a : a + 2048], y)
-        for a in range(0, len(short), 2048):
-            part = short[a : a + 2048]
+            for a in range(0, len(at), FIXED):
+                np.maximum.at(out, doc[a : a + FIXED], self._windows(at[a : a + FIXED], None))
+        for a in range(0, len(short), FIXED):
+            part = short[a : a + FIXED]
             mask = np.arange(WINDOW)[None, :] < np.array([len(rows[i]) for i in part])[:, None]
             at = np.zeros(mask.shape, np.int64)
             at[mask] = np.concatenate([rows[i] for i in part])
-            out[part], _ = self.model.windows(self.pf, self.pb, at, mask)
-        return out
+            out[part] = self._windows(at, mask)
+        return np.round(out, DIGITS)
+
+    def _windows(self, at: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """Scores of at most FIXED windows, filled up to that number."""
+        n = len(at)
+        at = np.concatenate([at, np.zeros((FIXED - n, WINDOW), np.int64)])
+        if mask is not None:
+            mask = np.concatenate([mask, np.ones((FIXED - n, WINDOW), bool)])
+        return self.model.windows(self.pf, self.pb, at, mask)[0][:n]
 
 
 def with_scores(docs: DataFrame, model: Model | None) -> DataFrame:
