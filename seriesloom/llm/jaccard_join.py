@@ -21,8 +21,8 @@
    every pair that still lies between two components. So pairs inside a group of
    copies are not listed, and no link between components is missed.
 
-Tiles with many sets are cut into pairs of chunks that go to tasks of their own,
-and tiles whose sets are all in one component are not read again. Shingles are
+Tiles with many sets are cut into pairs of chunks that go to tasks of their own
+(or, once that costs more, into hash partitions of their shingles), and tiles whose sets are all in one component are not read again. Shingles are
 64-bit hashes; classes are told apart by a 64-bit digest of the set.
 
 Defined results: null, empty and blank texts have no set and link with nothing;
@@ -48,15 +48,17 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import blocked, distinct, fresh, run_starts, sortable, staged, text_bytes
 from seriesloom.llm.components import components
 from seriesloom.llm.exchange import SENT, SIDE, answered, answers, found_in, keys_of, listed, sent, taking_part
-from seriesloom.llm.shingles import WordHashes, bitmap, fold, shingle_sets, signature_words
+from seriesloom.llm.shingles import WordHasher, bitmap, fold, shingle_sets, signature_words
 
 #: Links: DEN * intersection >= NUM * union.
 NUM, DEN = 3, 4
 WORDS = 5
-#: Text bytes of a block, shingles that one hash partition holds, prefix shingles of one tile partition.
-BLOCK, PART_SHINGLES, PART_PREFIXES = 10 << 20, 3_000_000, 250_000
-#: Sets of a tile from which it is cut into pairs of chunks.
-TILE_SETS = 1000
+#: Text bytes of a block, and shingles that one hash partition holds.
+BLOCK, PART_SHINGLES = 10 << 20, 3_000_000
+#: Sets of a chunk: where they meet one pivot, and where a larger tile is cut into pairs of chunks.
+PIVOT_SETS, TILE_SETS = 1000, 10_000
+#: Most tiles whose sizes are broadcast.
+MOST_SIZES = 10_000
 #: Rows and columns of bitmaps compared at once.
 TILE = 256
 CHUNK_BYTES = 2 << 20
@@ -87,7 +89,7 @@ def set_classes(table: DataFrame, k: int = WORDS) -> DataFrame:
     """b, i, doc_id, digest, n (set size), cid (class of equal sets; null if empty) of a blocked table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHasher()
         for batch in batches:
             n, cid = [], []
             for _, texts in _chunks((0, t.as_py().encode()) for t in batch["text"]):
@@ -103,7 +105,7 @@ def _ask(parts: int, k: int):
     """The distinct shingles of a block's classes."""
 
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        hashes = WordHashes()
+        hashes = WordHasher()
         found = [keys_of(s, parts) for _, texts in _chunks(taking_part(rows, side)) for s in shingle_sets(texts, hashes, k)]
         return sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
 
@@ -114,7 +116,7 @@ def _linkable(parts: int, k: int, num: int, den: int):
     """Sets that share enough shingles with any others: cid, n, elements and prefix (sorted uint64 as bytes)."""
 
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        hashes, out = WordHashes(), ([], [], [], [])
+        hashes, out = WordHasher(), ([], [], [], [])
         known, numbers, _ = answers(side, 0)
         for _, texts in _chunks(taking_part(rows, side)):
             for s in shingle_sets(texts, hashes, k):
@@ -177,26 +179,28 @@ def _tiles(sets: DataFrame, labels: DataFrame, parts: int, num: int, den: int) -
     return rows.mapInArrow(run, "part int, band int, home boolean, cid long, n long, label long, bits binary, prefix binary")
 
 
-def _dealt(tiles: DataFrame, pivots: bool) -> DataFrame:
+def _dealt(tiles: DataFrame, parts: int, pivots: bool) -> DataFrame:
     """Tiles with work left, cut into chunks x and y of at most TILE_SETS sets or so: (part, band, x, y) is a task's group.
 
     ``second`` marks the rows of chunk y where x and y differ. The sets of a
     tile's largest component are in chunks of their own, which meet those of the
-    others only. With ``pivots`` chunks are taken alone.
+    others only. With ``pivots`` chunks of PIVOT_SETS are taken alone.
     """
     per = tiles.groupBy("part", "band", "label").agg(F.count(F.lit(1)).alias("c"))
     sizes = per.groupBy("part", "band").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top")).filter(F.col("m") > F.col("top.c"))
-    cuts = lambda m: F.ceil(m / TILE_SETS).cast("int")
+    small = F.broadcast if 70 * parts <= MOST_SIZES else (lambda df: df)  # a row for each partition and size band
+    cuts = lambda m, of=TILE_SETS: F.ceil(m / of).cast("int")
     chunk = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
     if pivots:
-        rows = tiles.join(sizes.select("part", "band", cuts(F.col("m")).alias("cuts")), ["part", "band"]).withColumn("own", chunk(F.col("cuts"))).drop("cuts")
-        return rows.withColumn("x", F.col("own")).withColumn("y", F.col("own")).withColumn("second", F.lit(False)).drop("own")
+        sizes = sizes.select("part", "band", cuts(F.col("m"), PIVOT_SETS).alias("cuts"))
+        rows = tiles.join(small(sizes), ["part", "band"]).withColumn("x", chunk(F.col("cuts"))).withColumn("y", F.col("x")).withColumn("second", F.lit(False)).drop("cuts")
+        return rows.repartition("part", "band", "x", "y")
     sizes = sizes.select("part", "band", F.col("top.label").alias("major"), cuts(F.col("top.c")).alias("first"), cuts(F.col("m") - F.col("top.c")).alias("rest"))
     major = F.col("label") == F.col("major")
-    rows = tiles.join(sizes, ["part", "band"]).withColumn("own", F.when(major, chunk(F.col("first"))).otherwise(F.col("first") + chunk(F.col("rest"))))
+    rows = tiles.join(small(sizes), ["part", "band"]).withColumn("own", F.when(major, chunk(F.col("first"))).otherwise(F.col("first") + chunk(F.col("rest"))))
     rows = rows.withColumn("met", F.explode(F.sequence(F.when(major, F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)))
     rows = rows.withColumn("x", F.least("own", "met")).withColumn("y", F.greatest("own", "met")).withColumn("second", F.col("own") > F.col("met"))
-    return rows.drop("own", "met", "major", "first", "rest")
+    return rows.drop("own", "met", "major", "first", "rest").repartition("part", "band", "x", "y")
 
 
 def tile_pairs(n: np.ndarray, label: np.ndarray, home: np.ndarray, maps: list[np.ndarray], num: int = NUM, den: int = DEN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -326,14 +330,25 @@ def linkable_sets(table: DataFrame, classes: DataFrame, k: int, num: int, den: i
     return staged(texts.cogroup(side.unionByName(frequent).groupBy("b")).applyInArrow(_linkable(parts, k, num, den), "cid long, n long, elements binary, prefix binary"), "jaccard-sets")
 
 
+def tile_parts(sets: DataFrame, num: int, den: int) -> int:
+    """Hash partitions of each size band.
+
+    In one partition, a set is sent once for each chunk of its band; in many,
+    once for each shingle of its prefix. Whichever is less decides.
+    """
+    bands = sets.groupBy(F.floor(F.log(F.col("n")) / math.log(den / num)).alias("band")).agg(F.count(F.lit(1)).alias("m"))
+    most = bands.agg(F.max("m").alias("m")).first()["m"] or 0
+    prefix = sets.agg(F.avg(F.octet_length("prefix") / 8).alias("n")).first()["n"] or 0
+    return 1 if 2 * most / TILE_SETS <= max(prefix, 16) else math.ceil(2 * most * prefix / TILE_SETS)
+
+
 def links(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """node, label: the components of the links between sets, found in three readings of their tiles."""
-    prefixes = sets.agg(F.sum(F.octet_length("prefix") / 8).alias("n")).first()["n"] or 0
-    parts = max(1, math.ceil(prefixes / PART_PREFIXES))
+    parts = tile_parts(sets, num, den)
     labels = sets.select(F.col("cid").alias("node"), F.col("cid").alias("label")).filter("false")
     for step in ("pivot", "forest", "all"):
         tiles = staged(_tiles(sets, labels, parts, num, den), "jaccard-tiles")
-        pairs = _dealt(tiles, step == "pivot").groupBy("part", "band", "x", "y").applyInArrow(_candidates(num, den, step), "a long, b long").distinct()
+        pairs = _dealt(tiles, parts, step == "pivot").groupBy("part", "band", "x", "y").applyInArrow(_candidates(num, den, step), "a long, b long").distinct()
         more = staged(verified(pairs, sets, num, den), "jaccard-links")
         if more.limit(1).count():
             labels = staged(_merged(labels, more), "jaccard-labels")

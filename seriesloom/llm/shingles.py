@@ -14,50 +14,83 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(29)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered up to a bound."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_sets(texts: list[bytes], hashes: WordHashes, k: int = 5) -> list[np.ndarray]:
+class WordHasher:
+    """64-bit hashes of the words of texts, by sums of powers; equal words, equal hash."""
+
+    PIECE = 2 << 20
+    _BASE = 0xD1342543DE82EF95
+    _LETTERS = np.random.default_rng(21).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n + 1:
+            for name, base in (("up", self._BASE), ("down", pow(self._BASE, -1, 1 << 64))):
+                run = np.full(n + 1, np.uint64(base), np.uint64)
+                run[0] = 1
+                setattr(self, name, np.cumprod(run))
+
+    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin, and their hashes."""
+        self._powers(len(data))
+        edge = np.diff(self._SPACE[data].astype(np.int8), prepend=1, append=1)
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self._LETTERS[data] * self.up[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.down[start]
+        h ^= h >> np.uint64(32)
+        h *= _K
+        return start, h ^ (h >> _R)
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, lower-cased (A-Z), in order, and the number of words of each text."""
+        joined = b" ".join(texts).lower()
+        data = np.frombuffer(joined, np.uint8)
+        starts, hashes, at = [], [], 0
+        while at < len(data):
+            end = at + self.PIECE
+            while end < len(data) and not self._SPACE[data[end]]:  # pieces end with a word
+                more = np.flatnonzero(self._SPACE[data[end : end + self.PIECE]])
+                end += int(more[0]) if len(more) else self.PIECE
+            s, h = self._piece(data[at:end])
+            starts.append(s + at)
+            hashes.append(h)
+            at = end
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        begins = np.append(np.cumsum(sizes) - sizes, len(data) + 1)
+        found = np.concatenate([np.zeros(0, np.int64), *starts])
+        return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.diff(np.searchsorted(found, begins))
+
+
+def shingle_sets(texts: list[bytes], hasher: WordHasher, k: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the k-word shingles of each text.
 
     A text of fewer words is one shingle, its whole sequence; without words
     the set is empty.
     """
-    parts = []
-    for t in texts:
-        words = t.lower().split()
-        parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    flat, sizes = hasher.words(texts)
     n = max(0, len(flat) - k + 1)
     mixed = np.full(n, np.uint64(k), np.uint64)
     for j in range(k):
-        mixed = (mixed ^ flat[j : j + n]) * _K
+        mixed ^= flat[j : j + n]
+        mixed *= _K
         mixed ^= mixed >> _R
     out, at = [], 0
-    for p in parts:
-        if len(p) >= k:
-            out.append(distinct(mixed[at : at + len(p) - k + 1]))
-        elif len(p):
-            h = np.uint64(len(p))
+    for m in sizes.tolist():
+        if m >= k:
+            out.append(distinct(mixed[at : at + m - k + 1]))
+        elif m:
+            h = np.uint64(m)
             with np.errstate(over="ignore"):
-                for x in p:
+                for x in flat[at : at + m]:
                     h = (h ^ x) * _K
                     h ^= h >> _R
             out.append(np.array([h], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
-        at += len(p)
+        at += m
     return out
 
 

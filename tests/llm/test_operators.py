@@ -97,8 +97,9 @@ def brute_components(texts):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_components(spark, docs, texts, empty, monkeypatch, small):
     if small:  # many blocks, hash partitions and chunks of tiles
-        for name, value in (("PART_SHINGLES", 500), ("PART_PREFIXES", 100), ("TILE_SETS", 3)):
+        for name, value in (("PART_SHINGLES", 500), ("TILE_SETS", 3), ("PIVOT_SETS", 3), ("MOST_SIZES", 0)):
             monkeypatch.setattr(jaccard_join, name, value)
+        monkeypatch.setattr(jaccard_join, "tile_parts", lambda sets, num, den: 9)
     got = sorted(tuple(r) for r in jaccard_join.near_components(docs, block_bytes=5000 if small else 1 << 20).collect())
     assert got == brute_components(texts)
     assert jaccard_join.near_components(empty).count() == 0
@@ -116,6 +117,7 @@ def test_each_reading_of_the_tiles_finds_the_rest(spark, monkeypatch, steps):
     rng.shuffle(rows)
     real = jaccard_join._candidates
     monkeypatch.setattr(jaccard_join, "TILE_SETS", 7)
+    monkeypatch.setattr(jaccard_join, "PIVOT_SETS", 5)
     monkeypatch.setattr(jaccard_join, "_candidates", lambda num, den, step: real(num, den, step) if step in steps else lambda t: real(num, den, "all")(t).slice(0, 0))
     assert sorted(tuple(r) for r in jaccard_join.near_components(make(spark, rows)).collect()) == brute_components(rows)
 
@@ -144,6 +146,21 @@ def test_clashes_do_not_lower_the_count():
     assert [x.tolist() for x in got] == [[7], [3], [2]]
 
 
+def test_word_hashes(monkeypatch, texts):
+    from seriesloom.llm.shingles import WordHasher
+
+    data = [(t or "").encode() for t in [*texts, "Ab\x0bab\x1caB\x85x", "a" * 300 + " b"]]
+    words = [t.lower().split() for t in data]
+    for piece in (1 << 20, 50):
+        monkeypatch.setattr(WordHasher, "PIECE", piece)
+        hashes, sizes = WordHasher().words(data)
+        assert sizes.tolist() == [len(w) for w in words]
+        flat = [x for w in words for x in w]
+        seen = dict(zip(flat, hashes.tolist(), strict=True))
+        assert [seen[x] for x in flat] == hashes.tolist() and len(set(seen.values())) == len(seen)
+    assert [len(x) for x in WordHasher().words([])] == [0, 0]
+
+
 def test_tile_bound_loses_no_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (20, 25, 40, 300)]
@@ -430,6 +447,61 @@ def test_network_gradients():
         assert (up - down) / (2 * h) == pytest.approx(float(g[name][i]), rel=0.05, abs=1e-4)
 
 
+def plain_gru(p, u, steps):
+    """States of one sequence of projections, in the order of ``steps``."""
+    n = u.shape[0]
+    h, out = np.zeros(n), np.zeros((len(p), n))
+    for i in steps:
+        a = h @ u
+        z, r = (1 / (1 + np.exp(-(p[i][k * n : (k + 1) * n] + a[k * n : (k + 1) * n]))) for k in (0, 1))
+        h = (1 - z) * np.tanh(p[i][2 * n :] + r * a[2 * n :]) + z * h
+        out[i] = h
+    return out
+
+
+def plain_score(model, text):
+    """The largest window score, token by token in double precision."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    found, best = gru_model.tokens(text), 0.0
+    for a in gru_model.window_starts(len(found)):
+        x = []
+        for w in found[a : a + gru_model.WINDOW]:
+            byte = p["char"][list(w)]
+            ends = [plain_gru(byte @ p[f"cw{d}"] + p[f"cb{d}"], p[f"cu{d}"], range(len(w)) if d == "f" else range(len(w) - 1, -1, -1))[-1 if d == "f" else 0] for d in "fb"]
+            x.append(np.concatenate([p["word"][model.vocabulary.get(w, 0)], p["head"][model.heads.get(w[:4], 0)], *ends]))
+        x = np.array(x)
+        h = np.concatenate([plain_gru(x @ p["wf"] + p["bf"], p["uf"], range(len(x))), plain_gru(x @ p["wb"] + p["bb"], p["ub"], range(len(x) - 1, -1, -1))], axis=1)
+        e = np.tanh(h @ p["wa"] + p["ba"]) @ p["v"]
+        alpha = np.exp(e - e.max())
+        best = max(best, 1 / (1 + np.exp(-((alpha / alpha.sum()) @ h @ p["wo"] + p["bo"][0]))))
+    return best
+
+
+def test_scores_match_a_plain_pass_and_do_not_depend_on_batches():
+    rng = random.Random(2)
+    some = [" ".join(rng.choice(["idiot", "Good", "x1", "über", "supercalifragilistic", "day"]) for _ in range(n)).encode() for n in (1, 3, 47, 48, 49, 80, 81, 500)]
+    bags = [(int(b"idiot" in t), [gru_model.tokens(t)[:48]]) for t in some] + [(0, [[b"good", b"day"]])] * 4
+    model = gru_model.train(bags, steps=20)
+    want = [plain_score(model, t) for t in some]
+    got = toxicity.Scorer(model).scores(some)
+    assert got == pytest.approx(want, abs=1e-4)
+    more = some * 90
+    order = list(range(len(more)))
+    rng.shuffle(order)
+    mixed = toxicity.Scorer(model).scores([more[i] for i in order])
+    assert all(mixed[j] == got[i % len(some)] for j, i in enumerate(order))
+    assert [float(toxicity.Scorer(model).scores([t])[0]) for t in some] == got.tolist()
+
+
+def test_all_windows_of_the_sample_are_read(spark):
+    docs = spark.createDataFrame([(i, f"t{i} " * 1000) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    known = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bags = toxicity.sample_of(docs, labels)
+    assert sorted(w[0][0].decode() for _, w in bags) == sorted(f"t{i}" for i in known) and {len(w) for _, w in bags} == {len(gru_model.window_starts(1000))}
+    assert len(toxicity.sample_of(docs, labels, 3)) == 6 and sum(map(len, (w for _, w in toxicity.sample_of(docs, labels, 30, 9000)))) <= 2 * len(gru_model.window_starts(1000))
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     rows, labels = [], []
