@@ -70,12 +70,13 @@ def joined_list(x: Column) -> Column:
     return F.when(F.size(x) > 0, out)
 
 
-def uniform(*keys, seed: int = 42) -> Column:
-    """A number in [0, 1) that depends on the keys and the seed only, not on partitioning."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+def uniform(*keys, seed: int | Column = 42) -> Column:
+    """A number in [0, 1) that depends on the keys and the seed only, not on partitioning: 52 bits of an MD5."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys], (F.lit(seed) if isinstance(seed, int) else seed).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
-def normal(*keys, seed: int = 42) -> Column:
+def normal(*keys, seed: int | Column = 42) -> Column:
     """Standard normal by Box and Muller from two such numbers."""
     u, v = uniform(*keys, F.lit("u"), seed=seed), uniform(*keys, F.lit("v"), seed=seed)
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * 3.141592653589793 * v)

@@ -1,7 +1,10 @@
 """Scores of series against temporal profiles.
 
-Everything works on a long table of points and partitions it by one key, so a
-single exchange on (series_id, profile_id) serves all windows and aggregates.
+Everything works on a long table of points. What does not depend on a profile
+is taken once for each series; what does depends on its seasonality and range
+only, so each series is looked at once for each *variant* of these, not for each
+profile. One exchange on the series serves all windows and aggregates, and
+profiles are joined to the finished statistics.
 """
 
 from __future__ import annotations
@@ -13,62 +16,79 @@ from seriesloom.functions.columns import clip01, safe_corr
 
 Z, MIN_RATIO, SOFT, HARD = 4.0, 0.15, 0.05, 0.25
 KEY = ["series_id", "profile_id"]
+#: What of a profile the statistics depend on; lag is NULL where a seasonal profile has no period.
+VARIANT = ["seasonal", "lag", "value_min", "value_max"]
+FLAT = ("flat", "none", "no_strong_trend")
 
 
 def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
+def with_variant(profiles: DataFrame) -> DataFrame:
+    """Profiles with the VARIANT columns that they lack."""
+    none = F.col("seasonality_expected") == "none"
+    return profiles.withColumns({"seasonal": ~none & (F.coalesce(F.col("seasonality_period"), F.lit(0)) > 1), "lag": F.when(none, 7).otherwise(F.col("seasonality_period"))})
+
+
 def residual_table(points: DataFrame) -> DataFrame:
-    """Points (series_id, profile_id, pos, value, seasonality_expected, seasonality_period) with all per-series windows."""
-    w = Window.partitionBy(*KEY)
-    valid = points.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    df = valid.withColumn("i", (F.row_number().over(w.orderBy("pos")) - 1).cast("double"))
+    """Points (series_id, pos, value and VARIANT columns) with all windows over each series and variant.
+
+    Invalid values (NULL, NaN) have no ``i`` and count in no statistic.
+    """
+    key = ["series_id", *VARIANT]
+    w = Window.partitionBy(*key)
+    df = points.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    df = df.withColumn("i", F.when(F.col("value").isNotNull(), F.count("value").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("double"))
     df = df.withColumns({"n": F.count("value").over(w), "low": F.min("value").over(w), "high": F.max("value").over(w), "mean": F.avg("value").over(w), "sd": F.stddev_pop("value").over(w), "slope": F.regr_slope("value", "i").over(w), "icpt": F.regr_intercept("value", "i").over(w)})
     df = df.withColumn("range", F.col("high") - F.col("low"))
     df = df.withColumn("resid", F.when(F.col("n") < 3, F.col("value") - F.col("mean")).otherwise(F.col("value") - (F.col("slope") * F.col("i") + F.col("icpt"))))
-    seasonal = (F.col("seasonality_expected") != "none") & (F.coalesce(F.col("seasonality_period"), F.lit(0)) > 1)
-    df = df.withColumns({"seasonal": seasonal, "lag": F.when(F.col("seasonality_expected") == "none", 7).otherwise(F.col("seasonality_period"))})
     df = df.withColumn("phase", F.col("i") % F.col("lag"))
-    df = df.withColumn("phase_mean", F.avg("resid").over(Window.partitionBy(*KEY, "phase")))
+    df = df.withColumn("phase_mean", F.avg("resid").over(Window.partitionBy(*key, "phase")))
     flat = F.when(F.col("seasonal") & (F.col("n") >= 2 * F.col("lag")), F.col("resid") - F.col("phase_mean")).otherwise(F.col("resid"))
     df = df.withColumn("plain", flat)
     df = df.withColumn("med", F.median("plain").over(w))
     return df.withColumn("mad", F.median(F.abs(F.col("plain") - F.col("med"))).over(w))
 
 
-def trend_table(resid: DataFrame) -> DataFrame:
-    """Per key: length, Spearman correlation with position, and slope of the trend series.
+def _with_trend_points(df: DataFrame) -> DataFrame:
+    """Adds at, v and rank on one row of each point of the trend series (NULL elsewhere).
 
-    Seasonal series are first averaged over complete periods, if there are two.
+    Seasonal series are averaged over complete periods, if there are two; ranks
+    of equal values are averaged.
     """
+    key = ["series_id", *VARIANT]
     m = F.floor(F.col("n") / F.col("lag"))
-    blocks = F.col("seasonal") & (m >= 2)
-    part = resid.filter(~blocks | (F.col("i") < m * F.col("lag"))).withColumn("at", F.when(blocks, F.floor(F.col("i") / F.col("lag"))).otherwise(F.col("i")).cast("double"))
-    means = part.groupBy(*KEY, "at").agg(F.avg("value").alias("v"))
-    w = Window.partitionBy(*KEY)
-    tied = F.count("v").over(Window.partitionBy(*KEY, "v"))
-    ranked = means.withColumn("rank", F.rank().over(w.orderBy("v")) + (tied - 1) / 2.0)
-    out = ranked.groupBy(*KEY).agg(F.count("v").alias("m"), safe_corr(F.col("at"), F.col("rank")).alias("rho"), F.regr_slope("v", "at").alias("block_slope"), F.max_by("v", "at").alias("last"), F.min_by("v", "at").alias("first"))
-    two = F.signum(F.col("last") - F.col("first"))
-    return out.withColumn("rho", F.when(F.col("m") < 2, 0.0).when(F.col("m") == 2, two).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho")))))
+    blocks = F.coalesce(F.col("seasonal") & (m >= 2), F.lit(False))
+    at = F.when(blocks, F.when(F.col("i") < m * F.col("lag"), F.floor(F.col("i") / F.col("lag")))).otherwise(F.col("i")).cast("double")
+    df = df.withColumn("at", at)
+    block = Window.partitionBy(*key, "at")
+    first = F.col("at").isNotNull() & (F.row_number().over(block.orderBy("pos")) == 1)
+    df = df.withColumns({"v": F.avg("value").over(block), "first": first})
+    shown = Window.partitionBy(*key, "first")
+    tied = F.count(F.lit(1)).over(Window.partitionBy(*key, "first", "v"))
+    df = df.withColumn("rank", F.when(F.col("first"), F.rank().over(shown.orderBy("v")) + (tied - 1) / 2.0))
+    return df.withColumns({c: F.when(F.col("first"), F.col(c)) for c in ("at", "v")}).drop("first")
 
 
 def series_statistics(points: DataFrame) -> DataFrame:
-    """One row of statistics for each (series_id, profile_id)."""
-    df = residual_table(points)
+    """One row of statistics for each series and variant."""
+    df = _with_trend_points(residual_table(points))
     deviation = F.abs(F.col("plain") - F.col("med"))
     spike = (F.col("mad") > 0) & (0.6745 * deviation / F.when(F.col("mad") > 0, F.col("mad")) > Z) & (deviation >= MIN_RATIO * F.col("range"))
-    per = df.groupBy(*KEY).agg(
-        *[F.first(c).alias(c) for c in ("n", "low", "high", "mean", "sd", "slope", "range", "lag", "seasonality_expected")],
+    per = df.groupBy("series_id", *VARIANT).agg(
+        *[F.first(c).alias(c) for c in ("n", "low", "high", "mean", "sd", "slope", "range")],
+        F.count(F.lit(1)).alias("total"), F.count_if(~F.col("value").between(F.col("value_min"), F.col("value_max"))).alias("outside"),
         (F.max("phase_mean") - F.min("phase_mean")).alias("swing"), F.count_if(spike).alias("spikes"), F.stddev_pop("plain").alias("plain_sd"),
+        F.count("at").alias("m"), safe_corr(F.col("at"), F.col("rank")).alias("rho"), F.regr_slope("v", "at").alias("block_slope"), F.max_by("v", "at").alias("last"), F.min_by("v", "at").alias("first"),
     )
-    per = per.join(trend_table(df), KEY)
     strength = lambda slope, n: F.when((n < 2) | (F.col("range") == 0), 0.0).otherwise(_zero(F.abs(slope) * (n - 1) / F.when(F.col("range") != 0, F.col("range"))))
-    long_enough = F.when(F.col("seasonality_expected") == "none", F.col("n") >= 14).otherwise(F.col("n") >= 2 * F.col("lag"))
+    long_enough = F.when(F.col("seasonal"), F.col("n") >= 2 * F.col("lag")).otherwise(F.col("n") >= 14)
     scale = F.greatest(F.col("range"), F.abs("mean"), F.lit(1e-8))
+    two = F.signum(F.col("last") - F.col("first"))
     return per.select(
-        *KEY, "n", "low", "high", "mean", "sd", F.coalesce("slope", F.lit(0.0)).alias("slope"), "range", "m", "rho",
+        "series_id", *VARIANT, "total", "outside", "n", "low", "high", "mean", "sd", F.coalesce("slope", F.lit(0.0)).alias("slope"), "range", "m",
+        F.when(F.col("m") < 2, 0.0).when(F.col("m") == 2, two).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho")))).alias("rho"),
         strength(F.col("slope"), F.col("n")).alias("strength"), strength(F.col("block_slope"), F.col("m")).alias("trend_strength"),
         F.when(~long_enough | (F.col("lag") <= 1) | (F.col("range") == 0) | F.col("lag").isNull(), 0.0).otherwise(F.col("swing") / F.when(F.col("range") != 0, F.col("range"))).alias("amplitude"),
         F.when((F.col("n") < 5) | (F.col("range") == 0), 0).otherwise(F.col("spikes")).cast("long").alias("anomalies"),
@@ -76,8 +96,29 @@ def series_statistics(points: DataFrame) -> DataFrame:
     )
 
 
+def statistics_by_profile(points: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Statistics of every series under every profile, with the profile's columns.
+
+    Where points have a ``profile_id``, each series meets that profile alone.
+    """
+    dim = with_variant(profiles)
+    if "profile_id" in points.columns:
+        keyed = points.select(*KEY, "pos", "value").join(F.broadcast(dim.select("profile_id", *VARIANT)), "profile_id").drop("profile_id")
+        own = points.select(*KEY).distinct().join(F.broadcast(dim), "profile_id")
+        same = [F.col(f"own.{c}").eqNullSafe(F.col(f"st.{c}")) for c in ("series_id", *VARIANT)]
+        joined = own.alias("own").join(series_statistics(keyed).alias("st"), same, "left")
+        return joined.select("own.*", *[f"st.{c}" for c in _STATS])
+    variants = dim.select(*VARIANT).distinct()
+    stats = series_statistics(points.select("series_id", "pos", "value").crossJoin(F.broadcast(variants)))
+    same = [F.col(f"dim.{c}").eqNullSafe(F.col(f"st.{c}")) for c in VARIANT]
+    return stats.alias("st").join(F.broadcast(dim).alias("dim"), same).select("st.series_id", "dim.*", *[f"st.{c}" for c in _STATS])
+
+
+_STATS = ["total", "outside", "n", "low", "high", "mean", "sd", "slope", "range", "m", "rho", "strength", "trend_strength", "amplitude", "anomalies", "noise"]
+
+
 def trend_score(expected: Column, rho: Column, strength: Column, threshold: Column, m: Column) -> Column:
-    flat = expected.isin("flat", "none", "no_strong_trend")
+    flat = expected.isin(*FLAT)
     up = F.when(expected == "increasing", F.greatest(F.lit(0.0), rho)).when(expected == "decreasing", F.greatest(F.lit(0.0), -rho)).otherwise(0.0)
     return F.when(m < 2, F.when(flat, 1.0).otherwise(0.0)).when(flat, 1.0 - F.least(strength / threshold, F.lit(1.0))).otherwise(up)
 
@@ -102,23 +143,26 @@ def length_score(generated: Column, expected: Column) -> Column:
     return F.when(expected <= 0, 0.0).otherwise(clip01(1.0 - F.abs(generated - expected) / F.when(expected > 0, expected)))
 
 
-def range_counts(points: DataFrame) -> DataFrame:
-    """Totals, invalid values and values out of the inclusive range of each key."""
-    ok = F.col("value").isNotNull() & ~F.isnan("value")
-    return points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("valid"), F.count_if(ok & ~F.col("value").between(F.col("value_min"), F.col("value_max"))).alias("outside"))
-
+def profile_metrics(points: DataFrame, profiles: DataFrame, bands: DataFrame, parse_success: float | str = 1.0, timestamp_score: float | str = 1.0, facts: DataFrame | None = None) -> DataFrame:
+    """All scores of every series against every profile, or against its own where points have a ``profile_id``.
 
-def profile_metrics(points: DataFrame, profiles: DataFrame, bands: DataFrame, parse_success: float = 1.0, timestamp_score: float = 1.0) -> DataFrame:
-    """All scores of every series against every profile (points: series_id, pos, value)."""
-    each = points.crossJoin(F.broadcast(profiles))
-    stats = range_counts(each).join(series_statistics(each), KEY, "left").join(F.broadcast(profiles), "profile_id").join(F.broadcast(bands), "noise_expected", "left")
+    ``parse_success`` and ``timestamp_score`` are numbers, or columns of ``facts``
+    (series_id, ...), which then also brings back series without any points.
+    """
     c = F.col
-    n = F.coalesce(c("n"), F.lit(0))
+    stats = statistics_by_profile(points, profiles)
+    if facts is not None:
+        known = facts.join(F.broadcast(with_variant(profiles)), "profile_id")
+        stats = known.alias("f").join(stats.alias("s"), KEY, "left").select("f.*", *[f"s.{x}" for x in _STATS])
+    stats = stats.join(F.broadcast(bands), "noise_expected", "left")
+    given = lambda x: c(x).cast("double") if isinstance(x, str) else F.lit(float(x))
+    n, total = F.coalesce(c("n"), F.lit(0)), F.coalesce(c("total"), F.lit(0))
+    flat = c("trend_expected").isin(*FLAT)
     scored = stats.select(
-        *KEY, c("total").alias("generated_length"), c("valid").alias("numeric_length"), (c("total") - c("valid")).alias("invalid_count"), c("outside").alias("out_of_range_count"),
-        length_score(c("total"), c("expected_length")).alias("length_score"), F.when(c("total") > 0, c("valid") / c("total")).otherwise(0.0).alias("numeric_validity_score"),
-        F.when(c("valid") > 0, 1.0 - c("outside") / c("valid")).otherwise(0.0).alias("range_score"), F.lit(float(timestamp_score)).alias("timestamp_score"), F.lit(float(parse_success)).alias("parse_score"),
-        F.when(c("trend_expected") == "flat", c("trend_strength")).otherwise(_zero(c("rho"))).alias("trend_observed"),
+        *KEY, total.alias("generated_length"), n.alias("numeric_length"), (total - n).alias("invalid_count"), F.coalesce(c("outside"), F.lit(0)).alias("out_of_range_count"),
+        length_score(total, c("expected_length")).alias("length_score"), F.when(total > 0, n / total).otherwise(0.0).alias("numeric_validity_score"),
+        F.when(n > 0, 1.0 - c("outside") / n).otherwise(0.0).alias("range_score"), given(timestamp_score).alias("timestamp_score"), given(parse_success).alias("parse_score"),
+        F.when(flat, _zero(c("trend_strength"))).otherwise(_zero(c("rho"))).alias("trend_observed"),
         trend_score(c("trend_expected"), _zero(c("rho")), _zero(c("trend_strength")), c("flat_trend_threshold"), F.coalesce(c("m"), F.lit(0))).alias("trend_score"),
         _zero(c("amplitude")).alias("seasonality_strength"), seasonality_score(c("seasonality_expected"), _zero(c("amplitude")), c("seasonality_threshold"), c("seasonality_period"), n).alias("seasonality_score"),
         F.coalesce(c("anomalies"), F.lit(0)).alias("detected_anomalies"), anomaly_score(F.coalesce(c("anomalies"), F.lit(0)), c("expected_anomalies"), c("anomaly_tolerance")).alias("anomaly_score"),
@@ -139,9 +183,16 @@ def lag_autocorrelation(points: DataFrame, lag: int) -> DataFrame:
     return points.withColumn("y", ahead).groupBy("series_id").agg(safe_corr(F.col("value"), F.col("y")).alias("autocorrelation"), F.count("value").alias("n"))
 
 
+def weekly_autocorrelation(value: str = "value", ahead: str = "week_ahead") -> Column:
+    """Aggregate: lag-7 correlation of 14 values or more; ``ahead`` holds the value seven places before."""
+    return F.when(F.count(value) >= 14, safe_corr(F.col(value), F.col(ahead)))
+
+
 def basic_metrics(points: DataFrame, threshold: float = 200.0) -> DataFrame:
     """Mean, deviation, extremes, slope, lag-7 correlation (14 values or more) and values at or over the threshold."""
     i = F.col("pos").cast("double")
-    per = points.groupBy("series_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.regr_slope(F.col("value"), i).alias("trend_slope"), F.count_if(F.col("value") >= threshold).alias("anomaly_count"))
-    weekly = lag_autocorrelation(points, 7).select("series_id", F.when(F.col("n") >= 14, F.col("autocorrelation")).alias("weekly_autocorrelation"))
-    return per.join(weekly, "series_id")
+    each = points.withColumn("week_ahead", F.lag("value", 7).over(Window.partitionBy("series_id").orderBy("pos")))
+    return each.groupBy("series_id").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.regr_slope(F.col("value"), i).alias("trend_slope"),
+        F.count_if(F.col("value") >= threshold).alias("anomaly_count"), weekly_autocorrelation().alias("weekly_autocorrelation"),
+    )

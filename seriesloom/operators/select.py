@@ -2,27 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.columns import uniform
+
 
 def seeded_sample(rows: DataFrame, n: int, seed: int, id_col: str = "reference_id") -> DataFrame:
     """n rows in the order of a hash of id and seed: the same on any partitioning."""
-    return rows.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
+    return rows.orderBy(uniform(id_col, seed=seed), id_col).limit(n)
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float], slices: int = 1000) -> list[float | None]:
+    """Linearly interpolated quantiles of all values that are not NULL.
+
+    A mergeable sketch cuts the values into about ``slices`` slices, one pass
+    counts them, and only the slices that hold a wanted rank are sorted; so no
+    task ever holds all distinct values. Three small results come to the driver.
+    """
+    values = rows.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    cuts = values.agg(F.percentile_approx("x", [i / slices for i in range(1, slices)], 10 * slices).alias("c")).first()["c"]
+    if not cuts:
+        return [None] * len(shares)
+    cuts = sorted(set(cuts))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("x"))) if len(cuts) < 8 else _bucket(F.col("x"), cuts)
+    counts = {r["k"]: r["n"] for r in values.groupBy(place.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``slices`` rows
+    total, before, upto = sum(counts.values()), {}, 0
+    for k in sorted(counts):
+        before[k], upto = upto, upto + counts[k]
+    ranks = {int(r) for s in shares for r in (math.floor((total - 1) * s), math.ceil((total - 1) * s))}
+    wanted = {next(k for k in before if before[k] <= r < before[k] + counts[k]) for r in ranks}
+    first = F.element_at(F.create_map(*[F.lit(int(v)) for k in wanted for v in (k, before[k])]), F.col("k"))
+    ranked = values.withColumn("k", place).filter(F.col("k").isin(list(wanted))).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("x")) - 1 + first)
+    found = {r["r"]: r["x"] for r in ranked.filter(F.col("r").isin(list(ranks))).collect()}
+    out = []
+    for s in shares:
+        at = (total - 1) * s
+        low, high = found[math.floor(at)], found[math.ceil(at)]
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
+def _bucket(x: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below x, by halving."""
+    if len(cuts) == 1:
+        return F.when(x > cuts[0], 1).otherwise(0)
+    m = len(cuts) // 2
+    return F.when(x > cuts[m], m + 1 + _bucket(x, cuts[m + 1 :]) if cuts[m + 1 :] else F.lit(m + 1)).otherwise(_bucket(x, cuts[:m]))
 
 
 def standardised(features: DataFrame, names: list[str]) -> DataFrame:
-    """Nulls become the median; (x - median) / population deviation (0 counts as 1)."""
-    stats = features.agg(*[F.median(c).alias(f"{c}_m") for c in names], *[F.stddev_pop(F.coalesce(c, F.lit(None))).alias(f"{c}_s") for c in names])
-    filled = features.crossJoin(F.broadcast(stats)).withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_m")) for c in names})
-    return filled.withColumns({f"z_{c}": (F.col(c) - F.col(f"{c}_m")) / F.coalesce(F.nullif(F.col(f"{c}_s"), F.lit(0.0)), F.lit(1.0)) for c in names}).drop(*[f"{c}_{s}" for c in names for s in "ms"])
+    """Nulls become the median, then (x - median) / population deviation of the filled column (0 counts as 1).
+
+    A column without any value stays NULL and counts in no distance.
+    """
+    medians = {c: exact_quantiles(features, c, [0.5])[0] for c in names}
+    filled = features.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in names})
+    stats = filled.agg(*[F.stddev_pop(c).alias(f"{c}_s") for c in names])
+    z = lambda c: (F.col(c) - F.lit(medians[c])) / F.coalesce(F.nullif(F.col(f"{c}_s"), F.lit(0.0)), F.lit(1.0))
+    return filled.crossJoin(F.broadcast(stats)).withColumns({f"z_{c}": z(c) for c in names}).drop(*[f"{c}_s" for c in names])  # one row
 
 
 def nearest(features: DataFrame, names: list[str], anchor_id, n: int, id_col: str = "reference_id") -> DataFrame:
     """The n rows closest to the anchor (itself left out); ties by id."""
     z = standardised(features, names)
     anchor = z.filter(F.col(id_col) == anchor_id).select(*[F.col(f"z_{c}").alias(f"a_{c}") for c in names]).limit(1)
-    square = sum((F.pow(F.col(f"z_{c}") - F.col(f"a_{c}"), 2) for c in names), F.lit(0.0))
+    square = sum((F.coalesce(F.pow(F.col(f"z_{c}") - F.col(f"a_{c}"), 2), F.lit(0.0)) for c in names), F.lit(0.0))
     return z.crossJoin(F.broadcast(anchor)).filter(F.col(id_col) != anchor_id).select(id_col, F.sqrt(square).alias("distance")).orderBy("distance", id_col).limit(n)
 
 
@@ -32,30 +79,34 @@ def js_distance(reference: DataFrame, candidates: DataFrame, column: str, group:
     Equal-width bins over the reference's range, as many as it has distinct
     values within 2 to n_bins, the last one closed; values outside are left
     out; a constant reference gives 0 if all candidate values equal it, else 1.
+    Each side is counted in one pass; what is left has n_bins rows a group.
     """
-    edges = reference.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.least(F.lit(n_bins), F.greatest(F.lit(2), F.count_distinct(column))).alias("k"))
-    slot = F.least(F.col("k") - 1, F.floor((F.col(column) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * F.col("k")))
-    inside = F.col(column).between(F.col("lo"), F.col("hi"))
-    ref = reference.crossJoin(F.broadcast(edges)).groupBy(slot.alias("bin")).agg(F.count(column).alias("r"))
-    cand = candidates.crossJoin(F.broadcast(edges)).filter(inside).groupBy(*group, slot.alias("bin")).agg(F.count(column).alias("c"))
-    bins = edges.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("bin")).join(ref, "bin", "left")
-    keys = candidates.select(*group).distinct()
-    grid = keys.crossJoin(F.broadcast(bins)).join(cand, [*group, "bin"], "left")
-    w = Window.partitionBy(*group)
-    p = (F.coalesce("r", F.lit(0)) + smoothing) / F.sum(F.coalesce("r", F.lit(0)) + smoothing).over(w)
-    q = (F.coalesce("c", F.lit(0)) + smoothing) / F.sum(F.coalesce("c", F.lit(0)) + smoothing).over(w)
-    mixed = grid.withColumn("p", p).withColumn("q", q).withColumn("m", (F.col("p") + F.col("q")) / 2)
-    half = lambda x: F.col(x) * F.log(F.col(x) / F.col("m")) / 2
-    out = mixed.groupBy(*group).agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(half("p") + half("q")))).alias("d"))
-    const = candidates.crossJoin(F.broadcast(edges)).groupBy(*group).agg(F.first(F.col("lo") == F.col("hi")).alias("constant"), F.bool_and(F.col(column) == F.col("lo")).alias("equal"))
-    return out.join(const, group).select(*group, F.when(F.col("constant"), F.when(F.col("equal"), 0.0).otherwise(1.0)).otherwise(F.col("d")).alias("distance"))
+    ref = reference.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"), F.least(F.lit(n_bins), F.greatest(F.lit(2), F.count_distinct(column))).cast("int").alias("k")).first()
+    lo, hi, k = ref["lo"], ref["hi"], ref["k"]
+    if lo is None or lo == hi:
+        equal = F.coalesce(F.bool_and(F.col(column) == lo), F.lit(False)) if lo is not None else F.lit(False)
+        return candidates.groupBy(*group).agg(F.when(equal, 0.0).otherwise(1.0).alias("distance"))
+    slot = F.least(F.lit(k - 1), F.floor((F.col(column) - lo) / (hi - lo) * k)).cast("int")
+    inside = F.col(column).between(lo, hi)
+    count = lambda b: F.count_if(inside & (slot == b)) + smoothing
+    p = reference.agg(*[count(b).alias(f"p{b}") for b in range(k)]).first()
+    total = sum(p)
+    each = candidates.groupBy(*group).agg(F.count(column).alias("known"), *[count(b).alias(f"q{b}") for b in range(k)])
+    all_of = sum((F.col(f"q{b}") for b in range(1, k)), F.col("q0"))
+    parts = []
+    for b in range(k):
+        x, y = F.lit(p[b] / total), F.col(f"q{b}") / all_of
+        m = (x + y) / 2
+        parts.append((x * F.log(x / m) + y * F.log(y / m)) / 2)
+    d = F.sqrt(F.greatest(F.lit(0.0), sum(parts[1:], parts[0])))
+    return each.select(*group, F.when(F.col("known") == 0, 1.0).otherwise(d).alias("distance"))
 
 
 def quantile_bins(features: DataFrame, column: str, q: int = 5) -> DataFrame:
     """Rows with ``bin``: right-closed bins between linearly interpolated quantiles, the lowest value included."""
-    cuts = features.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)]))).alias("cuts"))
-    below = F.size(F.filter("cuts", lambda c: c < F.col(column)))
-    return features.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(cuts)).withColumn("bin", F.greatest(F.lit(0), below - 1)).drop("cuts")
+    cuts = sorted({x for x in exact_quantiles(features, column, [i / q for i in range(q + 1)]) if x is not None})
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(column)))
+    return features.filter(F.col(column).isNotNull()).withColumn("bin", F.greatest(F.lit(0), below - 1))
 
 
 def closest_subset(reference: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,7 +116,7 @@ def closest_subset(reference: DataFrame, members: DataFrame, columns: list[str])
         d = js_distance(reference, members, c, ["candidate"]).withColumnRenamed("distance", f"d_{c}")
         parts = d if parts is None else parts.join(d, "candidate")
     scored = parts.select("candidate", (sum((F.col(f"d_{c}") for c in columns), F.lit(0.0)) / len(columns)).alias("distance"))
-    return scored.orderBy("distance", "candidate").limit(1)
+    return scored.orderBy("distance", "candidate").limit(1)  # of no usable column there is no distance, so none is chosen
 
 
 def by_roles(features: DataFrame, roles: list[tuple[str, str]], id_col: str = "reference_id") -> DataFrame:
