@@ -9,69 +9,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions.columns import as_flag, joined_list, run_number
+from seriesloom.operators.run_columns import AGGREGATES, COLUMNS
 
-# Flat column names by the block of the record they come from. "name=path" renames.
-_PROFILE = "expected_length frequency timestamp_required value_min value_max trend_expected seasonality_expected seasonality_period expected_anomalies anomaly_type noise_expected flat_trend_threshold seasonality_threshold anomaly_tolerance"
-_LLM = "generated_length numeric_generated_length expected_length invalid_numeric_count min_generated max_generated mean_generated std_generated length_score numeric_validity_score timestamp_score range_score out_of_range_count range_violation_rate trend_observed trend_score seasonality_strength seasonality_score detected_anomalies expected_anomalies anomaly_difference anomaly_score noise_ratio noise_score final_valid"
-_FINAL = "generated_length numeric_generated_length expected_length invalid_numeric_count length_score numeric_validity_score timestamp_score range_score trend_score seasonality_score anomaly_score noise_score detected_anomalies noise_ratio"
-BLOCKS = {
-    "": "experiment_id status error_message scenario output_dir model method elapsed_time_seconds timestamp_run",
-    "method_metadata": "method_name method_family literature_inspiration",
-    "generation_config": "temperature num_predict timeout n_examples_requested=n_examples selection_seed_config=selection_seed",
-    "structured_profile": " ".join(f"structured_{c}={c}" for c in _PROFILE.split()),
-    "context_selection": "selection_strategy reference_bank_used n_examples_selected selected_reference_ids selection_seed effective_seed knn_feature_columns selected_reference_distances mean_neighbor_distance fallback_used fallback_reason generated_context_count generated_context_experiment_ids residual_feature_columns selected_reference_residual_distances tabgen_icl_selection_rule n_candidate_subsets best_candidate_distance mean_residual_distance harmonic_selection_rule anchor_reference_id anchor_position "
-    "chatts_inspired trend_attribute periodicity_attribute local_fluctuation_attribute noise_attribute epic_inspired selected_reference_roles selected_reference_group_descriptions feedback_applied final_attempt_name initial_valid_series initial_failed_checks refined_valid_series refined_failed_checks n_candidates n_successful_candidates n_valid_candidates valid_candidates_rate best_candidate_id best_candidate_quality_score best_candidate_n_failed_checks",
-    "parse_info": "raw_json_valid parse_repaired repair_type parse_error",
-    "structural_curation_info": "length_curation_applied generated_length_before_curation target_length completed_points truncated_points length_curation_strategy",
-    "validation": "valid_series failed_checks length expected_length length_ok timestamps_not_null values_not_null daily_frequency_ok range_ok values_numeric increasing_trend_ok decreasing_trend_ok no_strong_trend_ok no_strong_trend_threshold weekly_seasonality_ok weekly_autocorrelation_validation=weekly_autocorrelation anomaly_count_validation=anomaly_count expected_anomaly_count anomaly_threshold anomaly_count_ok trend_slope_validation=trend_slope",
-    "metrics": "mean std min max trend_slope weekly_autocorrelation anomaly_count",
-    "profile_based_metrics": "profile_parse_success=parse_success profile_parse_error_type=parse_error_type timestamp_source values_before_curation_length values_after_curation_length curation_change_rate strict_llm_valid curated_series_valid profile_compliance_score formal_validity_score temporal_profile_score profile_final_valid=final_valid llm_profile_compliance_score llm_formal_validity_score llm_temporal_profile_score final_profile_compliance_score final_formal_validity_score final_temporal_profile_score",
-    "profile_based_metrics.llm_output_metrics": " ".join(f"llm_{c}={c}" for c in _LLM.split()),
-    "profile_based_metrics.final_series_metrics": " ".join(f"final_{c}={c}" for c in _FINAL.split()) + " final_valid_profile_metric=final_valid",
-}
-TEXTS = set("experiment_id status error_message scenario output_dir model method timestamp_run method_name method_family literature_inspiration structured_frequency structured_trend_expected structured_seasonality_expected structured_anomaly_type structured_noise_expected selection_strategy fallback_reason tabgen_icl_selection_rule harmonic_selection_rule anchor_reference_id trend_attribute periodicity_attribute local_fluctuation_attribute noise_attribute final_attempt_name repair_type parse_error length_curation_strategy profile_parse_error_type timestamp_source".split())
-LISTS = set("selected_reference_ids knn_feature_columns selected_reference_distances generated_context_experiment_ids residual_feature_columns selected_reference_residual_distances selected_reference_roles selected_reference_group_descriptions initial_failed_checks refined_failed_checks failed_checks".split())
-FLAGS = set("structured_timestamp_required reference_bank_used fallback_used chatts_inspired epic_inspired feedback_applied initial_valid_series refined_valid_series raw_json_valid parse_repaired profile_parse_success length_curation_applied valid_series length_ok timestamps_not_null values_not_null daily_frequency_ok range_ok values_numeric increasing_trend_ok decreasing_trend_ok no_strong_trend_ok weekly_seasonality_ok anomaly_count_ok strict_llm_valid curated_series_valid profile_final_valid llm_final_valid final_valid_profile_metric".split())
-
-
-def _columns(block: str) -> list[tuple[str, str]]:
-    return [(x.split("=")[0], x.split("=")[-1]) for x in BLOCKS[block].split()]
-
-
-def _kind(name: str) -> T.DataType:
-    return T.StringType() if name in TEXTS or name in FLAGS else T.ArrayType(T.StringType()) if name in LISTS else T.DoubleType()
+_KINDS = {"text": T.StringType(), "number": T.DoubleType(), "flag": T.StringType(), "check": T.StringType(), "list": T.ArrayType(T.StringType())}
+#: Fields that are read besides those of COLUMNS.
+_EXTRA = {"batch_id": "text", "generation_config.batch_id": "text", "structured_profile.profile_id": "text", "structured_profile.description": "text", "profile.id": "text", "profile.profile_id": "text", "profile.description": "text"}
+FLAGS = [name for name, _, kind in COLUMNS if kind in ("flag", "check")]
 
 
 def run_schema() -> T.StructType:
     """Superset of all run records; absent keys read as NULL. Flags are read as text and coerced."""
+    tree: dict = {c: T.ArrayType(T.DoubleType()) for c in ("values_before_curation", "values_after_curation")}
+    for path, kind in [*((path, kind) for _, path, kind in COLUMNS), *_EXTRA.items()]:
+        *blocks, field = path.split(".")
+        reduce(lambda at, b: at.setdefault(b, {}), blocks, tree).setdefault(field, _KINDS[kind])
 
-    def block(path: str) -> list[T.StructField]:
-        fields = {field: _kind(name) for name, field in _columns(path)} if path in BLOCKS else {}
-        out = [T.StructField(k, v) for k, v in fields.items()]
-        depth = path.count(".") + 1 if path else 0
-        for p in BLOCKS:
-            if p and p.count(".") == depth and (not path or p.startswith(path + ".")):
-                out.append(T.StructField(p.rpartition(".")[2], T.StructType(block(p))))
-        return out
+    def struct(block: dict) -> T.StructType:
+        return T.StructType([T.StructField(k, struct(v) if isinstance(v, dict) else v) for k, v in block.items()])
 
-    extra = [T.StructField("batch_id", T.StringType()), T.StructField("profile", T.StructType([T.StructField(c, T.StringType()) for c in ("id", "profile_id", "description")]))]
-    extra += [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("values_before_curation", "values_after_curation")]
-    root = [f for f in block("") if f.name != "structured_profile" and f.name != "generation_config"]
-    nested = {f.name: f.dataType for f in block("")}
-    profile = T.StructType([*nested["structured_profile"].fields, T.StructField("profile_id", T.StringType()), T.StructField("description", T.StringType())])
-    config = T.StructType([*nested["generation_config"].fields, T.StructField("batch_id", T.StringType())])
-    return T.StructType([*root, T.StructField("structured_profile", profile), T.StructField("generation_config", config), *extra])
+    return struct(tree)
+
+
+def as_read(runs: DataFrame) -> DataFrame:
+    """Run records in the schema in which they are read back."""
+    return runs.select(F.from_json(F.to_json(F.struct("*")), run_schema()).alias("r")).select("r.*")
 
 
 def flatten_runs(runs: DataFrame) -> DataFrame:
-    """175 flat columns of nested run records (``source_file`` is taken if there)."""
+    """175 flat columns of run records as read (``source_file`` is taken if there); others go through ``as_read``."""
     out = [(F.col("source_file") if "source_file" in runs.columns else F.lit(None).cast("string")).alias("source_file")]
     out += [F.coalesce("batch_id", "generation_config.batch_id").alias("batch_id"), F.coalesce("structured_profile.profile_id", "profile.profile_id", "profile.id").alias("profile_id")]
     out += [F.coalesce("structured_profile.description", "profile.description").alias("profile_description"), run_number(F.col("experiment_id")).alias("run_id")]
-    for path in BLOCKS:
-        for name, field in _columns(path):
-            x = F.col(f"{path}.{field}" if path else field)
-            out.append((joined_list(x) if name in LISTS else as_flag(x) if name in FLAGS and not name.endswith("_ok") else x.cast("boolean") if name in FLAGS else x).alias(name))
+    read = {"list": joined_list, "flag": as_flag, "check": lambda x: x.cast("boolean")}
+    out += [read.get(kind, lambda x: x)(F.col(path)).alias(name) for name, path, kind in COLUMNS]
     return runs.select(*out)
 
 
@@ -85,8 +55,7 @@ def derived_flags(flat: DataFrame) -> DataFrame:
 
     Missing checks count as failed before any rate is taken.
     """
-    flags = [c for c in FLAGS if c in flat.columns]
-    df = flat.withColumns({c: as_flag(F.col(c)) for c in flags})
+    df = flat.withColumns({c: as_flag(F.col(c)) for c in FLAGS if c in flat.columns})
     df = df.withColumn("parse_success", F.col("profile_parse_success") | F.col("raw_json_valid") | F.col("parse_repaired"))
     df = df.withColumn("legacy_structural_valid", reduce(lambda a, b: a & b, [F.col(c) for c in STRUCTURAL]))
     temporal = F.lit(False)
@@ -96,38 +65,24 @@ def derived_flags(flat: DataFrame) -> DataFrame:
     return df.withColumn("curation_intensity", F.coalesce("completed_points", F.lit(0)) + F.coalesce("truncated_points", F.lit(0)))
 
 
-# The aggregates in their order, as output:input; r rate of a flag, m mean, s sample deviation.
-AGGREGATES = (
-    "r raw_json_valid_rate:raw_json_valid r parse_repaired_rate:parse_repaired r parse_success_rate:parse_success r strict_llm_valid_rate:strict_llm_valid r curated_series_valid_rate:curated_series_valid "
-    "m mean_llm_profile_compliance_score:llm_profile_compliance_score s std_llm_profile_compliance_score:llm_profile_compliance_score m mean_llm_formal_validity_score:llm_formal_validity_score m mean_llm_temporal_profile_score:llm_temporal_profile_score "
-    "m mean_final_profile_compliance_score:final_profile_compliance_score m mean_final_formal_validity_score:final_formal_validity_score m mean_final_temporal_profile_score:final_temporal_profile_score "
-    "r length_curation_rate:length_curation_applied m mean_completed_points:completed_points m mean_truncated_points:truncated_points m mean_curation_intensity:curation_intensity m mean_curation_change_rate:curation_change_rate "
-    + " ".join(f"m mean_llm_{c}_score:llm_{c}_score" for c in "length numeric_validity range trend seasonality anomaly noise".split()) + " "
-    + " ".join(f"m mean_final_{c}_score:final_{c}_score" for c in "length range trend seasonality anomaly noise".split())
-    + " r legacy_valid_series_rate:valid_series r legacy_structural_valid_rate:legacy_structural_valid r legacy_temporal_valid_rate:legacy_temporal_valid r legacy_final_recomputed_rate:legacy_final_recomputed "
-    "m mean_slope:trend_slope s std_slope:trend_slope r weekly_seasonality_rate:weekly_seasonality_ok r no_strong_trend_rate:no_strong_trend_ok m mean_weekly_autocorrelation:weekly_autocorrelation r anomaly_count_rate:anomaly_count_ok "
-    "m mean_anomaly_count:anomaly_count_validation m mean_value:mean m mean_std:std m mean_time_seconds:elapsed_time_seconds s std_time_seconds:elapsed_time_seconds"
-)
 ROLLUPS = (("batch_id", "model", "profile_id", "method"), ("batch_id", "model", "method"), ("batch_id", "model"), ("batch_id", "profile_id", "method"))
 
 
-def aggregates(available: list[str], spec: str = AGGREGATES) -> list[Column]:
+def aggregates(available: list[str], spec=AGGREGATES) -> list[Column]:
     """The aggregate columns whose inputs exist; NULL status counts as no success."""
-    words = spec.split()
     out = []
     if "experiment_id" in available:
         out.append(F.count("experiment_id").alias("n_runs"))
     if "status" in available:
         out.append(F.avg(F.col("status").eqNullSafe(F.lit("success")).cast("double")).alias("success_rate"))
-    for kind, pair in zip(words[::2], words[1::2], strict=True):
-        name, source = pair.split(":")
+    for name, source, kind in spec:
         if source in available:
             x = F.col(source).cast("double")
-            out.append((F.stddev_samp(x) if kind == "s" else F.avg(x)).alias(name))
+            out.append((F.stddev_samp(x) if kind == "std" else F.avg(x)).alias(name))
     return out
 
 
-def roll_up(flat: DataFrame, sets=ROLLUPS, spec: str = AGGREGATES) -> DataFrame:
+def roll_up(flat: DataFrame, sets=ROLLUPS, spec=AGGREGATES) -> DataFrame:
     """All roll-ups in one pass: keys not in a set are NULL, ``level`` tells the sets apart."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
     grouped = flat.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys])
@@ -138,6 +93,11 @@ def report(rolled: DataFrame) -> DataFrame:
     return rolled.orderBy(F.desc_nulls_last("mean_llm_profile_compliance_score"), F.desc_nulls_last("strict_llm_valid_rate"), F.asc_nulls_last("length_curation_rate"))
 
 
+def count_report(features: DataFrame) -> DataFrame:
+    """Reference series of each profile."""
+    return features.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n_references")).orderBy("profile_id")
+
+
 def select_runs(flat: DataFrame, profile_ids=None, methods=None, models=None, batch_id=None) -> DataFrame:
     for column, allowed in (("profile_id", profile_ids), ("method", methods), ("model", models), ("batch_id", [batch_id] if batch_id else None)):
         flat = flat.filter(F.col(column).isin(list(allowed))) if allowed else flat

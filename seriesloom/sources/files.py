@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seriesloom.model import POINT_SCHEMA
+from seriesloom.functions.columns import clean
 from seriesloom.operators.rollup import run_schema
 
+ROLLUP_KEYS = ("batch_id", "model", "profile_id", "method")
+
 FEATURES = (
     "reference_id string, profile_id string, profile_description string, path string, length int, mean double, std double, min double, max double, trend_slope double, "
     "weekly_autocorrelation double, anomaly_count double, trend string, seasonality string, anomalies string, noise string, trend_attribute string, periodicity_attribute string, local_fluctuation_attribute string, noise_attribute string"
@@ -35,8 +38,17 @@ def read_series_csv(spark: SparkSession, glob: str) -> DataFrame:
     return raw.select(name.alias("series_id"), F.expr("try_cast(timestamp as timestamp_ntz)").alias("ts"), F.col("value").try_cast("double").alias("value"))
 
 
-def write_series_csv(points: DataFrame, path: str) -> None:
-    points.select("series_id", F.col("ts").alias("timestamp"), "value").write.partitionBy("series_id").csv(path, header=True)
+def write_series_csv(points: DataFrame, path: str, files: int = 0) -> None:
+    """timestamp and value by series, in time order; ``files`` bounds the number of CSV files (0: as partitioned)."""
+    rows = points.select("series_id", F.col("ts").alias("timestamp"), "value")
+    rows = rows.repartition(files, "series_id") if files else rows.repartition("series_id")
+    rows.sortWithinPartitions("series_id", "timestamp").write.csv(path, header=True)
+
+
+def read_written_series(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_series_csv`` has written, as points."""
+    rows = spark.read.schema("series_id string, timestamp string, value string").csv(path, header=True)
+    return rows.select("series_id", F.expr("try_cast(timestamp as timestamp_ntz)").alias("ts"), F.col("value").try_cast("double").alias("value"))
 
 
 def read_runs(spark: SparkSession, glob: str) -> DataFrame:
@@ -46,10 +58,31 @@ def read_runs(spark: SparkSession, glob: str) -> DataFrame:
     return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+def _plain(x: Column, kind: T.DataType) -> Column:
+    """NaN and infinities as NULL at any depth of a value."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return clean(x)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: _plain(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: _plain(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[_plain(x[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return x
+
+
 def write_runs(runs: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines with explicit nulls; NaN and infinities become null."""
-    plain = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in runs.dtypes]
-    runs.select(*plain).write.mode(mode).option("ignoreNullFields", False).json(path)
+    """JSON lines with explicit nulls; NaN and infinities become null, also inside structs, arrays and maps."""
+    runs.select(*[_plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in runs.schema.fields]).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_texts(rows: DataFrame, path: str, column: str, mode: str = "errorifexists") -> None:
+    """Prompts or raw answers by experiment_id, as JSON lines (texts may hold any line breaks)."""
+    rows.select("experiment_id", F.col(column).alias("text")).write.mode(mode).json(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("experiment_id string, text string").json(path)
 
 
 def not_yet_run(planned: DataFrame, done: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -65,11 +98,13 @@ def read_raw_outputs(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def write_rollups(rolled: DataFrame, path: str) -> None:
-    """One sorted CSV folder for each level."""
-    for (level,) in rolled.select("level").distinct().collect():
-        part = rolled.filter(F.col("level") == level).drop("level")
-        part.orderBy(*[F.asc_nulls_last(c) for c in part.columns[:4]]).coalesce(1).write.mode("overwrite").csv(f"{path}/level_{level}", header=True)
+    """All levels in one pass, as sorted CSV files below ``level=...``."""
+    keys = [c for c in rolled.columns if c in ROLLUP_KEYS]
+    order = [F.asc_nulls_last(c) for c in keys]
+    rolled.repartition("level").sortWithinPartitions("level", *order).write.mode("overwrite").partitionBy("level").csv(path, header=True)
 
 
-def empty_points(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], POINT_SCHEMA)
+def write_run_summary(flat: DataFrame, path: str) -> None:
+    """The run-level summary: a row for each run, in the order of its keys."""
+    keys = [c for c in (*ROLLUP_KEYS, "run_id") if c in flat.columns]
+    flat.orderBy(*[F.asc_nulls_last(c) for c in keys]).write.mode("overwrite").csv(path, header=True)

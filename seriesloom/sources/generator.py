@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+ANSWER = T.StructType([T.StructField(c, T.StringType()) for c in ("raw", "status", "error_message")] + [T.StructField("elapsed_time_seconds", T.DoubleType())])
 #: Makes, once in each task, a function from prompt to answer.
 Generator = Callable[[], Callable[[str], str]]
 
@@ -34,19 +36,29 @@ def http(url: str, model: str, temperature: float = 0.7, num_predict: int = 2048
     return make
 
 
-def generate(prompts: DataFrame, generator: Generator, parallel: int) -> DataFrame:
-    """Adds raw, status and error_message; ``parallel`` requests at a time; a failed call is a row, not an exception."""
+def generate(prompts: DataFrame, generator: Generator, parallel: int, attempts: int = 1, wait: float = 1.0) -> DataFrame:
+    """Adds raw, status, error_message and elapsed_time_seconds; ``parallel`` requests at a time.
+
+    A failed call is tried ``attempts`` times in all, each after twice the wait
+    of the one before; then it is a row, not an exception.
+    """
+
+    def call(ask: Callable[[str], str], prompt: str) -> tuple[str | None, str, str | None, float]:
+        began, error = time.monotonic(), None
+        for i in range(attempts):
+            if i:
+                time.sleep(wait * 2 ** (i - 1))
+            try:
+                return ask(prompt), "success", None, time.monotonic() - began
+            except Exception as e:  # noqa: BLE001  any failure of a call becomes its record
+                error = f"{type(e).__name__}: {e}"
+        return None, "failed", error, time.monotonic() - began
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = generator()
         for frame in frames:
-            rows = []
-            for p in frame["prompt"]:
-                try:
-                    rows.append((ask(p), "success", None))
-                except Exception as e:  # noqa: BLE001  any failure of a call becomes its record
-                    rows.append((None, "failed", f"{type(e).__name__}: {e}"))
-            yield frame.assign(**{c: [r[i] for r in rows] for i, c in enumerate(("raw", "status", "error_message"))})
-
-    schema = prompts.schema.add("raw", "string").add("status", "string").add("error_message", "string")
-    return prompts.repartition(parallel).mapInPandas(run, schema).withColumn("status", F.col("status"))
+            rows = [call(ask, p) for p in frame["prompt"]]
+            yield frame.assign(**{c: [r[i] for r in rows] for i, c in enumerate(("raw", "status", "error_message", "elapsed_time_seconds"))})
+
+    schema = T.StructType([*prompts.schema.fields, *ANSWER.fields])
+    return prompts.repartition(parallel).mapInPandas(run, schema)
