@@ -6,14 +6,21 @@ doesn't depend on partitioning and any part of it can be made alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import normal, uniform
-from seriesloom.operators.metrics import lag_autocorrelation
+from seriesloom.model import PROFILE_SCHEMA, PROFILES
+from seriesloom.operators.metrics import weekly_autocorrelation
 
-# The week's pattern.
+# The week's pattern, and the noise's deviation by level.
 WEEK = (100.0, 120.0, 140.0, 130.0, 110.0, 90.0, 80.0)
+SIGMAS = {"low": (0.8, 2.0), "medium": (2.0, 5.0), "high": (5.0, 10.0)}
+#: Values from which a point counts as an anomaly.
+OVER = 200.0
 
 
 def generate_bank(profiles: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
@@ -49,20 +56,76 @@ def generate_bank(profiles: DataFrame, n: int = 30, seed: int = 42) -> DataFrame
     return points.select("reference_id", "profile_id", "pos", F.date_add(F.col("start_date").cast("date"), F.col("pos")).alias("ts"), value.alias("value"))
 
 
-def bank_features(series: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One row of features for each reference series."""
+def series_features(points: DataFrame, profiles: DataFrame, *keep: str) -> DataFrame:
+    """series_id, keep and the FEATURES of series of any origin (series_id, profile_id, pos, value).
+
+    The weekly correlation is NULL where the profile has no week, the anomaly
+    count where it expects none.
+    """
     i = F.col("pos").cast("double")
-    per = series.groupBy("profile_id", "reference_id").agg(
+    each = points.filter(F.col("value").isNotNull()).withColumn("week_ahead", F.lag("value", 7).over(Window.partitionBy("series_id").orderBy("pos")))
+    per = each.groupBy("series_id", "profile_id", *keep).agg(
         F.count("value").alias("length"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.regr_slope(F.col("value"), i).alias("trend_slope"), F.count_if(F.col("value") >= 200).alias("over"),
+        F.regr_slope(F.col("value"), i).alias("trend_slope"), F.count_if(F.col("value") >= OVER).alias("over"), weekly_autocorrelation().alias("auto"),
+    )
+    dim = profiles.select("profile_id", (F.col("seasonality_expected") == "weekly").alias("weekly"), (F.coalesce("expected_anomalies", F.lit(0)) > 0).alias("point"))
+    return per.join(F.broadcast(dim), "profile_id").select(
+        "series_id", "profile_id", *keep, "length", "mean", "std", "min", "max", "trend_slope",
+        F.when(F.col("weekly"), F.col("auto")).alias("weekly_autocorrelation"), F.when(F.col("point"), F.col("over").cast("double")).alias("anomaly_count"),
     )
-    auto = lag_autocorrelation(series.withColumnRenamed("reference_id", "series_id"), 7).select(F.col("series_id").alias("reference_id"), F.when(F.col("n") >= 14, F.col("autocorrelation")).alias("auto"))
+
+
+def bank_features(series: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row of features for each reference series."""
+    per = series_features(series.withColumnRenamed("reference_id", "series_id"), profiles).withColumnRenamed("series_id", "reference_id")
     dim = profiles.select("profile_id", F.col("description").alias("profile_description"), "trend_expected", "seasonality_expected", "expected_anomalies", F.col("noise_expected").alias("noise"))
     weekly, point = F.col("seasonality_expected") == "weekly", F.col("expected_anomalies") > 0
-    return per.join(auto, "reference_id").join(F.broadcast(dim), "profile_id").select(
-        "reference_id", "profile_id", "profile_description", F.concat_ws("/", "profile_id", "reference_id").alias("path"), "length", "mean", "std", "min", "max", "trend_slope",
-        F.when(weekly, F.col("auto")).alias("weekly_autocorrelation"), F.when(point, F.col("over").cast("double")).alias("anomaly_count"),
+    return per.join(F.broadcast(dim), "profile_id").select(
+        "reference_id", "profile_id", "profile_description", F.concat_ws("/", "profile_id", "reference_id").alias("path"), "length", "mean", "std", "min", "max", "trend_slope", "weekly_autocorrelation", "anomaly_count",
         F.when(F.col("trend_expected") == "flat", "none").otherwise(F.col("trend_expected")).alias("trend"), F.col("seasonality_expected").alias("seasonality"), F.when(point, "point").otherwise("none").alias("anomalies"), "noise",
         F.when(F.col("trend_expected") == "flat", "stable").otherwise(F.col("trend_expected")).alias("trend_attribute"), F.when(weekly, "weekly pattern").otherwise("no periodicity").alias("periodicity_attribute"),
         F.when(point, "point anomalies").otherwise("no local fluctuation").alias("local_fluctuation_attribute"), F.concat("noise", F.lit(" noise")).alias("noise_attribute"),
     )
+
+
+def numpy_bank(spark: SparkSession, profiles: tuple = PROFILES, n: int = 30, seed: int = 42) -> DataFrame:
+    """The bank from one NumPy generator, drawn in a fixed order on the driver: the published reference series.
+
+    ``generate_bank`` makes the same kinds of series on any cluster; this one
+    repeats given numbers. It has n series for each profile and nothing else, so
+    it is small whatever the data.
+    """
+    rng, rows = np.random.default_rng(seed), []
+    names = [x.split()[0] for x in PROFILE_SCHEMA.split(", ")]
+    for p in (dict(zip(names, row, strict=True)) for row in profiles):
+        size, weekly, rising = p["expected_length"], p["seasonality_expected"] == "weekly", p["trend_expected"] == "increasing"
+        flat = p["trend_expected"] in ("flat", "no_strong_trend", "none")
+        x = np.arange(size)
+        for k in range(1, n + 1):
+            if weekly:
+                amplitude, shift = rng.uniform(0.85, 1.15), rng.uniform(-8, 8)
+                gain = rng.uniform(5, 12) if rising else 0.0
+            elif flat:
+                level = rng.uniform(95, 110)
+            else:
+                begin = rng.uniform(80, 120) if rising else rng.uniform(190, 240)
+                end = begin + rng.uniform(40, 110) if rising else rng.uniform(90, 130)
+            sigma = rng.uniform(*SIGMAS.get(p["noise_expected"], SIGMAS["medium"]))
+            if weekly:
+                # a week's offset and the noise are drawn in turn for each point
+                noise = rng.normal(0, sigma, size) if rising else rng.normal(0, np.tile([1.5, sigma], size)).reshape(size, 2).sum(axis=1)
+                value = shift + amplitude * np.array(WEEK)[x % 7] + gain * (x // 7) + noise
+            else:
+                value = (level if flat else begin + (end - begin) * np.linspace(0, 1, size)) + rng.normal(0, sigma, size)
+            if not rising and (weekly or flat):
+                slope, span = np.polyfit(x, value, 1)[0], value.max() - value.min()
+                if span and abs(slope) * (size - 1) / span > p["flat_trend_threshold"]:
+                    value = value - slope * (x - x.mean())
+            places = x if size <= 10 else x[3:-3]
+            for at in rng.choice(places, size=min(p["expected_anomalies"], len(places)), replace=False) if p["expected_anomalies"] else []:
+                down = p["anomaly_type"] == "drops" or (p["anomaly_type"] == "mixed" and rng.random() < 0.35)
+                value[at] = max(p["value_min"], value[at] - rng.uniform(50, 100)) if down else max(200.0 + rng.uniform(30, 100), value[at] + rng.uniform(80, 150))
+            value = np.round(np.clip(value, p["value_min"], p["value_max"]), 2)
+            start = datetime.date.fromisoformat(p["start_date"])
+            rows += [(f"{p['profile_id']}_ref_{k:03d}", p["profile_id"], i, start + datetime.timedelta(days=i), float(v)) for i, v in enumerate(value)]
+    return spark.createDataFrame(rows, "reference_id string, profile_id string, pos int, ts date, value double")
