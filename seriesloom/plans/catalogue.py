@@ -1,7 +1,9 @@
 """The registered queries over the driver's tables and their DuckDB SQL.
 
 Doubles are rounded to six digits on both sides, as engines add in other
-orders; thresholds are compared before rounding.
+orders; thresholds are compared before rounding. A value that lies on a rounding
+step (a mean of prices) would fall to either side by the last bit of its sum, so
+both sides multiply by 1 + 1e-11 first, which puts it on the same side.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from seriesloom import model
 from seriesloom.functions import columns as c
 from seriesloom.functions.parsing import parse_series
-from seriesloom.operators import bank, curate, metrics, rollup, select, validate
+from seriesloom.operators import bank, curate, examples, metrics, prompts, rollup, select, validate, workflow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,13 +27,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(n, 6) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+NUDGE = 1.00000000001
 
 
-def query(sql: str | None = None):
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(F.col(n) * NUDGE, digits) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+
+
+def query(sql: str | None = None, digits: int = 6):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d))
+        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d), digits)
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -113,9 +118,9 @@ sc AS (SELECT k.series_id, k.profile_id, k.n AS generated_length, k.n AS numeric
   JOIN (SELECT series_id, profile_id, count(*) FILTER (value < value_min OR value > value_max) AS outside FROM x GROUP BY 1, 2) o ON o.series_id = k.series_id AND o.profile_id = k.profile_id)"""
 
 
-def r(*names: str) -> str:
+def r(*names: str, digits: int = 6) -> str:
     pairs = [(n.partition("=")[0], n.partition("=")[2] or n) for n in names]
-    return ", ".join(f"round(CAST({x} AS DOUBLE), 6) + 0 AS {n}" for n, x in pairs)
+    return ", ".join(f"round(CAST({x} AS DOUBLE) * {NUDGE}::DOUBLE, {digits}) + 0 AS {n}" for n, x in pairs)
 
 
 def _scores(spark, d, points=T1) -> DataFrame:
@@ -164,7 +169,7 @@ _part("numeric_validity", ["numeric_length", "invalid_count", "numeric_validity_
 
 def _stat(name: str, wanted: dict[str, str], points, series_sql: str, series: str) -> None:
     ORACLE[name] = f"WITH {series_sql}, {stats_sql(series)} SELECT series_id, profile_id, {', '.join(f'CAST({v} AS BIGINT) AS {k}' if k == 'anomalies' else r(f'{k}={v}') for k, v in wanted.items())} FROM k"
-    QUERIES[name] = lambda spark, d: rounded(metrics.series_statistics(points(spark, d).crossJoin(F.broadcast(model.profiles(spark)))).select("series_id", "profile_id", *wanted))
+    QUERIES[name] = lambda spark, d: rounded(metrics.statistics_by_profile(points(spark, d), model.profiles(spark)).select("series_id", "profile_id", *wanted))
 
 
 _stat("linear_trend_strength", {"slope": "slope", "strength": "strength"}, T3, S3, "t3")
@@ -176,14 +181,16 @@ _stat("noise_ratio", {"noise": "noise"}, T3, S3, "t3")
 
 @query(f"WITH {S1}, {stats_sql()} SELECT series_id, profile_id, CAST(pos AS BIGINT) AS pos, {r('resid', 'plain')} FROM f")
 def deseasonalised_residuals(spark, d):
-    df = metrics.residual_table(T1(spark, d).crossJoin(F.broadcast(model.profiles(spark))))
-    return df.select("series_id", "profile_id", F.col("i").cast("long").alias("pos"), "resid", "plain")
+    dim = F.broadcast(metrics.with_variant(model.profiles(spark)))
+    df = metrics.residual_table(T1(spark, d).crossJoin(F.broadcast(dim.select(*metrics.VARIANT).distinct())))
+    same = [df[v].eqNullSafe(dim[v]) for v in metrics.VARIANT]
+    return df.join(dim, same).select("series_id", "profile_id", F.col("i").cast("long").alias("pos"), "resid", "plain")
 
 
-@query(f"WITH {S3} SELECT series_id, CAST(pos AS BIGINT) AS pos, {r('resid=value - (regr_slope(value, CAST(pos AS DOUBLE)) OVER w * pos + regr_intercept(value, CAST(pos AS DOUBLE)) OVER w)')} FROM t3 WINDOW w AS (PARTITION BY series_id)".replace("6) + 0", "3) + 0"))
+@query(f"WITH {S3} SELECT series_id, CAST(pos AS BIGINT) AS pos, {r('resid=value - (regr_slope(value, CAST(pos AS DOUBLE)) OVER w * pos + regr_intercept(value, CAST(pos AS DOUBLE)) OVER w)', digits=3)} FROM t3 WINDOW w AS (PARTITION BY series_id)", 3)
 def detrend_residuals(spark, d):
     w, i = Window.partitionBy("series_id"), F.col("pos").cast("double")
-    return T3(spark, d).select("series_id", F.col("pos").cast("long").alias("pos"), (F.round(F.col("value") - (F.regr_slope("value", i).over(w) * i + F.regr_intercept("value", i).over(w)), 3) + 0.0).alias("resid"))
+    return T3(spark, d).select("series_id", F.col("pos").cast("long").alias("pos"), (F.col("value") - (F.regr_slope("value", i).over(w) * i + F.regr_intercept("value", i).over(w))).alias("resid"))
 
 
 @query(f"WITH {S3}, z AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM t3) SELECT series_id, CAST(pos // 12 AS BIGINT) AS block, {r('mean=avg(value)')} FROM z WHERE pos < (n // 12) * 12 GROUP BY 1, 2")
@@ -268,7 +275,8 @@ ph AS (SELECT series_id, pos % 7 AS phase, avg(value) AS base, count(*) AS seen
 SELECT p.series_id, CAST(g.pos AS INT) AS pos, {r("value=greatest(0, least(1000, base + CASE WHEN x > 0 THEN x WHEN x < 0 THEN -x ELSE 7 END * greatest(0, g.pos // 7 - (seen - 1))))")}
 FROM p JOIN dr USING (series_id) CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS pos) g JOIN ph ON ph.series_id = p.series_id AND ph.phase = g.pos % 7 WHERE g.pos >= p.n""")
 def complete_weekly(spark, d):
-    return curate.complete(curate.truncate_to(T1(spark, d), 20), 30, "increasing", True)
+    short = curate.truncate_to(T1(spark, d), 20)
+    return curate.complete(short, curate.specs_of(short, 30, "increasing", True))
 
 
 @query(f"""WITH {S1}, t AS (SELECT * FROM t1 WHERE pos < 20), p AS (SELECT series_id, count(*) AS n, arg_max(value, pos) AS la FROM t GROUP BY 1),
@@ -276,7 +284,8 @@ st AS (SELECT series_id, coalesce((arg_max(value, pos) - arg_min(value, pos)) /
 SELECT series_id, CAST(g.pos AS INT) AS pos, {r("value=greatest(0, least(1000, la + CASE WHEN x < 0 THEN x WHEN x > 0 THEN -x ELSE -1 END * (g.pos - n + 1)))")}
 FROM p JOIN st USING (series_id) CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS pos) g WHERE g.pos >= n""")
 def complete_linear(spark, d):
-    return curate.complete(curate.truncate_to(T1(spark, d), 20), 30, "decreasing", False)
+    short = curate.truncate_to(T1(spark, d), 20)
+    return curate.complete(short, curate.specs_of(short, 30, "decreasing", False))
 
 
 @query(f"WITH {S2} SELECT series_id, greatest(0, 28 - count(*)) AS completed_points, greatest(0, count(*) - 28) AS truncated_points, {r('curation_change_rate=abs(28 - count(*)) / 28.0::DOUBLE')} FROM t2 GROUP BY 1")
@@ -329,7 +338,16 @@ def role_topk(spark, d):
     return select.by_roles(T6(spark, d), _ROLES)
 
 
-@query()
+def u_sql(*keys: str, seed: str = "42") -> str:
+    """The hash-based uniform of ``functions.columns`` in SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in (*keys, seed))})), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE)"
+
+
+def normal_sql(*keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {u_sql(*keys, repr('u'))})) * cos(2 * 3.141592653589793::DOUBLE * {u_sql(*keys, repr('v'))}))"
+
+
+@query(f"WITH {S6} SELECT reference_id, grp, {r('n_orders', 'mean', 'std')} FROM t6 ORDER BY {u_sql('reference_id', seed='43')}, reference_id LIMIT 25")
 def seeded_sample(spark, d):
     return select.seeded_sample(T6(spark, d), 25, 43)
 
@@ -420,12 +438,46 @@ def json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"))
 
 
-@query()
+# raw text; then as parsed: raw_json_valid, repair_type, shape, values, time stamps
+PARSE_CASES = (
+    ("[1, 2, 3]", True, None, "root:numeric_list", "1.0|2.0|3.0", None),
+    ('[{"timestamp": "2024-01-01", "value": 1}]', True, None, "root:list_of_dicts", "1.0", "2024-01-01"),
+    ("[1, 2", False, "added_closing_bracket", "root:numeric_list", "1.0|2.0", None),
+    ("so: [4, 5] ok", False, "extracted_json_array_from_text", "root:numeric_list", "4.0|5.0", None),
+    ("[1] and [2]", False, "extracted_numeric_values_from_text", "root:numeric_list", "1.0|2.0", None),
+    ('{"output": {"values": [7, 8]}}', True, None, "root.output.values:numeric_list", "7.0|8.0", None),
+    ('{"x": [2], "observations": [1, 3]}', True, None, "root.observations:numeric_list", "1.0|3.0", None),
+    ('{"output": [7, 8], "time_series": [1, 2]}', True, None, "root.time_series:numeric_list", "1.0|2.0", None),
+    ("[[1, 2]]", True, None, "root:single_nested_numeric_list", "1.0|2.0", None),
+    ("[[1, 2], [3]]", True, None, "root[0]:numeric_list", "1.0|2.0", None),
+    ('["1", "2"]', True, None, "root:numeric_list", "1.0|2.0", None),
+    ('[{"v": 1}, {"v": "2"}]', True, None, "root:list_of_dicts|renamed_v_to_value|timestamps_constructed", "1.0|2.0", None),
+    ('[{"value": 1, "info": {"a": [5]}}, {"value": null}]', True, None, "root:list_of_dicts|timestamps_constructed", "1.0|", None),
+    ('[{"timestamp": "2024-01-02", "value": 3}, {"value": 4}]', True, None, "root:list_of_dicts", "3.0|4.0", "2024-01-02|"),
+    ('[{"a": 1, "b": 2}]', True, None, None, None, None),
+    ("[1, NaN]", True, None, None, None, None),
+    ("5", True, None, None, None, None),
+    ('{"a": {"b": "c"}}', True, None, None, None, None),
+    ("", False, None, None, None, None),
+    ("none here", False, None, None, None, None),
+)
+
+
+@query(f"SELECT CAST(p_partkey AS BIGINT) AS p_partkey, ok AS raw_json_valid, repair_type IS NOT NULL AS parse_repaired, repair_type, shape IS NULL AS failed, shape, vals, ts FROM part JOIN (VALUES {', '.join(f'({i}, ' + ', '.join('NULL' if v is None else str(v).lower() if isinstance(v, bool) else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in x[1:]) + ')' for i, x in enumerate(PARSE_CASES))}) v(i, ok, repair_type, shape, vals, ts) ON p_partkey % {len(PARSE_CASES)} = i")
 def parse_cascade(spark, d):
-    cases = ["[1, 2, 3]", '[{"timestamp": "2024-01-01", "value": 1}]', "[1, 2", "so: [4, 5] ok", "[1] and [2]", '{"output": {"values": [7, 8]}}', "[[1, 2]]", '[{"v": 1}]', '[{"a": 1, "b": 2}]', "[1, NaN]", "5", ""]
-    rows = spark.createDataFrame([(str(i), x) for i, x in enumerate(cases)], "run_id string, raw string")
+    """Every part carries one of the answers, so all rows of the table are parsed."""
+    cases = spark.createDataFrame([(i, x[0]) for i, x in enumerate(PARSE_CASES)], "i int, raw string")
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), (F.col("p_partkey") % len(PARSE_CASES)).cast("int").alias("i")).join(F.broadcast(cases), "i")
     p = rows.withColumn("p", parse_series(F.col("raw")))
-    return p.select("run_id", "p.raw_json_valid", "p.parse_repaired", "p.repair_type", "p.error", "p.shape", c.joined_list(F.col("p.vals")).alias("vals"))
+    joined = lambda x: F.array_join(F.transform(x, lambda v: F.coalesce(v.cast("string"), F.lit(""))), "|")
+    return p.select("p_partkey", "p.raw_json_valid", "p.parse_repaired", "p.repair_type", F.col("p.error").isNotNull().alias("failed"), "p.shape", joined(F.col("p.vals")).alias("vals"), joined(F.col("p.ts")).alias("ts"))
+
+
+@query(r"""SELECT doc_id, CAST(len(x) AS BIGINT) AS n_numbers, CASE WHEN len(x) > 0 THEN 'extracted_numeric_values_from_text' END AS repair_type FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '-?[0-9]+(?:\.[0-9]+)?') AS x FROM documents)""")
+def parse_documents(spark, d):
+    """All documents through the parser: prose holds no JSON, so numbers are taken where there are any."""
+    p = table(spark, d, "documents").select("doc_id", parse_series(F.col("text")).alias("p"))
+    return p.select("doc_id", F.coalesce(F.when(F.col("p.vals").isNotNull(), F.size("p.vals")), F.lit(0)).cast("long").alias("n_numbers"), "p.repair_type")
 
 
 @query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS chosen FROM customer""")
@@ -441,17 +493,22 @@ def union_points(spark, d):
     return t.filter("pos < 20").withColumn("origin", F.lit("observed")).unionByName(t.filter("pos >= 20").withColumn("origin", F.lit("rest")), allowMissingColumns=True)
 
 
-@query(f"""WITH {_RUNS} SELECT a.experiment_id AS for_experiment_id, count(*) AS n FROM rn a JOIN rn b ON a.profile_id = b.profile_id AND a.model = b.model AND a.batch_id IS NOT DISTINCT FROM b.batch_id AND a.method <> b.method
-WHERE b.status = 'success' AND a.experiment_id LIKE '%run1_' GROUP BY 1""")
+def _previous_sql(*keys: str) -> str:
+    by = ", ".join(keys)
+    return f"""WITH {_RUNS}, own AS (SELECT {by}, method, count(*) FILTER (status = 'success' AND experiment_id IS NOT NULL) AS c FROM rn GROUP BY ALL),
+al AS (SELECT *, sum(c) OVER (PARTITION BY {by}) - c AS n FROM own)
+SELECT experiment_id AS for_experiment_id, CAST(sum(n) AS BIGINT) AS n FROM rn JOIN al ON {' AND '.join(f'rn.{k} IS NOT DISTINCT FROM al.{k}' for k in (*keys, 'method'))} WHERE n > 0 GROUP BY 1"""
+
+
+@query(_previous_sql("profile_id", "model", "batch_id"))
 def previous_run_context(spark, d):
-    runs = _runs(spark, d)
-    return rollup.previous_runs(runs, runs.filter(F.col("experiment_id").like("%run1_"))).groupBy("for_experiment_id").agg(F.count(F.lit(1)).alias("n"))
+    """How many earlier runs each run's context has, for every run."""
+    return rollup.previous_run_counts(_runs(spark, d))
 
 
-@query(f"""WITH {_RUNS} SELECT a.experiment_id AS for_experiment_id, count(*) AS n FROM rn a JOIN rn b ON a.profile_id = b.profile_id AND a.model = b.model AND a.batch_id IS NOT DISTINCT FROM b.batch_id AND a.method <> b.method
-WHERE b.status = 'success' GROUP BY 1""")
+@query(_previous_sql("profile_id"))
 def previous_run_counts(spark, d):
-    return rollup.previous_run_counts(_runs(spark, d))
+    return rollup.previous_run_counts(_runs(spark, d), same_model=False, same_batch=False)
 
 
 @query(f"""WITH {_RUNS}, x AS (SELECT profile_id, experiment_id, status = 'success' AS v, max(coalesce(status = 'success', false)) OVER (PARTITION BY profile_id, model, method) AS any_v FROM rn)
@@ -461,17 +518,305 @@ def prefer_valid(spark, d):
     return select.prefer_valid(rows, "profile_id", "model", "method").groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _bank_sql(n: int = 30) -> str:
+    def u(name: str, low: float, high: float, *more: str) -> str:
+        return f"({low}::DOUBLE + ({high}::DOUBLE - {low}::DOUBLE) * {u_sql('reference_id', repr(name), *more)})"
+
+    week = f"[{', '.join(f'{x}::DOUBLE' for x in bank.WEEK)}][pos % 7 + 1]"
+    weekly = f"({u('shift', -8.0, 8.0)} + {u('amp', 0.85, 1.15)} * {week})"
+    x = "(pos / (expected_length - 1)::DOUBLE)"
+    return f"""{PROFILE_SQL},
+b0 AS (SELECT *, profile_id || '_ref_' || lpad(CAST(k AS VARCHAR), 3, '0') AS reference_id FROM pr CROSS JOIN (SELECT unnest(generate_series(1, {n})) AS k)),
+b1 AS (SELECT *, unnest(generate_series(0, expected_length - 1)) AS pos, CASE noise_expected WHEN 'low' THEN {u('s', 0.8, 2.0)} WHEN 'high' THEN {u('s', 5.0, 10.0)} ELSE {u('s', 2.0, 5.0)} END AS sigma FROM b0),
+b2 AS (SELECT *, sigma * {normal_sql('reference_id', 'pos')} + CASE WHEN seasonality_expected = 'weekly' AND trend_expected = 'increasing' THEN {weekly} + {u('gain', 5.0, 12.0)} * (pos // 7)
+    WHEN seasonality_expected = 'weekly' THEN {weekly} + 1.5::DOUBLE * {normal_sql('reference_id', 'pos', repr('w'))} WHEN trend_expected = 'increasing' THEN {u('start', 80.0, 120.0)} + {u('rise', 40.0, 110.0)} * {x}
+    WHEN trend_expected = 'decreasing' THEN {u('start', 190.0, 240.0)} * (1 - {x}) + {u('end', 90.0, 130.0)} * {x} ELSE {u('level', 95.0, 110.0)} END AS value FROM b1),
+b3 AS (SELECT *, regr_slope(value, pos) OVER w AS slope, max(value) OVER w - min(value) OVER w AS span FROM b2 WINDOW w AS (PARTITION BY reference_id)),
+b4 AS (SELECT * EXCLUDE (value), CASE WHEN trend_expected = 'flat' AND abs(slope) * (expected_length - 1) / nullif(span, 0) > flat_trend_threshold THEN value - slope * (pos - (expected_length - 1) / 2.0::DOUBLE) ELSE value END AS value FROM b3),
+b5 AS (SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY CASE WHEN expected_length <= 10 OR pos BETWEEN 3 AND expected_length - 4 THEN {u_sql('reference_id', 'pos', repr('place'))} END NULLS LAST, pos) <= expected_anomalies AS hit FROM b4),
+b6 AS (SELECT reference_id, profile_id, pos, CAST(start_date AS DATE) + CAST(pos AS INT) AS ts, round_even(greatest(value_min, least(value_max, CASE WHEN NOT hit THEN value
+    WHEN coalesce(anomaly_type = 'drops' OR (anomaly_type = 'mixed' AND {u_sql('reference_id', 'pos', repr('kind'))} < 0.35::DOUBLE), false) THEN value - {u('down', 50.0, 100.0, 'pos')}
+    ELSE greatest(200 + {u('over', 30.0, 100.0, 'pos')}, value + {u('up', 80.0, 150.0, 'pos')}) END)), 2) AS value, seasonality_expected, expected_anomalies, trend_expected, noise_expected, description FROM b5)"""
+
+
+@query(f"WITH {_bank_sql()} SELECT reference_id, profile_id, CAST(pos AS INT) AS pos, ts, {r('value')} FROM b6")
 def bank_generate(spark, d):
     return bank.generate_bank(model.profiles(spark))
 
 
-@query()
+_FEATURE_SQL = """fe AS (SELECT reference_id, profile_id, count(*) AS length, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, regr_slope(value, pos) AS trend_slope, any_value(description) AS profile_description, any_value(noise_expected) AS noise,
+  any_value(trend_expected) AS te, any_value(seasonality_expected) AS se, any_value(expected_anomalies) AS ea,
+  CASE WHEN any_value(seasonality_expected) = 'weekly' AND count(*) >= 14 THEN coalesce(covar_pop(value, z) / nullif(stddev_pop(value) FILTER (z IS NOT NULL) * stddev_pop(z), 0), 0) END AS weekly_autocorrelation,
+  CASE WHEN any_value(expected_anomalies) > 0 THEN CAST(count(*) FILTER (value >= 200) AS DOUBLE) END AS anomaly_count
+  FROM (SELECT *, lag(value, 7) OVER (PARTITION BY reference_id ORDER BY pos) AS z FROM b6) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_bank_sql()}, {_FEATURE_SQL} SELECT reference_id, profile_id, profile_description, profile_id || '/' || reference_id AS path, length, {r('mean', 'std', 'min', 'max', 'trend_slope', 'weekly_autocorrelation', 'anomaly_count')},
+  CASE te WHEN 'flat' THEN 'none' ELSE te END AS trend, se AS seasonality, CASE WHEN ea > 0 THEN 'point' ELSE 'none' END AS anomalies, noise, CASE te WHEN 'flat' THEN 'stable' ELSE te END AS trend_attribute,
+  CASE se WHEN 'weekly' THEN 'weekly pattern' ELSE 'no periodicity' END AS periodicity_attribute, CASE WHEN ea > 0 THEN 'point anomalies' ELSE 'no local fluctuation' END AS local_fluctuation_attribute, noise || ' noise' AS noise_attribute FROM fe""")
 def bank_features(spark, d):
     p = model.profiles(spark)
     return bank.bank_features(bank.generate_bank(p), p)
 
 
+@query(f"WITH {_bank_sql()} SELECT profile_id, count(DISTINCT reference_id) AS n_references FROM b6 GROUP BY 1")
+def bank_count_report(spark, d):
+    p = model.profiles(spark)
+    return rollup.count_report(bank.bank_features(bank.generate_bank(p), p))
+
+
+_UNUSUAL = (("N1", "none"), ("N2", "no_strong_trend"), ("N3", "decreasing"), ("N4", "sideways"))
+
+
+def _unusual_profiles(spark) -> DataFrame:
+    """P4_30 with trends that no given profile has."""
+    base = model.profiles(spark).filter("profile_id = 'P4_30'").drop("profile_id", "trend_expected")
+    return base.crossJoin(F.broadcast(spark.createDataFrame(list(_UNUSUAL), "profile_id string, trend_expected string"))).select(*_names)
+
+
+@query(f"""WITH {S2}, {stats_sql('t2').replace("pr AS (SELECT * FROM (VALUES", "pr AS (SELECT * EXCLUDE (nn, tt) REPLACE (nn AS profile_id, tt AS trend_expected) FROM (SELECT * FROM (VALUES", 1).replace("v(" + ", ".join(_names) + "))", "v(" + ", ".join(_names) + ") WHERE profile_id = 'P4_30') CROSS JOIN (VALUES " + _values(_UNUSUAL) + ") u(nn, tt))", 1).replace("WHEN trend_expected = 'increasing' THEN greatest(0, rho) ELSE greatest(0, -rho) END AS trend_score", "WHEN trend_expected = 'increasing' THEN greatest(0, rho) WHEN trend_expected = 'decreasing' THEN greatest(0, -rho) ELSE 0 END AS trend_score").replace("trend_expected = 'flat'", "trend_expected IN ('flat', 'none', 'no_strong_trend')")}
+SELECT series_id, profile_id, {r('trend_observed', 'trend_score')} FROM sc""")
+def trend_of_unusual_profiles(spark, d):
+    return metrics.profile_metrics(T2(spark, d), _unusual_profiles(spark), model.noise_bands(spark)).select("series_id", "profile_id", "trend_observed", "trend_score")
+
+
+def _gappy(spark, d) -> DataFrame:
+    k = F.col("reference_id")
+    return T6(spark, d).withColumn("mean", F.when(k % 5 != 0, F.col("mean"))).withColumn("std", F.when(k % 3 != 0, F.col("std"))).withColumn("none", F.lit(None).cast("double"))
+
+
+@query(f"""WITH {S6}, gp AS (SELECT reference_id, n_orders, CASE WHEN reference_id % 5 <> 0 THEN mean END AS mean, CASE WHEN reference_id % 3 <> 0 THEN std END AS std FROM t6),
+md AS (SELECT median(n_orders) AS a, median(mean) AS b, median(std) AS c FROM gp), fl AS (SELECT reference_id, n_orders, coalesce(mean, b) AS mean, coalesce(std, c) AS std, a, b, c FROM gp, md),
+dv AS (SELECT coalesce(nullif(stddev_pop(n_orders), 0), 1) AS x, coalesce(nullif(stddev_pop(mean), 0), 1) AS y, coalesce(nullif(stddev_pop(std), 0), 1) AS z FROM fl),
+q AS (SELECT reference_id, (n_orders - a) / x AS u, (mean - b) / y AS v, (std - c) / z AS w FROM fl, dv), o AS (SELECT * FROM q WHERE reference_id = 1)
+SELECT q.reference_id, {r("distance=sqrt((q.u - o.u) ** 2 + (q.v - o.v) ** 2 + (q.w - o.w) ** 2)")} FROM q, o WHERE q.reference_id <> 1 ORDER BY sqrt((q.u - o.u) ** 2 + (q.v - o.v) ** 2 + (q.w - o.w) ** 2), q.reference_id LIMIT 10""")
+def knn_with_nulls(spark, d):
+    return select.nearest(_gappy(spark, d), ["n_orders", "mean", "std", "none"], 1, 10)
+
+
+@query(f"WITH {S6} SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.9, 1.0])::DOUBLE AS share, {r('value=unnest(quantile_cont(mean, [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]))')} FROM t6")
+def exact_quantiles(spark, d):
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = select.exact_quantiles(T6(spark, d), "mean", shares)
+    return spark.createDataFrame(list(zip(shares, found, strict=True)), "share double, value double")
+
+
+# References, planned runs and earlier runs made from customers and their orders.
+_CUSTOMERS = """cs AS (SELECT c_custkey AS k, c_mktsegment AS profile_id, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, round(max(o_totalprice) - min(o_totalprice), 4) AS trend_slope,
+  CASE WHEN c_custkey % 3 <> 0 AND c_mktsegment <> 'FURNITURE' THEN round(c_acctbal / 10000, 6) END AS weekly_autocorrelation, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(count(*) AS DOUBLE) END AS anomaly_count
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, c_acctbal),
+rf AS (SELECT 'r' || k AS reference_id, * EXCLUDE (k) FROM cs WHERE k % 4 <> 0),
+ge AS (SELECT 'g' || k AS experiment_id, 'm' || ((k // 4) % 3) AS model, 'b' AS batch_id, CASE WHEN k % 20 = 0 THEN 'tabgen_icl_residual' ELSE 'prompt_only' END AS method, CASE WHEN k % 28 = 0 THEN 'failed' ELSE 'success' END AS status, k % 8 = 0 AND k % 3 <> 0 AS valid_series, cs.* EXCLUDE (k) FROM cs WHERE k % 4 = 0),
+rq AS (SELECT profile_id || '_' || m || '_' || n AS experiment_id, profile_id, m AS model, 'b' AS batch_id, n AS run_id, 4 AS n_examples, 42 AS selection_seed, 42 + n AS seed FROM (SELECT DISTINCT profile_id FROM cs) CROSS JOIN (VALUES ('m0'), ('m1'), ('m9')) a(m) CROSS JOIN (SELECT unnest([1, 2, 3]) AS n))"""
+
+
+def _customers(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+    k, seg, price = F.col("k"), F.col("profile_id"), F.col("o_totalprice")
+    per = o.groupBy(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("profile_id"), F.col("c_acctbal").cast("double").alias("bal")).agg(F.round(F.avg(price), 4).alias("mean"), F.round(F.stddev_pop(price), 4).alias("std"), F.round(F.max(price) - F.min(price), 4).alias("trend_slope"), F.count(F.lit(1)).cast("double").alias("n"))
+    return per.select("k", "profile_id", "mean", "std", "trend_slope", F.when((k % 3 != 0) & (seg != "FURNITURE"), F.round(F.col("bal") / 10000, 6)).alias("weekly_autocorrelation"), F.when(seg != "BUILDING", F.col("n")).alias("anomaly_count"))
+
+
+def _references(spark, d) -> DataFrame:
+    return _customers(spark, d).filter("k % 4 <> 0").withColumn("reference_id", F.concat(F.lit("r"), F.col("k"))).drop("k")
+
+
+def _earlier(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Features of earlier series, and their runs."""
+    k = F.col("k")
+    rows = _customers(spark, d).filter("k % 4 = 0").withColumn("series_id", F.concat(F.lit("g"), k))
+    runs = rows.select(F.col("series_id").alias("experiment_id"), "profile_id", F.concat(F.lit("m"), F.floor(k / 4) % 3).alias("model"), F.lit("b").alias("batch_id"), F.when(k % 20 == 0, "tabgen_icl_residual").otherwise("prompt_only").alias("method"), F.when(k % 28 == 0, "failed").otherwise("success").alias("status"), ((k % 8 == 0) & (k % 3 != 0)).alias("valid_series"))
+    return rows.drop("k", "profile_id"), runs
+
+
+def _requests(spark, d) -> DataFrame:
+    seg = _customers(spark, d).select("profile_id").distinct()
+    rows = seg.withColumn("model", F.explode(F.array(*map(F.lit, ("m0", "m1", "m9"))))).withColumn("run_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    return rows.withColumns({"batch_id": F.lit("b"), "n_examples": F.lit(4), "selection_seed": F.lit(42), "experiment_id": F.concat_ws("_", "profile_id", "model", F.col("run_id").cast("string"))})
+
+
+@query(f"""WITH {_CUSTOMERS}, x AS (SELECT experiment_id, n_examples, reference_id, row_number() OVER (PARTITION BY experiment_id ORDER BY {u_sql('reference_id', seed='seed')}, reference_id) AS position FROM rq JOIN rf USING (profile_id))
+SELECT experiment_id, CAST(position AS INT) AS position, reference_id FROM x WHERE position <= n_examples""")
+def random_examples(spark, d):
+    return examples.random_examples(_requests(spark, d), _references(spark, d))
+
+
+_F5 = ("mean", "std", "trend_slope", "weekly_autocorrelation", "anomaly_count")
+
+
+@query(f"""WITH {_CUSTOMERS}, m AS (SELECT profile_id, {', '.join(f'median({c}) AS m_{c}' for c in _F5)} FROM rf GROUP BY 1), f AS (SELECT rf.profile_id, reference_id, {', '.join(f'coalesce({c}, m_{c}) AS {c}, m_{c}' for c in _F5)} FROM rf JOIN m USING (profile_id)),
+sd AS (SELECT profile_id, {', '.join(f'coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}' for c in _F5)} FROM f GROUP BY 1),
+z AS (SELECT profile_id, reference_id, {', '.join(f'coalesce(({c} - m_{c}) / s_{c}, 0) AS {c}' for c in _F5)}, row_number() OVER (PARTITION BY profile_id ORDER BY reference_id) - 1 AS place, count(*) OVER (PARTITION BY profile_id) AS available FROM f JOIN sd USING (profile_id)),
+an AS (SELECT rq.*, z.reference_id AS anchor_reference_id, z.place AS anchor_position, {', '.join(f'z.{c} AS a_{c}' for c in _F5)} FROM rq JOIN z USING (profile_id) WHERE z.place = CAST(floor({u_sql("'anchor'", seed='seed')} * available) AS INT)),
+di AS (SELECT an.*, z.reference_id, sqrt({' + '.join(f'(z.{c} - a_{c}) ** 2' for c in _F5)}) AS distance FROM an JOIN z USING (profile_id) WHERE z.reference_id <> anchor_reference_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY distance, reference_id) AS position FROM di)
+SELECT experiment_id, CAST(position AS INT) AS position, reference_id, {r('distance')}, anchor_reference_id, CAST(anchor_position AS INT) AS anchor_position FROM rk WHERE position <= n_examples""")
+def anchor_neighbours(spark, d):
+    return examples.anchor_neighbours(_requests(spark, d), _references(spark, d))
+
+
+_GENERATED = """us AS (SELECT * FROM ge WHERE status = 'success' AND method <> 'tabgen_icl_residual'), gd AS (SELECT * FROM (SELECT *, max(valid_series) OVER (PARTITION BY profile_id, model, batch_id) AS any_valid FROM us) WHERE valid_series = any_valid)"""
+
+
+def _known(spark, d) -> DataFrame:
+    return examples.generated_features(*_earlier(spark, d))
+
+
+@query(f"WITH {_CUSTOMERS}, {_GENERATED} SELECT experiment_id, profile_id, model, batch_id, {r(*_F5)} FROM gd")
+def generated_features(spark, d):
+    return _known(spark, d).select("experiment_id", "profile_id", "model", "batch_id", *_F5)
+
+
+def _subset_sql() -> str:
+    """CTEs up to ``ca`` (experiment_id, candidate_id, ids) and ``di`` (with their distance)."""
+    long = lambda t, keep: " UNION ALL ".join(f"SELECT {keep}, {i} AS f, CAST({c} AS DOUBLE) AS x FROM {t} WHERE {c} IS NOT NULL" for i, c in enumerate(_F5))
+    slot = "CASE WHEN x BETWEEN lo AND hi THEN least(k - 1, coalesce(CAST(floor((x - lo) / nullif(hi - lo, 0) * k) AS BIGINT), 0)) END"
+    return f"""{_CUSTOMERS}, {_GENERATED}, lr AS ({long('rf', 'profile_id, reference_id')}), lg AS ({long('gd', 'profile_id, model, batch_id')}),
+st AS (SELECT profile_id, f, min(x) AS lo, max(x) AS hi, count(DISTINCT x) AS u, count(*) AS m, least(10, greatest(2, count(DISTINCT x))) AS k, least(5, count(DISTINCT x)) AS q, list(x ORDER BY x) AS xs FROM lr GROUP BY 1, 2),
+cu AS (SELECT profile_id, f, list_distinct(list_transform(generate_series(0, q), lambda i: xs[CAST(floor((m - 1) * i / q) AS INT) + 1] + (xs[CAST(ceil((m - 1) * i / q) AS INT) + 1] - xs[CAST(floor((m - 1) * i / q) AS INT) + 1]) * ((m - 1) * i / q - floor((m - 1) * i / q)))) AS cuts FROM st WHERE m >= 2 AND u >= 2),
+bi AS (SELECT lr.profile_id, lr.f, reference_id, greatest(0, len(list_filter(cuts, lambda c: c < x)) - 1) AS bin FROM lr JOIN cu USING (profile_id, f)),
+uf AS (SELECT DISTINCT experiment_id, rq.profile_id, rq.model, rq.batch_id, n_examples, seed, lr.f FROM rq JOIN lr USING (profile_id) JOIN lg ON lg.profile_id = rq.profile_id AND lg.model = rq.model AND lg.batch_id = rq.batch_id AND lg.f = lr.f),
+ro AS (SELECT experiment_id, n_examples, seed, f * 100 + bin AS place, reference_id FROM uf JOIN bi USING (profile_id, f)
+  UNION ALL SELECT experiment_id, n_examples, seed, place, reference_id FROM (SELECT DISTINCT experiment_id, profile_id, n_examples, seed FROM uf) JOIN rf USING (profile_id) CROSS JOIN (SELECT unnest(generate_series(10000, 10009)) AS place)),
+tu AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, place ORDER BY {u_sql('reference_id', 'place', seed='seed')}, reference_id) AS turn FROM ro),
+se AS (SELECT experiment_id, place, list(reference_id ORDER BY reference_id) AS ids FROM tu WHERE turn <= n_examples GROUP BY 1, 2),
+ca AS (SELECT * FROM (SELECT experiment_id, ids, row_number() OVER (PARTITION BY experiment_id ORDER BY min(place)) - 1 AS candidate_id FROM se GROUP BY experiment_id, ids) WHERE candidate_id < 30),
+va AS (SELECT uf.experiment_id, candidate_id, uf.profile_id, uf.f, lg.x FROM uf JOIN ca USING (experiment_id) JOIN lg ON lg.profile_id = uf.profile_id AND lg.model = uf.model AND lg.batch_id = uf.batch_id AND lg.f = uf.f
+  UNION ALL SELECT c.experiment_id, candidate_id, uf.profile_id, uf.f, lr.x FROM (SELECT experiment_id, candidate_id, unnest(ids) AS reference_id FROM ca) c JOIN uf ON uf.experiment_id = c.experiment_id JOIN lr ON lr.profile_id = uf.profile_id AND lr.f = uf.f AND lr.reference_id = c.reference_id),
+ch AS (SELECT experiment_id, candidate_id, profile_id, f, {slot} AS bin, count(*) AS c FROM va JOIN st USING (profile_id, f) GROUP BY ALL),
+rh AS (SELECT profile_id, f, {slot} AS bin, count(*) AS c FROM lr JOIN st USING (profile_id, f) GROUP BY ALL),
+gr AS (SELECT a.*, lo = hi AS constant, b.bin, coalesce(rh.c, 0) + 1.0::DOUBLE AS p, coalesce(ch.c, 0) + 1.0::DOUBLE AS w FROM (SELECT DISTINCT experiment_id, candidate_id, profile_id, f FROM va) a JOIN st USING (profile_id, f) CROSS JOIN (SELECT unnest(generate_series(0, 9)) AS bin) b
+  LEFT JOIN rh ON rh.profile_id = a.profile_id AND rh.f = a.f AND rh.bin = b.bin LEFT JOIN ch ON ch.experiment_id = a.experiment_id AND ch.candidate_id = a.candidate_id AND ch.f = a.f AND ch.bin = b.bin WHERE b.bin < k),
+sh AS (SELECT *, p / sum(p) OVER g AS pp, w / sum(w) OVER g AS ww FROM gr WINDOW g AS (PARTITION BY experiment_id, candidate_id, f)),
+fd AS (SELECT experiment_id, candidate_id, f, sqrt(greatest(0, sum((pp * ln(pp / ((pp + ww) / 2)) + ww * ln(ww / ((pp + ww) / 2))) / 2))) AS d FROM sh GROUP BY 1, 2, 3),
+di AS (SELECT experiment_id, candidate_id, any_value(ids) AS ids, avg(d) AS distance FROM fd JOIN ca USING (experiment_id, candidate_id) GROUP BY 1, 2)"""
+
+
+def _usable_requests(spark, d) -> DataFrame:
+    known = examples.usable_features(_references(spark, d), "profile_id").withColumnRenamed("names", "bank")
+    made = examples.usable_features(_known(spark, d), "profile_id", "model", "batch_id").withColumnRenamed("names", "made")
+    rows = _requests(spark, d).join(known, "profile_id").join(made, ["profile_id", "model", "batch_id"])
+    return rows.withColumn("names", F.filter("bank", lambda x: F.array_contains("made", x)))
+
+
+@query(f"WITH {_subset_sql()} SELECT experiment_id, CAST(candidate_id AS INT) AS candidate_id, array_to_string(ids, '|') AS reference_ids FROM ca")
+def candidate_subsets(spark, d):
+    return examples.candidate_subsets(_usable_requests(spark, d), _references(spark, d)).withColumn("reference_ids", F.array_join("reference_ids", "|"))
+
+
+@query(f"WITH {_subset_sql()} SELECT experiment_id, CAST(candidate_id AS INT) AS candidate_id, {r('distance')} FROM di")
+def subset_distances(spark, d):
+    rows, refs = _usable_requests(spark, d), _references(spark, d)
+    return examples.subset_distances(rows, refs, _known(spark, d), examples.candidate_subsets(rows, refs)).select("experiment_id", "candidate_id", "distance")
+
+
+@query(f"""WITH {_subset_sql()}, be AS (SELECT experiment_id, count(*) AS n_candidate_subsets, min(distance) AS distance, list(ids ORDER BY round(distance, 12), candidate_id)[1] AS ids FROM di GROUP BY 1),
+cn AS (SELECT profile_id, model, batch_id, count(*) AS n FROM gd GROUP BY ALL),
+al AS (SELECT rq.*, rf.reference_id, be.ids, be.distance, be.n_candidate_subsets, cn.n FROM rq JOIN rf USING (profile_id) LEFT JOIN be USING (experiment_id) LEFT JOIN cn ON cn.profile_id = rq.profile_id AND cn.model = rq.model AND cn.batch_id = rq.batch_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY CASE WHEN list_contains(ids, reference_id) THEN list_position(ids, reference_id) ELSE 1000000 END, {u_sql('reference_id', seed='seed')}, reference_id) AS position FROM al)
+SELECT experiment_id, CAST(position AS INT) AS position, reference_id, {r('distance')}, n_candidate_subsets, CASE WHEN n IS NULL THEN 'no_previous_generated_series' END AS fallback_reason, coalesce(n, 0) AS generated_context_count FROM rk WHERE position <= n_examples""")
+def residual_examples(spark, d):
+    found = examples.residual_examples(_requests(spark, d), _references(spark, d), _known(spark, d))
+    return found.select("experiment_id", "position", "reference_id", "distance", "n_candidate_subsets", "fallback_reason", "generated_context_count")
+
+
+def _role_sql() -> str:
+    steps = [
+        ("CASE WHEN trend = 'increasing' THEN 'trend_attribute' ELSE 'stable_trend_attribute' END", "CASE WHEN trend = 'increasing' THEN -trend_slope ELSE abs(trend_slope) END", "trend = 'increasing'", "true"),
+        ("'periodicity_attribute'", "-weekly_autocorrelation", "true", "seasonality = 'weekly'"),
+        ("'local_fluctuation_attribute'", "abs(anomaly_count - expected_anomalies) + abs(trend_slope)", "false", "anomalies = 'point'"),
+        ("'noise_attribute'", "std", "false", "true"),
+    ]
+    out = [f"""{_CUSTOMERS}, q0 AS (SELECT rq.*, CASE profile_id WHEN 'BUILDING' THEN 'increasing' WHEN 'HOUSEHOLD' THEN 'decreasing' ELSE 'none' END AS trend, CASE WHEN profile_id IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN 'weekly' ELSE 'none' END AS seasonality,
+  CASE WHEN profile_id IN ('BUILDING', 'MACHINERY') THEN 'point' ELSE 'none' END AS anomalies, 3 AS expected_anomalies, rf.* EXCLUDE (profile_id), CAST(NULL AS VARCHAR) AS role, CAST(NULL AS INT) AS step, CAST(NULL AS DOUBLE) AS score FROM rq JOIN rf USING (profile_id))"""]
+    for i, (role, value, largest, asked) in enumerate(steps):
+        hit = f"(v IS NOT NULL AND rnk = floor({u_sql(repr(f'role{i}'), seed='seed')} * cnt) + 1)"
+        out.append(f"""a{i} AS (SELECT *, CASE WHEN role IS NULL AND {asked} THEN CAST({value} AS DOUBLE) END AS v0 FROM q{i}), b{i} AS (SELECT *, max(v0 IS NOT NULL) OVER (PARTITION BY experiment_id) AS anyv FROM a{i}),
+c{i} AS (SELECT *, CASE WHEN role IS NULL AND {asked} THEN CASE WHEN anyv THEN v0 ELSE 0 END END AS v FROM b{i}), d{i} AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY v NULLS LAST, reference_id) AS rnk, least(5, count(v) OVER (PARTITION BY experiment_id)) AS cnt FROM c{i}),
+q{i + 1} AS (SELECT * EXCLUDE (v0, anyv, v, rnk, cnt) REPLACE (CASE WHEN {hit} THEN CASE WHEN anyv THEN CASE WHEN {largest} THEN -v ELSE v END ELSE 0 END ELSE score END AS score, CASE WHEN {hit} THEN {i} ELSE step END AS step, CASE WHEN {hit} THEN {role} ELSE role END AS role) FROM d{i})""")
+    return ", ".join(out)
+
+
+@query(f"""WITH {_role_sql()}, rk AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY step NULLS LAST, {u_sql('reference_id', repr('filler'), seed='seed')}, reference_id) AS position FROM q4)
+SELECT experiment_id, CAST(position AS INT) AS position, reference_id, coalesce(role, 'filler_reference') AS role, {r('score')} FROM rk WHERE position <= n_examples""")
+def role_examples(spark, d):
+    seg = F.col("profile_id")
+    rows = _requests(spark, d).withColumns({
+        "trend": F.when(seg == "BUILDING", "increasing").when(seg == "HOUSEHOLD", "decreasing").otherwise("none"), "seasonality": F.when(seg.isin("BUILDING", "MACHINERY", "FURNITURE"), "weekly").otherwise("none"),
+        "anomalies": F.when(seg.isin("BUILDING", "MACHINERY"), "point").otherwise("none"), "expected_anomalies": F.lit(3),
+    })
+    return examples.role_examples(rows, _references(spark, d)).select("experiment_id", "position", "reference_id", "role", "score")
+
+
+@query(f"""WITH {PROFILE_SQL} SELECT profile_id, expected_length AS length, 'daily' AS frequency, CASE trend_expected WHEN 'flat' THEN 'none' ELSE trend_expected END AS trend, seasonality_expected AS seasonality, CASE WHEN expected_anomalies > 0 THEN 'point' ELSE 'none' END AS anomalies, noise_expected AS noise,
+  {r("anomaly_threshold=200", "normal_min=80", "normal_max=CASE profile_id WHEN 'P3_28' THEN 180 WHEN 'P6_60' THEN 190 ELSE 130 END", "bank_normal_max=130", "no_strong_trend_threshold=flat_trend_threshold")}, true AS agrees FROM pr""")
+def older_profiles(spark, d):
+    dim = model.profiles(spark)
+    old, made = model.legacy_profile(dim), model.bank_profile(dim).select("profile_id", F.col("normal_max").alias("bank_normal_max"))
+    return old.join(made, "profile_id").join(model.profile_agreement(dim, old), "profile_id").select("profile_id", "length", "frequency", "trend", "seasonality", "anomalies", "noise", "anomaly_threshold", "normal_min", "normal_max", "bank_normal_max", "no_strong_trend_threshold", "agrees")
+
+
+@query(f"""WITH me AS (SELECT * FROM (VALUES {_values([(i, *m[:2], str(m[2]).lower()) for i, m in enumerate(model.METHODS)])}) v(i, method, method_family, vo)), ru AS (SELECT o_orderkey, method, method_family, vo = 'true' AS value_only, o_orderkey % 6 AS p FROM orders JOIN me ON o_orderkey % 11 = i)
+SELECT o_orderkey AS run_id, method, method_family, value_only, ['P1_20', 'P2_28', 'P3_28', 'P4_30', 'P5_60', 'P6_60'][p + 1] AS profile_id, ['P1_20', 'P2_28', 'P3_28', 'P4_30', 'P5_60', 'P6_60'][p + 1] || '_' || method || '_a_model_b' || (o_orderkey % 2) || '_run' || o_orderkey AS experiment_id FROM ru""")
+def planned_runs(spark, d):
+    k = F.col("o_orderkey")
+    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    plan = table(spark, d, "orders").select(k.alias("run_id"), name([m[0] for m in model.METHODS], k % 11).alias("method"), name([p[0] for p in model.PROFILES], k % 6).alias("profile_id"), F.lit("a model").alias("model"), F.concat(F.lit("b"), (k % 2).cast("string")).alias("batch_id"))
+    return workflow.planned(plan, model.profiles(spark), model.methods(spark)).select("run_id", "method", "method_family", "value_only", "profile_id", "experiment_id")
+
+
+def _attempts(spark, d) -> DataFrame:
+    """Daily sums of each user as answers: lists, lists without their end, and prose; profiles P1_20 and P4_30."""
+    k = F.col("series_id").cast("long")
+    listed = T2(spark, d).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("p")).select("series_id", F.array_join(F.transform("p", lambda x: x["value"].cast("string")), ", ").alias("x"))
+    raw = F.when(k % 7 == 0, "nothing to say").when(k % 5 == 0, F.concat(F.lit("["), "x")).otherwise(F.concat(F.lit("["), "x", F.lit("]")))
+    plan = listed.select(F.col("series_id").alias("attempt_id"), raw.alias("raw"), k.alias("run_id"), F.when(k % 2 == 0, "P1_20").otherwise("P4_30").alias("profile_id"), F.lit("prompt_only").alias("method"), F.lit("m").alias("model"), F.lit("b").alias("batch_id"))
+    return workflow.planned(plan, model.profiles(spark), model.methods(spark)).withColumn("status", F.lit("success")).withColumn("error_message", F.lit(None).cast("string"))
+
+
+@query(f"""WITH {S2}, g0 AS (SELECT series_id, CAST(series_id AS BIGINT) AS k, CASE WHEN CAST(series_id AS BIGINT) % 2 = 0 THEN 20 ELSE 30 END AS goal, CAST(series_id AS BIGINT) % 2 = 1 AS falling, pos, greatest(0, least(1000, value)) AS value FROM t2),
+g1 AS (SELECT * FROM g0 WHERE pos < goal AND k % 7 <> 0), g2 AS (SELECT series_id, any_value(goal) AS goal, any_value(falling) AS falling, count(*) AS n, arg_max(value, pos) AS la FROM g1 GROUP BY 1),
+g3 AS (SELECT series_id, coalesce((arg_max(value, pos) - arg_min(value, pos)) / nullif(count(*) - 1, 0), 0) AS x FROM g1 JOIN g2 USING (series_id) WHERE pos >= n - 5 GROUP BY 1),
+g4 AS (SELECT series_id, pos, value FROM g1 UNION ALL SELECT series_id, p.pos, greatest(0, least(1000, la + (CASE WHEN n < 2 THEN CASE WHEN falling THEN -1 ELSE 1 END WHEN NOT falling THEN 0 WHEN x < 0 THEN x WHEN x > 0 THEN -x ELSE -1 END) * (p.pos - n + 1))) FROM g2 JOIN g3 USING (series_id) CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS pos) p WHERE p.pos >= n AND p.pos < goal),
+g5 AS (SELECT series_id, any_value(goal) AS goal, any_value(falling) AS falling, any_value(n) AS n, count(*) AS m, coalesce(regr_slope(value, CAST(pos AS DOUBLE)), 0) AS slope FROM g4 JOIN g2 USING (series_id) GROUP BY 1),
+g6 AS (SELECT *, CASE WHEN falling THEN NOT slope < 0 ELSE abs(slope) > 0.3::DOUBLE END AS bad FROM g5)
+SELECT i.series_id AS attempt_id, CASE WHEN g6.n IS NULL THEN 'failed' ELSE 'success' END AS status, CASE WHEN g6.n IS NULL THEN 'no JSON and no numbers in the text' WHEN i.k % 5 = 0 THEN 'added_closing_bracket' ELSE 'none' END AS parse_error_type,
+  coalesce(n, 0) AS n_before, coalesce(m, 0) AS n_after, coalesce(goal - n, 0) AS completed_points, CASE WHEN g6.n IS NULL THEN 999 ELSE CAST(bad AS INT) END AS n_failed_checks, coalesce(NOT bad, false) AS valid_series, CASE WHEN g6.n IS NULL THEN 0 ELSE 1 END AS timestamps, {r('slope')},
+  {r('quality_score=CASE WHEN g6.n IS NULL THEN -9999 ELSE 15 + CASE WHEN bad THEN -10 ELSE 100 END + CASE WHEN falling THEN 0 ELSE CASE WHEN bad THEN -15 ELSE 25 END - least(abs(slope), 20) END END')}
+FROM (SELECT DISTINCT series_id, k FROM g0) i LEFT JOIN g6 ON g6.series_id = i.series_id""")
+def judged_attempts(spark, d):
+    c = F.col
+    j = workflow.judge(_attempts(spark, d))
+    return j.select(
+        "attempt_id", "status", "parse_error_type", F.size("values_before_curation").cast("long").alias("n_before"), F.size("values_after_curation").cast("long").alias("n_after"), c("structural_curation_info.completed_points").cast("long").alias("completed_points"),
+        "n_failed_checks", "valid_series", c("timestamp_score").cast("int").alias("timestamps"), c("validation.trend_slope").alias("slope"), "quality_score",
+    )
+
+
+@query(f"""WITH {_CHECK_SQL} SELECT CAST(series_id AS BIGINT) % 10 AS grp, count(*) AS n_candidates, count(*) FILTER (CAST(series_id AS BIGINT) % 3 <> 0) AS n_successful_candidates, count(*) FILTER (CAST(series_id AS BIGINT) % 3 <> 0 AND len(failed) = 0) AS n_valid_candidates,
+  {r("valid_candidates_rate=count(*) FILTER (CAST(series_id AS BIGINT) % 3 <> 0 AND len(failed) = 0) / count(*)")}, count(*) FILTER (CAST(series_id AS BIGINT) % 3 <> 0) = 0 AS all_failed FROM fl GROUP BY 1""")
+def candidate_summary(spark, d):
+    k = F.col("series_id").cast("long")
+    rows = _checked(spark, d).withColumn("status", F.when(k % 3 != 0, "success").otherwise("failed"))
+    return validate.candidate_summary(validate.quality_score(rows, "none", True, None, status=F.col("status")).withColumn("grp", k % 10), "grp")
+
+
+@query(f"""WITH {_RUNS} SELECT model, method, {r("success_rate=avg(CAST(status IS NOT DISTINCT FROM 'success' AS INT))", "mean_llm_profile_compliance_score=avg(llm_profile_compliance_score)")}, CAST(row_number() OVER (ORDER BY avg(llm_profile_compliance_score) DESC NULLS LAST, avg(CAST(strict_llm_valid AS INT)) DESC NULLS LAST) AS INT) AS place FROM rn GROUP BY 1, 2""")
+def rollup_report(spark, d):
+    rolled = _rolled(spark, d, [("model", "method")]).withColumn("length_curation_rate", F.lit(None).cast("double"))
+    order = Window.orderBy(F.desc_nulls_last("mean_llm_profile_compliance_score"), F.desc_nulls_last("strict_llm_valid_rate"), F.asc_nulls_last("length_curation_rate"))
+    return rolled.select("model", "method", "success_rate", "mean_llm_profile_compliance_score", F.row_number().over(order).alias("place"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '- it has the wrong number of values' || chr(10) || '- no rhythm of seven days can be seen' WHEN 1 THEN '- some values lie outside the allowed range' ELSE 'All checks passed.' END
+  || CASE WHEN p_size % 3 < 2 THEN chr(10) || '- slope of the answer: ' || printf('%.4f', CAST(p_size AS DOUBLE)) ELSE '' END AS feedback, ['Put the spikes far apart.', 'Put the spikes at other places than the first answer does.', 'Make the spikes clearly higher than all other values.', 'Keep trend and rhythm between the spikes.', 'Let each spike be a single day.', 'Differ from the other answers.'][least(6, p_size % 8 + 1)] AS variation FROM part""")
+def feedback_and_variation(spark, d):
+    k = F.col("p_size") % 3
+    failed = F.when(k == 0, F.array(F.lit("length_ok"), F.lit("weekly_seasonality_ok"))).when(k == 1, F.array(F.lit("range_ok"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "part").withColumns({"trend": F.lit("increasing"), "seasonality": F.lit("weekly"), "anomalies": F.lit("point")})
+    return rows.select("p_partkey", prompts.feedback_text(failed, F.col("p_size").cast("double")).alias("feedback"), prompts.variation_text(F.col("p_size") % 8 + 1).alias("variation"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
