@@ -23,7 +23,8 @@
 
 Tiles with many sets are cut into pairs of chunks that go to tasks of their own
 (or, once that costs more, into hash partitions of their shingles), and tiles whose sets are all in one component are not read again. Shingles are
-64-bit hashes; classes are told apart by a 64-bit digest of the set.
+64-bit hashes; classes are told apart by a 128-bit digest of the set and named by
+a row of theirs.
 
 Defined results: null, empty and blank texts have no set and link with nothing;
 texts of any length are read whole; equal rows, and texts with equal sets, are in
@@ -64,10 +65,6 @@ TILE = 256
 CHUNK_BYTES = 2 << 20
 
 
-def _id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def _digest() -> Column:
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
@@ -86,27 +83,38 @@ def _chunks(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list[int], lis
 
 
 def set_classes(table: DataFrame, k: int = WORDS) -> DataFrame:
-    """b, i, doc_id, digest, n (set size), cid (class of equal sets; null if empty) of a blocked table."""
+    """b, i, doc_id, digest, n (set size), set (128-bit digest of the set; null if empty) of a blocked table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHasher()
+        hasher = WordHasher()
         for batch in batches:
-            n, cid = [], []
+            n, own = [], []
             for _, texts in _chunks((0, t.as_py().encode()) for t in batch["text"]):
-                for s in shingle_sets(texts, hashes, k):
+                for s in shingle_sets(texts, hasher, k):
                     n.append(len(s))
-                    cid.append(_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("b", "i", "doc_id", "digest")], pa.array(n, pa.int64()), pa.array(cid, pa.int64())], ["b", "i", "doc_id", "digest", "n", "cid"])
+                    own.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("b", "i", "doc_id", "digest")], pa.array(n, pa.int64()), pa.array(own, pa.binary())], ["b", "i", "doc_id", "digest", "n", "set"])
+
+    return table.mapInArrow(run, "b long, i long, doc_id long, digest string, n long, `set` binary")
+
+
+def _class_id(b, i):
+    """One number for a row of a blocked table: its task and its place there."""
+    return ((b >> 32) << 40) | i
 
-    return table.mapInArrow(run, "b long, i long, doc_id long, digest string, n long, cid long")
+
+def _stands(classes: DataFrame) -> DataFrame:
+    """set, b, i, cid: the row that stands for each class; cid is made from the row, so classes never share one."""
+    one = classes.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min(F.struct("b", "i")).alias("one")).select("set", "one.b", "one.i")
+    return one.withColumn("cid", F.expr("shiftleft(shiftright(b, 32), 40) | i"))
 
 
 def _ask(parts: int, k: int):
     """The distinct shingles of a block's classes."""
 
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        hashes = WordHasher()
-        found = [keys_of(s, parts) for _, texts in _chunks(taking_part(rows, side)) for s in shingle_sets(texts, hashes, k)]
+        hasher = WordHasher()
+        found = [keys_of(s, parts) for _, texts in _chunks(taking_part(rows, side)) for s in shingle_sets(texts, hasher, k)]
         return sent(rows["b"][0].as_py() if rows.num_rows else 0, found)
 
     return run
@@ -116,10 +124,11 @@ def _linkable(parts: int, k: int, num: int, den: int):
     """Sets that share enough shingles with any others: cid, n, elements and prefix (sorted uint64 as bytes)."""
 
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        hashes, out = WordHasher(), ([], [], [], [])
+        hasher, out = WordHasher(), ([], [], [], [])
         known, numbers, _ = answers(side, 0)
-        for _, texts in _chunks(taking_part(rows, side)):
-            for s in shingle_sets(texts, hashes, k):
+        b = rows["b"][0].as_py() if rows.num_rows else 0
+        for ids, texts in _chunks(taking_part(rows, side)):
+            for i, s in zip(ids, shingle_sets(texts, hasher, k), strict=True):
                 n = len(s)
                 at, hit = found_in(keys_of(s, parts), known)
                 if den * int(hit.sum()) < num * n:
@@ -128,7 +137,7 @@ def _linkable(parts: int, k: int, num: int, den: int):
                 first = np.argsort(classes, kind="stable")[: n + (-num * n // den) + 1]  # n - ceil(num * n / den) + 1, rarest first, then by hash
                 prefix = np.sort(s[first[hit[first]]])
                 if len(prefix):
-                    for col, x in zip(out, (_id(s), n, s.tobytes(), prefix.tobytes()), strict=True):
+                    for col, x in zip(out, (_class_id(b, i), n, s.tobytes(), prefix.tobytes()), strict=True):
                         col.append(x)
         return pa.table({c: pa.array(x, t) for c, x, t in zip(("cid", "n", "elements", "prefix"), out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
@@ -318,12 +327,11 @@ def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     return labels.unionByName(new).withColumnRenamed("label", "k").join(top, "k", "left").select("node", F.coalesce("top", "k").alias("label"))
 
 
-def linkable_sets(table: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def linkable_sets(table: DataFrame, classes: DataFrame, stands: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """cid, n, elements, prefix of the classes that may link, one row each."""
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(1, math.ceil(total / PART_SHINGLES))
-    stands = classes.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("b", "i")).alias("one")).select("one.b", "one.i")
-    side = staged(stands.groupBy("b").applyInArrow(listed, SIDE), "jaccard-stands")
+    side = staged(stands.select("b", "i").groupBy("b").applyInArrow(listed, SIDE), "jaccard-stands")
     texts = table.select("b", "i", "text").groupBy("b")
     asked = texts.cogroup(side.groupBy("b")).applyInArrow(_ask(parts, k), SENT)
     frequent = asked.groupBy("part").applyInArrow(answered(0), SIDE)
@@ -355,13 +363,37 @@ def links(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     return labels
 
 
-def _grouped(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, block_bytes: int = BLOCK) -> DataFrame:
-    """doc_id, digest (of the text), n and group (null without a set) of each row."""
+def _classed(docs: DataFrame, k: int, num: int, den: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest (of the text), n and cid (null without a set) of each row; and the sets that may link."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
     table = blocked(plain, "jaccard", text_bytes(docs), "text", block_bytes)
     classes = staged(set_classes(table, k), "jaccard-classes")
-    labels = links(linkable_sets(table, classes, k, num, den), num, den)
-    return classes.join(labels, classes["cid"] == labels["node"], "left").select("doc_id", "digest", "n", F.coalesce("label", "cid").alias("group"))
+    stands = staged(_stands(classes), "jaccard-stands-by-set")
+    rows = classes.join(stands.select("set", "cid"), "set", "left").select("doc_id", "digest", "n", "cid")
+    return rows, linkable_sets(table, classes, stands, k, num, den)
+
+
+def _grouped(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, block_bytes: int = BLOCK) -> DataFrame:
+    """doc_id, digest (of the text), n and group (null without a set) of each row."""
+    rows, sets = _classed(docs, k, num, den, block_bytes)
+    labels = links(sets, num, den)
+    return rows.join(labels, rows["cid"] == labels["node"], "left").select("doc_id", "digest", "n", F.coalesce("label", "cid").alias("group"))
+
+
+def near_links(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, block_bytes: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All links, without regard to components: (class_a, class_b) of every two linked classes, and (doc_id, class_id) of each row.
+
+    Documents with equal sets are one class and link with one another. In a
+    dense group the links alone grow with its square, so this is for those who
+    want them; components need far fewer.
+    """
+    rows, sets = _classed(docs, k, num, den, block_bytes)
+    parts = tile_parts(sets, num, den)
+    apart = sets.select(F.col("cid").alias("node"), F.col("cid").alias("label")).filter("false")
+    tiles = staged(_tiles(sets, apart, parts, num, den), "jaccard-tiles")
+    pairs = _dealt(tiles, parts, False).groupBy("part", "band", "x", "y").applyInArrow(_candidates(num, den, "all"), "a long, b long").distinct()
+    found = staged(verified(pairs, sets, num, den), "jaccard-links")
+    return found.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), rows.select("doc_id", F.col("cid").alias("class_id"))
 
 
 def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, block_bytes: int = BLOCK) -> DataFrame:

@@ -10,8 +10,9 @@ The text is lower-cased (A-Z) and reduced to its words, runs of letters, digits
 and characters from U+0080 on, joined by single spaces.
 
 Defined results: a null text is empty; equal rows are scanned each; texts of
-any length are scanned whole; an empty table gives an empty result; further
-columns are ignored.
+any length are scanned whole; spans of one notice don't overlap, and a
+match is drawn closer where that needs fewer edits; an empty table gives an empty
+result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

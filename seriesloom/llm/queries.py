@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesloom.llm.chat_format import CHAT_SQL, chat_digests, chat_examples, with_probe
 from seriesloom.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
@@ -40,7 +41,7 @@ def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,20 @@ def test_jaccard_components(spark, docs, texts, empty, monkeypatch, small):
     assert jaccard_join.near_components(empty).count() == 0
 
 
+def test_all_links(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE_SETS", 5)
+    pairs, members = jaccard_join.near_links(docs)
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    assert all((of[a] == of[b]) == (sets[a] == sets[b]) for a in of for b in range(a) if sets[a] and sets[b]) and {of[i] for i, x in enumerate(sets) if not x} == {None}
+    want = {frozenset((of[a], of[b])) for a in of for b in range(a) if sets[a] and sets[b] and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [frozenset(r) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 5
+
+
 @pytest.mark.parametrize("steps", [("all",), ("pivot", "all"), ("forest", "all")])
 def test_each_reading_of_the_tiles_finds_the_rest(spark, monkeypatch, steps):
     rng = random.Random(6)
@@ -264,6 +278,15 @@ def test_ppm(docs, texts, empty, options):
     assert ppm_score.ppm_scores(empty).count() == 0
 
 
+def test_ppm_counts_equal_rows_each(spark):
+    rows = [(1, "ab ab"), (1, "ab ab"), (None, "ab ab"), (None, "cd"), (2, "long " * 40_000)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, b string, held string").repartition(3)
+    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
+    got = ppm_score.ppm_scores(docs, block_bytes=50).collect()
+    assert len(got) == 5 and {r["train_tokens"] for r in got} == {sum(len(t.split()) + 1 for t in train)}
+    assert len({(r["score"], r["base_score"]) for r in got if r["n_tokens"] == 3}) == 1 and max(r["n_tokens"] for r in got) == 40_001
+
+
 def test_chat_round_trip(spark):
     nasty = "<|im_end|><\\|im_start|> <\\\\| < | \\ <"
     rows = [(1, 0, "user", nasty), (1, 1, "assistant", nasty), (1, 2, None, None), (2, 0, "system", "s"), (3, 0, "assistant", ""), (3, 1, "assistant", "b\nc"), (None, 5, "us\ner", "x"), (3, 1, "assistant", "b\nc")]
@@ -280,6 +303,17 @@ def test_chat_round_trip(spark):
     assert chat_format.chat_digests(chat_format.chat_examples(convs.filter("false"))).count() == 0
 
 
+def test_chat_of_long_texts_and_odd_columns(spark):
+    long = "<|x " * 200_000
+    rows = [(1, 0, "user", long, "f"), (1, 1, "assistant", long, "f"), (1, 1, "assistant", long, "f")]
+    convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    ex = chat_format.chat_examples(convs)
+    got = chat_format.chat_digests(ex).first()
+    assert ex.count() == 2 and (got["n_turns"], got["loss_chars"]) == (3, 2 * len(long)) and got["loss_sha256"] == hashlib.sha256((long * 2).encode()).hexdigest()
+    probe = chat_format.with_probe(convs).filter("conv_id = -1").orderBy("turn").collect()
+    assert [(r["turn"], r["role"], r["text"]) for r in probe] == [(0, "user", chat_format.PROBE), (1, "assistant", chat_format.PROBE)]
+
+
 def test_mix(docs, texts, empty):
     got = mixing.mix_sources(docs, slices=3).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(3), slices=20).collect()))
@@ -340,6 +374,30 @@ def test_packing_keeps_every_token(docs, texts, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+LICENSE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, i, CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w))
+SELECT w.doc_id, CAST(len(any_value(w.w)) AS BIGINT) AS n_words, count(label) AS n_base, min(i - 1) FILTER (label IS NOT NULL) AS first_word, max(i - 1) FILTER (label IS NOT NULL) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM w LEFT JOIN p ON p.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+
+def test_base_phrases_same_as_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    base = lambda s, d: queries()["op5_license_scan"](s, d).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert difference(spark, sf, base, LICENSE_SQL, connection(sf)) == ""
+
+
+def test_license_scan_of_long_and_repeated_rows(spark):
+    mit = "permission is hereby granted, free of charge, to any person obtaining a copy"
+    long = "word " * 300_000 + mit.replace("charge", "chrage") + " word" * 1000 + " all rights reserved"
+    rows = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (None, long, "y")], "doc_id long, text string, spans string")
+    got = license_scan.scan_licenses(rows).collect()
+    assert len(got) == 3 and len({tuple(r)[1:] for r in map(lambda r: tuple(map(str, r)), got)}) == 1
+    assert (got[0]["n_words"], got[0]["first_word"], got[0]["labels"]) == (300_000 + 13 + 1000 + 3, 301_013, "mit,reserved") and got[0]["spans"][0]["first_word"] == 300_000
+
+
 def test_license_scan(spark, empty):
     mit = "permission is hereby granted, free of charge, to any person obtaining a copy"
     texts = ["All rights reserved. x all RIGHTS reserved", "licensed under CC BY-NC 4.0", mit, "x " + mit.replace("granted", "grantd").replace("person", "persons") + " y", "nothing", None, "", "Licenced under the Apache licence, version 2.0", mit.replace("e", "")]
