@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions.columns import as_flag, joined_list, run_number
+from seriesloom.model import METHODS, PROFILES
 from seriesloom.operators.run_columns import AGGREGATES, COLUMNS
 
 _KINDS = {"text": T.StringType(), "number": T.DoubleType(), "flag": T.StringType(), "check": T.StringType(), "list": T.ArrayType(T.StringType())}
@@ -99,11 +100,18 @@ def count_report(features: DataFrame) -> DataFrame:
 
 
 def select_runs(flat: DataFrame, profile_ids=None, methods=None, models=None, batch_id=None) -> DataFrame:
+    """Runs of the given values; None keeps all."""
     for column, allowed in (("profile_id", profile_ids), ("method", methods), ("model", models), ("batch_id", [batch_id] if batch_id else None)):
         flat = flat.filter(F.col(column).isin(list(allowed))) if allowed else flat
     return flat
 
 
+def report_runs(flat: DataFrame, profile_ids=None, methods=None, models=None, batch_id=None, all_methods: bool = False) -> DataFrame:
+    """As ``select_runs``, but without a choice only official profiles and methods are kept (all methods on demand)."""
+    methods = methods if methods or all_methods else [m[0] for m in METHODS]
+    return select_runs(flat, profile_ids or [p[0] for p in PROFILES], methods, models, batch_id)
+
+
 def previous_runs(runs: DataFrame, current: DataFrame, same_model: bool = True, same_batch: bool = True) -> DataFrame:
     """For each current run, successful runs of other methods with the same profile (and model and batch)."""
     on = (F.col("c.profile_id") == F.col("r.profile_id")) & (F.col("c.method") != F.col("r.method"))

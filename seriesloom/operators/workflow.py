@@ -181,6 +181,12 @@ def earlier_features(done: DataFrame, profiles: DataFrame) -> DataFrame:
     return examples.generated_features(bank.series_features(final_points(done), profiles).drop("profile_id"), runs)
 
 
+def features_from_files(flat: DataFrame, points: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The same from flat run records and series as read from files (series_id is the experiment_id); runs without a series drop out."""
+    dated = curate.with_positions(points.select("series_id", "ts", "value")).join(flat.select(F.col("experiment_id").alias("series_id"), "profile_id"), "series_id")
+    return examples.generated_features(bank.series_features(dated, profiles).drop("profile_id"), flat)
+
+
 def run_experiments(
     spark: SparkSession, plan: DataFrame, series: DataFrame, features: DataFrame, generator: Generator, store: str, earlier: DataFrame | None = None, profiles: DataFrame | None = None, parallel: int = 8, attempts: int = 1,
 ) -> DataFrame:

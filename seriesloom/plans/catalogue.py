@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom import model
 from seriesloom.functions import columns as c
 from seriesloom.functions.parsing import parse_series
 from seriesloom.operators import bank, curate, examples, metrics, prompts, rollup, select, validate, workflow
+from seriesloom.operators.run_columns import AGGREGATES, COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -428,9 +429,11 @@ def run_id_extract(spark, d):
     return table(spark, d, "part").select("p_partkey", c.run_number(s).alias("run_id"))
 
 
-@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '-?\d+(?:\.\d+)?'), '|') AS numbers FROM documents")
+@query(rf"SELECT doc_id, array_to_string(x, '|') AS numbers, CAST(len(x) AS INT) AS n, {r('total=list_sum(list_transform(x, lambda v: CAST(v AS DOUBLE)))')} FROM (SELECT doc_id, regexp_extract_all(text, '-?\d+(?:\.\d+)?') AS x FROM documents)")
 def number_extract(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), "|").alias("numbers"))
+    n = c.numbers(F.col("text"))
+    total = F.when(F.size(n) > 0, F.aggregate(n, F.lit(0.0), lambda x, y: x + y))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), "|").alias("numbers"), F.when(F.col("text").isNotNull(), F.size(n)).alias("n"), total.alias("total"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
@@ -817,6 +820,110 @@ def feedback_and_variation(spark, d):
     return rows.select("p_partkey", prompts.feedback_text(failed, F.col("p_size").cast("double")).alias("feedback"), prompts.variation_text(F.col("p_size") % 8 + 1).alias("variation"))
 
 
+@query(f"WITH {_subset_sql()} SELECT * FROM (SELECT experiment_id, CAST(row_number() OVER (PARTITION BY experiment_id ORDER BY round(distance, 12), candidate_id) AS INT) AS rank, CAST(candidate_id AS INT) AS candidate_id, array_to_string(ids, '|') AS reference_ids, {r('distance')} FROM di) WHERE rank <= 5")
+def best_subsets(spark, d):
+    """The five best subsets of each run, as its record tells them."""
+    found = examples.residual_examples(_requests(spark, d), _references(spark, d), _known(spark, d)).filter("position = 1 and fallback_reason is null")
+    rows = found.select("experiment_id", F.explode("candidate_scores_summary").alias("s"))
+    return rows.select("experiment_id", "s.rank", "s.candidate_id", F.array_join("s.reference_ids", "|").alias("reference_ids"), "s.distance")
+
+
+@query(f"WITH {_CUSTOMERS} SELECT profile_id, array_to_string(list_filter([{', '.join(f'CASE WHEN count({x}) > 0 THEN {chr(39)}{x}{chr(39)} END' for x in _F5)}], lambda x: x IS NOT NULL), '|') AS names FROM rf GROUP BY 1")
+def usable_features(spark, d):
+    return examples.usable_features(_references(spark, d), "profile_id").withColumn("names", F.array_join("names", "|"))
+
+
+@query(f"""WITH {S1} SELECT series_id, 'P3_28' AS profile_id, count(*) AS length, {r('mean=avg(value)', 'std=stddev_pop(value)', 'min=min(value)', 'max=max(value)', 'trend_slope=regr_slope(value, CAST(pos AS DOUBLE))')},
+  CASE WHEN count(*) >= 14 THEN {r('a=coalesce(covar_pop(value, z) / nullif(stddev_pop(value) FILTER (z IS NOT NULL) * stddev_pop(z), 0), 0)').removesuffix(' AS a')} END AS weekly_autocorrelation, CAST(count(*) FILTER (value >= 200) AS DOUBLE) AS anomaly_count
+FROM (SELECT *, lag(value, 7) OVER (PARTITION BY series_id ORDER BY pos) AS z FROM t1) GROUP BY 1""")
+def generated_series_features(spark, d):
+    return bank.series_features(T1(spark, d).withColumn("profile_id", F.lit("P3_28")), model.profiles(spark))
+
+
+@query(f"""WITH {S1}, q AS (SELECT series_id, pos, floor(value * 4) / 4 AS v FROM t1) SELECT series_id, 'Example 2 (' || series_id || ')' || chr(10) || 'noise_attribute' || chr(10) || 'mean 1.50, deviation 0.25, slope -0.125' || chr(10) || '[' || string_agg(printf('%.2f', v), ', ' ORDER BY pos) || ']' AS example FROM q GROUP BY 1""")
+def example_texts(spark, d):
+    values = F.transform(F.sort_array(F.collect_list(F.struct("pos", (F.floor(F.col("value") * 4) / 4).alias("v")))), lambda x: x["v"])
+    rows = T1(spark, d).groupBy("series_id").agg(values.alias("v"))
+    return rows.select("series_id", prompts.example_text(F.lit(2), F.col("series_id"), F.col("v"), F.lit(1.5), F.lit(0.25), F.lit(-0.125), F.lit("noise_attribute")).alias("example"))
+
+
+@query(f"""WITH {PROFILE_SQL} SELECT profile_id, CASE trend_expected WHEN 'flat' THEN 'stable' ELSE trend_expected END AS trend_type, CASE seasonality_expected WHEN 'weekly' THEN 'weekly' ELSE 'none' END AS periodicity_type, seasonality_period AS period,
+  CASE WHEN expected_anomalies > 0 THEN 'point_spikes' ELSE 'none' END AS fluctuation_type, expected_anomalies AS expected_count, noise_expected AS noise_type,
+  '- Trend: ' || trend_expected || chr(10) || '- Seasonality: ' || seasonality_expected || chr(10) || '- Anomalies: ' || expected_anomalies || chr(10) || '- Noise: ' || noise_expected AS pattern_text,
+  CASE WHEN expected_anomalies > 0 THEN 'rising_weekly_spikes' WHEN seasonality_expected = 'weekly' THEN 'weekly' WHEN trend_expected = 'decreasing' THEN 'falling' ELSE 'level' END AS kind FROM pr""")
+def profile_attributes(spark, d):
+    dim = model.profiles(spark)
+    rows = dim.join(model.legacy_profile(dim).select("profile_id", "trend", "seasonality", "anomalies", "noise"), "profile_id")
+    a = prompts.attributes()
+    return rows.select(
+        "profile_id", a["trend_attribute"]["type"].alias("trend_type"), a["periodicity_attribute"]["type"].alias("periodicity_type"), a["periodicity_attribute"]["period"].alias("period"), a["local_fluctuation_attribute"]["type"].alias("fluctuation_type"),
+        a["local_fluctuation_attribute"]["expected_count"].alias("expected_count"), a["noise_attribute"]["type"].alias("noise_type"), prompts.pattern_text().alias("pattern_text"), prompts.pattern().alias("kind"),
+    )
+
+
+@query()
+def prompts_of_methods(spark, d):
+    """The prompts of all methods for all profiles, with the daily series of events as examples."""
+    values = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
+    shown = T1(spark, d).groupBy("series_id").agg(values.alias("v")).agg(F.sort_array(F.collect_list(prompts.values_text(F.col("v")))).alias("examples"))
+    plan = model.profiles(spark).select("profile_id").crossJoin(F.broadcast(model.methods(spark).select("method"))).withColumns({"model": F.lit("m"), "batch_id": F.lit("b"), "run_id": F.lit(1)})
+    runs = workflow.planned(plan, model.profiles(spark), model.methods(spark)).crossJoin(F.broadcast(shown)).withColumn("examples", F.when(F.col("uses_references"), F.col("examples")))
+    return prompts.build_prompts(runs).select("experiment_id", "prompt")
+
+
+_INPUTS = sorted({x for _, x, _ in AGGREGATES})
+
+
+@query(f"""WITH rn AS (SELECT o_orderpriority AS model, CASE WHEN o_orderkey % 3 <> 0 THEN 'success' END AS status, {', '.join(f'CASE WHEN (o_orderkey + {j}) % 4 <> 0 THEN CAST((o_orderkey * 7 + {j * 3}) % 11 AS DOUBLE) END AS "{x}"' for j, x in enumerate(_INPUTS))} FROM orders)
+SELECT model, count(*) AS n_runs, {r("success_rate=avg(CAST(status IS NOT DISTINCT FROM 'success' AS INT))")}, {', '.join(r(f'{n}={"stddev_samp" if k == "std" else "avg"}("{x}")') for n, x, k in AGGREGATES)} FROM rn GROUP BY 1""")
+def rollup_all_aggregates(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.cast("string").alias("experiment_id"), F.col("o_orderpriority").alias("model"), F.when(k % 3 != 0, "success").alias("status"), *[F.when((k + j) % 4 != 0, ((k * 7 + j * 3) % 11).cast("double")).alias(x) for j, x in enumerate(_INPUTS)])
+    return rollup.roll_up(rows, [("model",)]).drop("level")
+
+
+_PATHS = list(dict.fromkeys(path for _, path, _ in COLUMNS))
+
+
+def _field_sql(path: str, kind: str) -> str:
+    k = _PATHS.index(path)
+    if path == "experiment_id":
+        return "'e' || o_orderkey || '_run' || (o_orderkey % 5)"
+    flag = "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END"
+    return {"text": f"'t{k}_' || (o_orderkey % 7)", "number": f"CAST(o_orderkey % 13 + {k} AS DOUBLE) + 0.5::DOUBLE", "flag": f"coalesce({flag}, false)", "check": flag, "list": f"CASE WHEN o_orderkey % 2 = 0 THEN 'a{k}|b' END"}[kind]
+
+
+@query(f"SELECT CAST(NULL AS VARCHAR) AS source_file, CAST(NULL AS VARCHAR) AS batch_id, CAST(NULL AS VARCHAR) AS profile_id, CAST(NULL AS VARCHAR) AS profile_description, CAST(o_orderkey % 5 AS INT) AS run_id, {', '.join(f'{_field_sql(path, kind)} AS {chr(34)}{name}{chr(34)}' for name, path, kind in COLUMNS)} FROM orders")
+def flattened_records(spark, d):
+    """Nested records as JSON texts, one for each order, read back and flattened to all their columns."""
+    k, kinds = F.col("o_orderkey"), {path: kind for _, path, kind in reversed(COLUMNS)}
+
+    def field(path: str) -> Column:
+        i, kind = _PATHS.index(path), kinds[path]
+        if path == "experiment_id":
+            return F.concat(F.lit("e"), k, F.lit("_run"), k % 5)
+        if kind == "text":
+            return F.concat(F.lit(f"t{i}_"), k % 7)
+        if kind == "number":
+            return (k % 13 + i).cast("double") + 0.5
+        return F.when(k % 2 == 0, F.array(F.lit(f"a{i}"), F.lit("b"))).otherwise(F.array().cast("array<string>")) if kind == "list" else F.when(k % 3 == 0, True).when(k % 3 == 1, False)
+
+    def block(prefix: str) -> list[Column]:
+        inner = list(dict.fromkeys(p[len(prefix) :].split(".")[0] for p in _PATHS if p.startswith(prefix)))
+        return [(field(prefix + x) if prefix + x in kinds else F.struct(*block(f"{prefix}{x}."))).alias(x) for x in inner]
+
+    texts = table(spark, d, "orders").select(F.to_json(F.struct(*block(""))).alias("record"))
+    return rollup.flatten_runs(texts.select(F.from_json("record", rollup.run_schema()).alias("r")).select("r.*"))
+
+
+@query(f"""WITH {_RUNS}, x AS (SELECT CASE WHEN method = 'F' THEN 'prompt_only' WHEN method = 'O' THEN 'harmonic_knn' ELSE 'unofficial' END AS method, CASE profile_id WHEN 'BUILDING' THEN 'P1_20' WHEN 'MACHINERY' THEN 'P6_60' ELSE 'P0' END AS profile_id, model FROM rn)
+SELECT model, count(*) FILTER (profile_id <> 'P0' AND method <> 'unofficial') AS official, count(*) FILTER (profile_id <> 'P0') AS every_method FROM x GROUP BY 1""")
+def report_defaults(spark, d):
+    rows = _runs(spark, d).withColumns({"method": F.when(F.col("method") == "F", "prompt_only").when(F.col("method") == "O", "harmonic_knn").otherwise("unofficial"), "profile_id": F.when(F.col("profile_id") == "BUILDING", "P1_20").when(F.col("profile_id") == "MACHINERY", "P6_60").otherwise("P0")})
+    one = rollup.report_runs(rows).groupBy("model").agg(F.count(F.lit(1)).alias("official"))
+    return one.join(rollup.report_runs(rows, all_methods=True).groupBy("model").agg(F.count(F.lit(1)).alias("every_method")), "model", "full")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

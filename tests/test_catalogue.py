@@ -340,6 +340,10 @@ def test_run_driver(spark, tmp_path):
     flat = rollup.derived_flags(rollup.flatten_runs(rollup.as_read(done)))
     rolled = rollup.roll_up(flat, [("batch_id", "model")]).first()
     assert rolled["n_runs"] == 33 and rolled["success_rate"] == pytest.approx(32 / 33) and 0 < rolled["mean_llm_profile_compliance_score"] < 1
+    written = workflow.final_points(done).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    from_files = workflow.features_from_files(rollup.flatten_runs(rollup.as_read(done)), written, p)
+    rows = lambda df: sorted(str([r["experiment_id"], *[None if r[c] is None else round(r[c], 9) for c in examples.FEATURES]]) for r in df.collect())
+    assert rows(from_files) == rows(workflow.earlier_features(done, p)) != []
     again = plan.filter("method = 'tabgen_icl_residual'").withColumn("run_id", F.lit(2))
     second = workflow.run_experiments(spark, again, series, features, maker, f"{tmp_path}/two", earlier=done)
     assert second.filter("status = 'success'").count() == 3
