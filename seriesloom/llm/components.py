@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import staged
 
 
+#: Pointers that are broadcast, and copies of each where there are more.
+MOST_POINTERS, COPIES = 50_000, 16
+
+
+def _followed(near: DataFrame) -> DataFrame:
+    """node, label: each node's pointer followed one step further.
+
+    All nodes of a large component may point to one node. So the pointers of the
+    nodes that are pointed to, one row each, go to the others: broadcast where
+    their checked number is small, else in COPIES, so that no node's followers
+    meet in one task.
+    """
+    lows = near.select(F.col("low").alias("k")).distinct()
+    up = staged(lows.join(near, F.col("k") == F.col("a")).select("k", F.col("low").alias("further")), "cc-pointers")
+    if up.count() <= MOST_POINTERS:
+        joined = near.join(F.broadcast(up), F.col("low") == F.col("k"))
+    else:
+        salted = near.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(COPIES)).cast("int"))
+        copies = up.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        joined = salted.join(copies, (F.col("low") == F.col("k")) & (F.col("salt") == F.col("copy")))
+    return joined.select(F.col("a").alias("node"), F.least("low", "further").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) for (a, b) rows; both columns long.
 
@@ -21,9 +44,8 @@ def components(links: DataFrame) -> DataFrame:
     rounds = []
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        up = near.select(F.col("a").alias("k"), F.col("low").alias("further"))
-        labels = staged(near.join(up, near["low"] == up["k"]).select(F.col("a").alias("node"), F.least("low", "further").alias("label")), "cc-labels")
+        near = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")), "cc-near")
+        labels = staged(_followed(near), "cc-labels")
         rounds.append(labels)
         one = edges.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("label").alias("x"), "b")
         two = one.join(labels.withColumnRenamed("node", "b"), "b").select("x", F.col("label").alias("y"))

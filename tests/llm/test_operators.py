@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.llm import chat_format, exact_dedup, exchange, gru_model, jaccard_join, license_scan, mixing, packing, ppm_score, quality_rules, repeat_removal, toxicity
+from seriesloom.llm import chat_format, components, exact_dedup, exchange, gru_model, jaccard_join, license_scan, mixing, packing, ppm_score, quality_rules, repeat_removal, toxicity
 from seriesloom.llm.queries import oracle_sql, queries
 from tests.compare import connection, difference
 
@@ -160,6 +160,26 @@ def test_clashes_do_not_lower_the_count():
     assert [x.tolist() for x in got] == [[7], [3], [2]]
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "MOST_POINTERS", most)
+    rng = random.Random(11)
+    links = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 400)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(40)] + [(7, 7)]
+    parent = {x: x for e in links for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_word_hashes(monkeypatch, texts):
     from seriesloom.llm.shingles import WordHasher
 
