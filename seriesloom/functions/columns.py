@@ -60,10 +60,6 @@ def as_flag(x: Column) -> Column:
     return F.coalesce(F.lower(F.trim(x.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))
 
 
-def rate(flag: Column) -> Column:
-    return F.avg(flag.cast("double"))
-
-
 def joined_list(x: Column) -> Column:
     """Items of an array with '|' between; NULL if there are none."""
     out = F.array_join(F.transform(x, lambda v: v.cast("string")), "|")

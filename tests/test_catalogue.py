@@ -1,8 +1,10 @@
 """Every registered query of the library against its DuckDB SQL, and edge cases on literal vectors."""
 
+import http.server
 import json
 import random
 import statistics
+import threading
 
 import numpy as np
 import pytest
@@ -383,6 +385,35 @@ def test_roles_and_fillers(spark):
 def test_windowed_stream(spark, tmp_path):
     from seriesloom.streaming.rollup import windowed
 
-    rows = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'a' k, 1D v union all select timestamp'2024-01-01 00:50:00', 'a', 2D union all select timestamp'2024-01-01 05:00:00', 'a', 4D")
+    rows = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'a' k, 1D v union all select timestamp'2024-01-01 00:50:00', 'a', 2D union all select timestamp'2024-01-09 05:00:00', 'a', 4D")
     rows.write.parquet(f"{tmp_path}/in")
-    assert windowed(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "ts", "k", "v").isStreaming
+    stream = windowed(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "ts", "k", "v")
+    run = stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted((str(r["window"]["start"])[:10], r["n"], r["total"]) for r in spark.table("windows").collect()) == [("2024-01-01", 2, 3.0), ("2024-01-09", 1, 4.0)]
+
+
+def test_http_generator():
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"response": "[1, 2]"}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    with http.server.HTTPServer(("127.0.0.1", 0), Server) as server:
+        threading.Thread(target=server.handle_request, daemon=True).start()
+        ask = generator.http(f"http://127.0.0.1:{server.server_port}/", "some model", 0.1, 99, 5)()
+        assert ask("write") == "[1, 2]"
+    assert asked == [{"model": "some model", "prompt": "write", "stream": False, "options": {"temperature": 0.1, "num_predict": 99}}]
+
+
+def test_report_order(spark):
+    rows = [("a", 0.5, 0.1, 0.2), ("b", 0.5, 0.3, 0.9), ("c", None, 0.9, 0.1), ("d", 0.5, 0.3, 0.1), ("e", 0.9, None, None)]
+    got = rollup.report(spark.createDataFrame(rows, "k string, mean_llm_profile_compliance_score double, strict_llm_valid_rate double, length_curation_rate double")).collect()
+    assert [r["k"] for r in got] == ["e", "d", "b", "a", "c"]
