@@ -160,9 +160,10 @@ def test_clashes_do_not_lower_the_count():
     assert [x.tolist() for x in got] == [[7], [3], [2]]
 
 
-@pytest.mark.parametrize("most", [0, 10**6])
-def test_components(spark, monkeypatch, most):
-    monkeypatch.setattr(components, "MOST_POINTERS", most)
+@pytest.mark.parametrize(("links_", "pointers"), [(0, 0), (0, 10**6), (60, 0), (10**6, 0)])
+def test_components(spark, monkeypatch, links_, pointers):
+    monkeypatch.setattr(components, "MOST_LINKS", links_)
+    monkeypatch.setattr(components, "MOST_POINTERS", pointers)
     rng = random.Random(11)
     links = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 400)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(40)] + [(7, 7)]
     parent = {x: x for e in links for x in e}
@@ -580,6 +581,16 @@ def test_all_windows_of_the_sample_are_read(spark):
     assert len(toxicity.sample_of(docs, labels, 3)) == 6 and sum(map(len, (w for _, w in toxicity.sample_of(docs, labels, 30, 9000)))) <= 2 * len(gru_model.window_starts(1000))
 
 
+def test_repeated_rows_are_scored_and_linked_each(spark, docs, texts):
+    twice = docs.unionByName(docs.filter("doc_id in (0, 7)")).unionByName(docs.filter("doc_id = 7"))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for got, column in ((toxicity.toxicity(twice, labels), "score"), (jaccard_join.near_components(twice), "component_id")):
+        per = collections.defaultdict(list)
+        for r in got.collect():
+            per[r["doc_id"]].append(r[column])
+        assert {i: len(x) for i, x in per.items() if len(x) > 1} == {0: 2, 7: 3} and len(per) == len(texts) and all(len(set(x)) == 1 for x in per.values())
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     rows, labels = [], []
