@@ -67,14 +67,16 @@ def blocked(df: DataFrame, name: str, total: int, col: str, block_bytes: int, ch
     A block takes consecutive rows of one task until they hold ``block_bytes``
     of ``col`` (nulls become empty), so the texts are not shuffled, copies and
     null ids are spread like any other row, and only a single text can make a
-    block larger. Joins and cogroups by ``b`` move the other side alone.
+    block larger. Joins and cogroups by ``b`` move the other side alone. Blocks
+    are numbered so that they spread evenly over the buckets (``block_number``).
     ``change`` turns each text into other bytes before it is written.
     """
     spark, names = df.sparkSession, df.columns
+    buckets = min(MOST_BUCKETS, max(math.ceil(total / block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kinds = ", ".join(f"`{f.name}` {'binary' if change and f.name == col else f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held, row = TaskContext.get().partitionId() << 32, 0, 0
+        part, held, row, numbers = TaskContext.get().partitionId(), 0, 0, []
         for batch in batches:
             columns = {n: batch[n] for n in names}
             if change:
@@ -85,15 +87,44 @@ def blocked(df: DataFrame, name: str, total: int, col: str, block_bytes: int, ch
             size = pc.binary_length(columns[col]).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
             start = held + np.cumsum(size) - size
             held, row = held + int(size.sum()), row + len(size)
-            yield pa.RecordBatch.from_arrays([pa.array(first + start // block_bytes), pa.array(np.arange(row - len(size), row)), *columns.values()], ["b", "i", *names])
+            place = start // block_bytes
+            while len(place) and len(numbers) <= place[-1]:
+                numbers.append(block_number(part, len(numbers), numbers[-1] + 1 if numbers else part << 32, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(numbers, np.int64)[place]), pa.array(np.arange(row - len(size), row)), *columns.values()], ["b", "i", *names])
 
-    buckets = min(MOST_BUCKETS, max(math.ceil(total / block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key = f"{name}-{uuid.uuid4().hex}"
     at, as_table = f"{shared_dir(spark)}/{key}", f"seriesloom_{key.replace('-', '_')}"
     df.mapInArrow(run, f"b long, i long, {kinds}").write.bucketBy(buckets, "b").option("path", at).option("compression", "zstd").saveAsTable(as_table, format="parquet")
     return spark.table(as_table)
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash (Murmur3, seed 42) of long values, by which it picks buckets and partitions."""
+    u32, rest = np.uint32, np.ascontiguousarray(x, np.int64).view(np.uint64)
+    turn = lambda v, n: (v << u32(n)) | (v >> u32(32 - n))
+    h = np.full(len(x), 42, u32)
+    for k in ((rest & np.uint64(0xFFFFFFFF)).astype(u32), (rest >> np.uint64(32)).astype(u32)):
+        h = turn(h ^ (turn(k * u32(0xCC9E2D51), 15) * u32(0x1B873593)), 13) * u32(5) + u32(0xE6546B64)
+    h ^= u32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> u32(shift))) * u32(by)
+    return h.view(np.int32)
+
+
+def block_number(part: int, nth: int, least: int, buckets: int) -> int:
+    """The first number from ``least`` on that Spark puts where the ``nth`` block of a task should go.
+
+    Blocks step through the buckets by two irrational shares, so few buckets get
+    more than two blocks; by chance alone some would get five or more.
+    """
+    want = int((part * 0.6180339887498949 + nth * 0.7548776662466927) % 1 * buckets)
+    for at in range(least, least + 64 * buckets, 4 * buckets):
+        hit = np.flatnonzero(spark_hash(np.arange(at, at + 4 * buckets)) % buckets == want)
+        if len(hit):
+            return at + int(hit[0])
+    return least
+
+
 def stable_order(keys: np.ndarray) -> np.ndarray:
     """np.argsort(keys, kind="stable") for whole numbers from 0 to 2**32 - 1, by one fast sort."""
     n = np.uint64(32)

@@ -5,6 +5,7 @@ import os
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -186,3 +187,29 @@ def test_staged_tables_can_be_dropped(spark):
     before = len(os.listdir(common.shared_dir(spark)))
     common.drop_staged(spark)
     assert before >= 2 and not os.path.exists(common.shared_dir(spark)) and not [t for t in spark.catalog.listTables() if t.name.startswith("seriesloom_")]
+
+
+def test_blocks_spread_over_buckets(spark):
+    values = [0, 1, -1, 2**40 + 7, -(2**62), 5 << 32, *range(100)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x long").selectExpr("hash(x)").collect()]
+    assert common.spark_hash(np.array(values)).tolist() == want
+    loads = collections.Counter()
+    for part in range(40):
+        last = (part << 32) - 1
+        for nth in range(3):
+            b = common.block_number(part, nth, last + 1, 128)
+            assert last < b < (part + 1) << 32
+            last = b
+            loads[int(common.spark_hash(np.array([b]))[0]) % 128] += 1
+    assert max(loads.values()) <= 2 and sum(loads.values()) == 120
+
+
+def test_blocks_hold_all_rows(spark):
+    texts = ["", None, *("x" * (i % 50) for i in range(500)), "y" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(2)
+    got = common.blocked(df, "z", 20_000, "t", 1000).collect()
+    assert sorted(r["t"] for r in got) == sorted(t or "" for t in texts) and len({(r["b"], r["i"]) for r in got}) == len(texts)
+    size = collections.Counter()
+    for r in got:
+        size[r["b"]] += len(r["t"]) + common.ROW_BYTES
+    assert max(size.values()) <= 5000 + common.ROW_BYTES + 1000 and len(size) > 20
