@@ -21,10 +21,11 @@
    every pair that still lies between two components. So pairs inside a group of
    copies are not listed, and no link between components is missed.
 
-Tiles with many sets are cut into pairs of chunks that go to tasks of their own
-(or, once that costs more, into hash partitions of their shingles), and tiles whose sets are all in one component are not read again. Shingles are
-64-bit hashes; classes are told apart by a 128-bit digest of the set and named by
-a row of theirs.
+Before each reading, prefix shingles whose sets are all in one component are
+dropped, and so are sets without any other. Tiles with many sets are cut into
+pairs of chunks that go to tasks of their own (or, once that costs more, into hash
+partitions of their shingles). Shingles are 64-bit hashes; classes are told apart
+by a 128-bit digest of the set and named by a row of theirs.
 
 Defined results: null, empty and blank texts have no set and link with nothing;
 texts of any length are read whole; equal rows, and texts with equal sets, are in
@@ -57,7 +58,9 @@ WORDS = 5
 #: Text bytes of a block, and shingles that one hash partition holds.
 BLOCK, PART_SHINGLES = 10 << 20, 3_000_000
 #: Sets of a chunk: where they meet one pivot, and where a larger tile is cut into pairs of chunks.
-PIVOT_SETS, TILE_SETS = 1000, 10_000
+PIVOT_SETS, TILE_SETS = 1000, 50_000
+#: Sets of a size band for each hash partition, and most partitions, where a tile is one chunk.
+PART_SETS, FEW_PARTS = 5000, 4
 #: Most tiles whose sizes are broadcast.
 MOST_SIZES = 10_000
 #: Rows and columns of bitmaps compared at once.
@@ -121,10 +124,10 @@ def _ask(parts: int, k: int):
 
 
 def _linkable(parts: int, k: int, num: int, den: int):
-    """Sets that share enough shingles with any others: cid, n, elements and prefix (sorted uint64 as bytes)."""
+    """Sets that share enough shingles with any others: cid, n, elements (sorted uint64 as bytes), bits (their bitmap) and prefix."""
 
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        hasher, out = WordHasher(), ([], [], [], [])
+        hasher, out = WordHasher(), ([], [], [], [], [])
         known, numbers, _ = answers(side, 0)
         b = rows["b"][0].as_py() if rows.num_rows else 0
         for ids, texts in _chunks(taking_part(rows, side)):
@@ -135,11 +138,12 @@ def _linkable(parts: int, k: int, num: int, den: int):
                     continue
                 classes = np.where(hit, numbers[at], 0).astype(np.int64)
                 first = np.argsort(classes, kind="stable")[: n + (-num * n // den) + 1]  # n - ceil(num * n / den) + 1, rarest first, then by hash
-                prefix = np.sort(s[first[hit[first]]])
+                prefix = s[first[hit[first]]].view(np.int64)
                 if len(prefix):
-                    for col, x in zip(out, (_class_id(b, i), n, s.tobytes(), prefix.tobytes()), strict=True):
+                    for col, x in zip(out, (_class_id(b, i), n, s.tobytes(), bitmap(s, signature_words(n)).tobytes(), prefix), strict=True):
                         col.append(x)
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("cid", "n", "elements", "prefix"), out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("cid", "n", "elements", "bits", "prefix"), out, kinds, strict=True)})
 
     return run
 
@@ -166,26 +170,34 @@ def _band(n: int, num: int, den: int) -> int:
     return int(math.log(n) / math.log(den / num) + 1e-9)
 
 
-def _tiles(sets: DataFrame, labels: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+def _open(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """cid, n, label, bits, prefix: the sets, with those of their prefix shingles that lead to another component."""
+    rows = sets.join(labels, sets["cid"] == labels["node"], "left").select("cid", "n", F.coalesce("label", "cid").alias("label"), "bits", "prefix")
+    each = rows.select("cid", "label", F.explode("prefix").alias("h"))
+    mixed = each.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("h")
+    left = each.join(mixed, "h").groupBy("cid").agg(F.collect_list("h").alias("prefix"))
+    return rows.drop("prefix").join(left, "cid")
+
+
+def _tiles(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     """part, band, home, cid, n, label, bits, prefix: a row for each tile a set goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for c, n, label, e, f in zip(batch["cid"], batch["n"], batch["label"], batch["elements"], batch["prefix"], strict=True):
-                s, n, prefix = np.frombuffer(e.as_py(), np.uint64), n.as_py(), np.frombuffer(f.as_py(), np.uint64)
+            for c, n, label, bits, f in zip(*[batch[x].to_pylist() for x in ("cid", "n", "label", "bits")], batch["prefix"], strict=True):
+                prefix = f.values.to_numpy().view(np.uint64)
                 part = (prefix * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
-                bits, band = bitmap(s, signature_words(n)).tobytes(), _band(n, num, den)
+                band = _band(n, num, den)
                 for p in distinct(part):
                     own = prefix[part == p].tobytes()
                     for b, home in ((band, True), (band + 1, False)):
-                        for col, x in zip(out, (int(p), b, home, c.as_py(), n, label.as_py(), bits, own), strict=True):
+                        for col, x in zip(out, (int(p), b, home, c, n, label, bits, own), strict=True):
                             col.append(x)
             kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["part", "band", "home", "cid", "n", "label", "bits", "prefix"])
 
-    rows = sets.join(labels, sets["cid"] == labels["node"], "left").select("cid", "n", F.coalesce("label", "cid").alias("label"), "elements", "prefix")
-    return rows.mapInArrow(run, "part int, band int, home boolean, cid long, n long, label long, bits binary, prefix binary")
+    return rows.select("cid", "n", "label", "bits", "prefix").mapInArrow(run, "part int, band int, home boolean, cid long, n long, label long, bits binary, prefix binary")
 
 
 def _dealt(tiles: DataFrame, parts: int, pivots: bool) -> DataFrame:
@@ -328,41 +340,56 @@ def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def linkable_sets(table: DataFrame, classes: DataFrame, stands: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """cid, n, elements, prefix of the classes that may link, one row each."""
+    """cid, n, elements, bits, prefix of the classes that may link, one row each."""
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(1, math.ceil(total / PART_SHINGLES))
     side = staged(stands.select("b", "i").groupBy("b").applyInArrow(listed, SIDE), "jaccard-stands")
     texts = table.select("b", "i", "text").groupBy("b")
     asked = texts.cogroup(side.groupBy("b")).applyInArrow(_ask(parts, k), SENT)
     frequent = asked.groupBy("part").applyInArrow(answered(0), SIDE)
-    return staged(texts.cogroup(side.unionByName(frequent).groupBy("b")).applyInArrow(_linkable(parts, k, num, den), "cid long, n long, elements binary, prefix binary"), "jaccard-sets")
+    return staged(texts.cogroup(side.unionByName(frequent).groupBy("b")).applyInArrow(_linkable(parts, k, num, den), "cid long, n long, elements binary, bits binary, prefix array<long>"), "jaccard-sets")
 
 
-def tile_parts(sets: DataFrame, num: int, den: int) -> int:
-    """Hash partitions of each size band.
+def tile_parts(rows: DataFrame, num: int, den: int) -> int:
+    """Hash partitions of each size band of open sets.
 
-    In one partition, a set is sent once for each chunk of its band; in many,
-    once for each shingle of its prefix. Whichever is less decides.
+    Small bands are spread over a few. Where a band has to be cut into chunks, a
+    set is sent once for each chunk in one partition, or its bitmap once for each
+    shingle of its prefix in many; whichever is less decides.
     """
-    bands = sets.groupBy(F.floor(F.log(F.col("n")) / math.log(den / num)).alias("band")).agg(F.count(F.lit(1)).alias("m"))
-    most = bands.agg(F.max("m").alias("m")).first()["m"] or 0
-    prefix = sets.agg(F.avg(F.octet_length("prefix") / 8).alias("n")).first()["n"] or 0
-    return 1 if 2 * most / TILE_SETS <= max(prefix, 16) else math.ceil(2 * most * prefix / TILE_SETS)
+    bands = rows.groupBy(F.floor(F.log(F.col("n")) / math.log(den / num)).alias("band")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("prefix")).alias("h"), F.sum(F.octet_length("bits")).alias("b"))
+    found = bands.agg(F.max("m").alias("most"), F.sum("m").alias("m"), F.sum("h").alias("h"), F.sum("b").alias("b")).first()
+    most, chunks = found["most"] or 0, 2 * (found["most"] or 0) / TILE_SETS
+    if chunks <= 1:
+        return max(1, min(FEW_PARTS, math.ceil(most / PART_SETS)))
+    shingles, bits = found["h"] / found["m"], found["b"] / found["m"]
+    return 1 if chunks * (bits + 8 * shingles) <= shingles * (bits + 8) else math.ceil(chunks * shingles)
 
 
 def links(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """node, label: the components of the links between sets, found in three readings of their tiles."""
-    parts = tile_parts(sets, num, den)
-    labels = sets.select(F.col("cid").alias("node"), F.col("cid").alias("label")).filter("false")
+    labels = _apart(sets)
     for step in ("pivot", "forest", "all"):
-        tiles = staged(_tiles(sets, labels, parts, num, den), "jaccard-tiles")
-        pairs = _dealt(tiles, parts, step == "pivot").groupBy("part", "band", "x", "y").applyInArrow(_candidates(num, den, step), "a long, b long").distinct()
-        more = staged(verified(pairs, sets, num, den), "jaccard-links")
+        more = staged(_linked(sets, labels, step, num, den), "jaccard-links")
         if more.limit(1).count():
             labels = staged(_merged(labels, more), "jaccard-labels")
     return labels
 
 
+def _apart(sets: DataFrame) -> DataFrame:
+    """Labels of no links at all."""
+    return sets.select(F.col("cid").alias("node"), F.col("cid").alias("label")).filter("false")
+
+
+def _linked(sets: DataFrame, labels: DataFrame, step: str, num: int, den: int) -> DataFrame:
+    """a, b: the links that one reading of the tiles finds."""
+    rows = staged(_open(sets, labels), "jaccard-open")
+    parts = tile_parts(rows, num, den)
+    tiles = staged(_tiles(rows, parts, num, den), "jaccard-tiles")
+    pairs = _dealt(tiles, parts, step == "pivot").groupBy("part", "band", "x", "y").applyInArrow(_candidates(num, den, step), "a long, b long").distinct()
+    return verified(pairs, sets, num, den)
+
+
 def _classed(docs: DataFrame, k: int, num: int, den: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, digest (of the text), n and cid (null without a set) of each row; and the sets that may link."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
@@ -388,11 +415,7 @@ def near_links(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN,
     want them; components need far fewer.
     """
     rows, sets = _classed(docs, k, num, den, block_bytes)
-    parts = tile_parts(sets, num, den)
-    apart = sets.select(F.col("cid").alias("node"), F.col("cid").alias("label")).filter("false")
-    tiles = staged(_tiles(sets, apart, parts, num, den), "jaccard-tiles")
-    pairs = _dealt(tiles, parts, False).groupBy("part", "band", "x", "y").applyInArrow(_candidates(num, den, "all"), "a long, b long").distinct()
-    found = staged(verified(pairs, sets, num, den), "jaccard-links")
+    found = staged(_linked(sets, _apart(sets), "all", num, den), "jaccard-links")
     return found.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), rows.select("doc_id", F.col("cid").alias("class_id"))
 
 
