@@ -15,42 +15,51 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, id_col: str = "reference_i
     return rows.orderBy(uniform(id_col, seed=seed), id_col).limit(n)
 
 
-def exact_quantiles(rows: DataFrame, column: str, shares: list[float], slices: int = 1000) -> list[float | None]:
-    """Linearly interpolated quantiles of all values that are not NULL.
+#: Values that one task sorts, and slices that more are cut into.
+MOST_SORTED, SLICES = 1_000_000, 64
 
-    A mergeable sketch cuts the values into about ``slices`` slices, one pass
-    counts them, and only the slices that hold a wanted rank are sorted; so no
-    task ever holds all distinct values. Three small results come to the driver.
+
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float], most: int = MOST_SORTED) -> list[float | None]:
+    """Linearly interpolated quantiles of all values that are not NULL or NaN.
+
+    While more than ``most`` values are in question, a mergeable sketch cuts them
+    into SLICES, one pass counts the slices, and only those that hold a wanted
+    rank are looked at further; so no task ever holds all distinct values. Only
+    small results come to the driver.
     """
     values = rows.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    cuts = values.agg(F.percentile_approx("x", [i / slices for i in range(1, slices)], 10 * slices).alias("c")).first()["c"]
-    if not cuts:
+    n = values.count()
+    if not n:
         return [None] * len(shares)
-    cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("x"))) if len(cuts) < 8 else _bucket(F.col("x"), cuts)
-    counts = {r["k"]: r["n"] for r in values.groupBy(place.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``slices`` rows
-    total, before, upto = sum(counts.values()), {}, 0
-    for k in sorted(counts):
-        before[k], upto = upto, upto + counts[k]
-    ranks = {int(r) for s in shares for r in (math.floor((total - 1) * s), math.ceil((total - 1) * s))}
-    wanted = {next(k for k in before if before[k] <= r < before[k] + counts[k]) for r in ranks}
-    first = F.element_at(F.create_map(*[F.lit(int(v)) for k in wanted for v in (k, before[k])]), F.col("k"))
-    ranked = values.withColumn("k", place).filter(F.col("k").isin(list(wanted))).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("x")) - 1 + first)
-    found = {r["r"]: r["x"] for r in ranked.filter(F.col("r").isin(list(ranks))).collect()}
-    out = []
-    for s in shares:
-        at = (total - 1) * s
-        low, high = found[math.floor(at)], found[math.ceil(at)]
-        out.append(low + (high - low) * (at - math.floor(at)))
-    return out
-
-
-def _bucket(x: Column, cuts: list[float]) -> Column:
+    ranks = {r for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}
+    found = _at_ranks(values, n, ranks, most)
+    return [found[low] + (found[math.ceil(at)] - found[low]) * (at - low) for at in ((n - 1) * s for s in shares) for low in (math.floor(at),)]
+
+
+def _at_ranks(values: DataFrame, n: int, ranks: set[int], most: int) -> dict[int, float]:
+    """The values that stand at some ranks (from 0) of all n."""
+    if n <= most:
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("x")) - 1
+        return {r["r"]: r["x"] for r in values.withColumn("r", rank).filter(F.col("r").isin(list(ranks))).collect()}
+    cuts = sorted(set(values.agg(F.percentile_approx("x", [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("c")).first()["c"]))
+    # a value that is a cut is a slice of its own, so frequent values are settled at once
+    placed = values.withColumn("k", 2 * _below(F.col("x"), cuts) + F.col("x").isin(cuts).cast("int"))
+    found, upto = {}, 0
+    for s in sorted(placed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()):
+        inside = {r - upto for r in ranks if upto <= r < upto + s["n"]}
+        if inside:
+            part = dict.fromkeys(inside, s["low"]) if s["low"] == s["high"] else _at_ranks(placed.filter(F.col("k") == s["k"]).select("x"), s["n"], inside, most)
+            found |= {r + upto: x for r, x in part.items()}
+        upto += s["n"]
+    return found
+
+
+def _below(x: Column, cuts: list[float]) -> Column:
     """How many cuts lie below x, by halving."""
-    if len(cuts) == 1:
-        return F.when(x > cuts[0], 1).otherwise(0)
+    if not cuts:
+        return F.lit(0)
     m = len(cuts) // 2
-    return F.when(x > cuts[m], m + 1 + _bucket(x, cuts[m + 1 :]) if cuts[m + 1 :] else F.lit(m + 1)).otherwise(_bucket(x, cuts[:m]))
+    return F.when(x > cuts[m], m + 1 + _below(x, cuts[m + 1 :])).otherwise(_below(x, cuts[:m]))
 
 
 def standardised(features: DataFrame, names: list[str]) -> DataFrame:
