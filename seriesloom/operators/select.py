@@ -27,13 +27,23 @@ def exact_quantiles(rows: DataFrame, column: str, shares: list[float], most: int
     rank are looked at further; so no task ever holds all distinct values. Only
     small results come to the driver.
     """
-    values = rows.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = values.count()
-    if not n:
-        return [None] * len(shares)
-    ranks = {r for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}
-    found = _at_ranks(values, n, ranks, most)
-    return [found[low] + (found[math.ceil(at)] - found[low]) * (at - low) for at in ((n - 1) * s for s in shares) for low in (math.floor(at),)]
+    return all_quantiles(rows, [column], shares, most)[column]
+
+
+def all_quantiles(rows: DataFrame, columns: list[str], shares: list[float], most: int = MOST_SORTED) -> dict[str, list[float | None]]:
+    """``exact_quantiles`` of several columns; those of at most ``most`` values are read in one pass."""
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    counts = rows.agg(*[F.count(x).alias(c) for c, x in known.items()]).first()
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    small = [c for c in columns if 0 < counts[c] <= most]
+    if small:
+        read = rows.agg(*[F.percentile(known[c], F.array(*map(F.lit, shares))).alias(c) for c in small]).first()
+        out |= {c: list(read[c]) for c in small}
+    for c in columns:
+        if (n := counts[c]) > most:
+            found = _at_ranks(rows.select(known[c].alias("x")).filter("x is not null"), n, {r for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}, most)
+            out[c] = [found[low] + (found[math.ceil(at)] - found[low]) * (at - low) for at in ((n - 1) * s for s in shares) for low in (math.floor(at),)]
+    return out
 
 
 def _at_ranks(values: DataFrame, n: int, ranks: set[int], most: int) -> dict[int, float]:
@@ -67,7 +77,7 @@ def standardised(features: DataFrame, names: list[str]) -> DataFrame:
 
     A column without any value stays NULL and counts in no distance.
     """
-    medians = {c: exact_quantiles(features, c, [0.5])[0] for c in names}
+    medians = {c: x[0] for c, x in all_quantiles(features, names, [0.5]).items()}
     filled = features.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in names})
     stats = filled.agg(*[F.stddev_pop(c).alias(f"{c}_s") for c in names])
     z = lambda c: (F.col(c) - F.lit(medians[c])) / F.coalesce(F.nullif(F.col(f"{c}_s"), F.lit(0.0)), F.lit(1.0))

@@ -621,7 +621,7 @@ def _customers(spark, d) -> DataFrame:
 
 
 def _references(spark, d) -> DataFrame:
-    return _customers(spark, d).filter("k % 4 <> 0").withColumn("reference_id", F.concat(F.lit("r"), F.col("k"))).drop("k")
+    return _customers(spark, d).filter("k % 4 <> 0").withColumn("reference_id", F.concat(F.lit("r"), F.col("k"))).drop("k").persist()
 
 
 def _earlier(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -662,7 +662,7 @@ _GENERATED = """us AS (SELECT * FROM ge WHERE status = 'success' AND method <> '
 
 
 def _known(spark, d) -> DataFrame:
-    return examples.generated_features(*_earlier(spark, d))
+    return examples.generated_features(*_earlier(spark, d)).persist()
 
 
 @query(f"WITH {_CUSTOMERS}, {_GENERATED} SELECT experiment_id, profile_id, model, batch_id, {r(*_F5)} FROM gd")
@@ -789,7 +789,7 @@ SELECT i.series_id AS attempt_id, CASE WHEN g6.n IS NULL THEN 'failed' ELSE 'suc
 FROM (SELECT DISTINCT series_id, k FROM g0) i LEFT JOIN g6 ON g6.series_id = i.series_id""")
 def judged_attempts(spark, d):
     c = F.col
-    j = workflow.judge(_attempts(spark, d))
+    j = workflow.judge(_attempts(spark, d), lambda df, name: df.persist())
     return j.select(
         "attempt_id", "status", "parse_error_type", F.size("values_before_curation").cast("long").alias("n_before"), F.size("values_after_curation").cast("long").alias("n_after"), c("structural_curation_info.completed_points").cast("long").alias("completed_points"),
         "n_failed_checks", "valid_series", c("timestamp_score").cast("int").alias("timestamps"), c("validation.trend_slope").alias("slope"), "quality_score",
