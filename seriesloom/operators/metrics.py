@@ -55,16 +55,18 @@ def _with_trend_points(df: DataFrame) -> DataFrame:
     """Adds at, v and rank on one row of each point of the trend series (NULL elsewhere).
 
     Seasonal series are averaged over complete periods, if there are two; ranks
-    of equal values are averaged.
+    of equal values are averaged. Values are added in order of position, as the
+    last bit of a sum can part equal means.
     """
     key = ["series_id", *VARIANT]
     m = F.floor(F.col("n") / F.col("lag"))
     blocks = F.coalesce(F.col("seasonal") & (m >= 2), F.lit(False))
     at = F.when(blocks, F.when(F.col("i") < m * F.col("lag"), F.floor(F.col("i") / F.col("lag")))).otherwise(F.col("i")).cast("double")
     df = df.withColumn("at", at)
-    block = Window.partitionBy(*key, "at")
-    first = F.col("at").isNotNull() & (F.row_number().over(block.orderBy("pos")) == 1)
-    df = df.withColumns({"v": F.avg("value").over(block), "first": first})
+    block = Window.partitionBy(*key, "at").orderBy("pos")
+    first = F.col("at").isNotNull() & (F.row_number().over(block) == 1)
+    whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumns({"v": F.avg("value").over(whole), "first": first})
     shown = Window.partitionBy(*key, "first")
     tied = F.count(F.lit(1)).over(Window.partitionBy(*key, "first", "v"))
     df = df.withColumn("rank", F.when(F.col("first"), F.rank().over(shown.orderBy("v")) + (tied - 1) / 2.0))

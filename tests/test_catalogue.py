@@ -61,6 +61,23 @@ def test_weekly_spike_is_found(spark):
     assert got["detected_anomalies"] == 4 and got["anomaly_score"] == 0.0
 
 
+def test_period_means_are_added_in_order_when_sorts_spill(spark):
+    draw = random.Random(1)
+    v = {f"s{k}": [draw.randrange(1, 9999) / 100 for _ in range(28)] for k in range(20)}
+    variant = spark.createDataFrame([(True, 7, 0.0, 1000.0)], "seasonal boolean, lag int, value_min double, value_max double")
+    conf, name = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(name, "5")
+    try:
+        got = metrics._with_trend_points(metrics.residual_table(points(spark, **v).crossJoin(variant))).filter("v is not null").select("series_id", F.col("at").cast("int"), "v").collect()
+    finally:
+        conf.remove(name)
+    want = {}
+    for k, xs in v.items():
+        for i, x in enumerate(xs):
+            want[k, i // 7] = want.get((k, i // 7), 0.0) + x
+    assert {(k, at): m for k, at, m in got} == {at: total / 7 for at, total in want.items()}
+
+
 def test_range_bounds_are_inclusive(spark):
     assert scores(spark, "P1_20", a=[0, 1000, 1000.5])["a"]["out_of_range_count"] == 1
 
